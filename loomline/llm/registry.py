@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_shards
+from . import queries_shards, queries_tokens
 
-_MODULES = (queries_shards,)
+_MODULES = (queries_shards, queries_tokens)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
