@@ -31,7 +31,7 @@ def cut(text: str) -> list[str]:
 class PieceCache(dict):
     """What each piece becomes. It is emptied beyond ``most`` pieces, and pieces over ``longest`` aren't kept: memory stays bounded."""
 
-    def __init__(self, encode: Callable[[str], object], special: dict[str, object], most: int = 1_000_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], object], special: dict[str, object], most: int = 500_000, longest: int = 64):
         super().__init__()
         self.encode, self.special, self.most, self.longest = encode, special, most, longest
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None

@@ -36,10 +36,16 @@ def opened(path: str) -> PieceCache:
         t.no_truncation()
         t.no_padding()
         letters = {b: c for c, b in byte_letters().items()}
+        space = letters[ord(" ")]
         model = t.model  # the library's BPE model: the pieces of a text are what it is given
 
         def encode(piece: str) -> bytes:
-            ids = [x.id for x in model.tokenize("".join([letters[b] for b in piece.encode()]))]
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isascii() and word.isalpha():  # such letters stand for themselves
+                spelled = space + word if piece[0] == " " else piece
+            else:
+                spelled = "".join([letters[b] for b in piece.encode()])
+            ids = [x.id for x in model.tokenize(spelled)]
             return struct.pack(f"<{len(ids)}I", *ids)
 
         _OPEN[path] = PieceCache(encode, {a.content: struct.pack("<I", i) for i, a in t.get_added_tokens_decoder().items()})

@@ -62,7 +62,7 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             bit = (cur >> cur.dtype.type(level) & cur.dtype.type(1)).view(cur.dtype).astype(bool)
             planes.append(Plane(np.packbits(bit), len(cur)))
-            cur = np.concatenate([cur[~bit], cur[bit]])
+            cur = np.concatenate([np.compress(~bit, cur), np.compress(bit, cur)])  # far faster than a boolean index
         return cls(planes, len(cur))
 
     def dumps(self, level: int = 1) -> bytes:
@@ -82,8 +82,8 @@ class WaveletMatrix:
         cur = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level, plane in enumerate(reversed(self.planes)):
             bit, out = plane.bits(), np.empty_like(cur)
-            out[~bit] = cur[: plane.zeros]
-            out[bit] = cur[plane.zeros :] | cur.dtype.type(1 << level)
+            out[np.flatnonzero(~bit)] = cur[: plane.zeros]
+            out[np.flatnonzero(bit)] = cur[plane.zeros :] | cur.dtype.type(1 << level)
             cur = out
         return cur
 
