@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, secrets
+from . import fingerprints, secret_scan
 from .common import table
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.span_digests(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+    return secret_scan.span_digests(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
 def op6_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
