@@ -29,6 +29,7 @@ class Settings:
     replicas: int = 4
     ratio: float = 1.4  #: a query searches the lists whose centroid is at most this much further than its nearest
     least_vectors: int = 2048  #: and goes on till its lists hold so many
+    first: int = 8  #: lists searched before the others; what these find bounds what the others report
     degree: int = 12
     block: int = 1024  #: vectors or queries of a list that meet in one task
 
@@ -71,6 +72,8 @@ class CentroidGraph:
             near.append(np.argpartition(d, min(s.degree, n - 1), axis=1)[:, : s.degree + 1])
         near = np.concatenate(near)
         self.links = [np.unique([*near[i], (i + 1) % n, (i - 1) % n]) for i in range(n)]
+        apart = [np.sqrt(max(0.0, 2 - 2 * float(np.partition(centroids[self.links[i]] @ centroids[i], -2)[-2]))) for i in range(0, n, max(1, n // 256)) if len(self.links[i]) > 1]
+        self.least = float(np.median(apart)) / 2 if apart else 0.0  # a query on top of a centroid still looks around
         self.entry = int((centroids @ unit(centroids.mean(axis=0) + 1e-12)).argmax())
 
     def search(self, q: np.ndarray) -> list[int]:
@@ -78,20 +81,19 @@ class CentroidGraph:
         far = lambda i: np.sqrt(np.maximum(0.0, 2 - 2 * (self.c[i] @ q)))
         seen = np.zeros(len(self.c), bool)
         seen[self.entry] = True
-        best = float(far([self.entry])[0])
-        heap, got = [(best, self.entry)], []
-        # the walk goes on while what it meets may still count, and at least till it has looked around its best
+        best = max(self.least, float(far([self.entry])[0]))
+        heap, got, held = [(best, self.entry)], [], 0
         while heap:
             d, i = heapq.heappop(heap)
-            enough = sum(self.sizes[j] for _, j in got) >= self.s.least_vectors if len(got) < 64 else True
-            if d > self.s.ratio * best and enough and len(got) >= self.s.degree:
+            if d > self.s.ratio * best and held >= self.s.least_vectors and len(got) >= self.s.degree:
                 break
             got.append((d, i))
+            held += int(self.sizes[i])
             new = self.links[i][~seen[self.links[i]]]
             if len(new):
                 seen[new] = True
                 ds = far(new)
-                best = min(best, float(ds.min()))
+                best = max(self.least, min(best, float(ds.min())))
                 for x, j in zip(ds.tolist(), new.tolist(), strict=True):
                     heapq.heappush(heap, (x, j))
         got.sort()
@@ -131,7 +133,7 @@ def _top(k: int):
             v, ids = _matrix(vectors["vec"]), np.asarray(vectors["cid"])
             norm = np.sqrt((v * v).sum(axis=1))
             near = min(k + 3, len(v))  # some more, as sums here and below differ in the last bits
-            qs, q_ids = _matrix(queries["vec"]), np.asarray(queries["query_id"])
+            qs, q_ids, bounds = _matrix(queries["vec"]), np.asarray(queries["query_id"]), np.asarray(queries["bound"])
             for lo in range(0, len(qs), 256):
                 rough = qs[lo : lo + 256] @ (v / norm[:, None]).T
                 found = np.argpartition(-rough, near - 1, axis=1)[:, :near]
@@ -139,6 +141,7 @@ def _top(k: int):
                     q = qs[lo + i]
                     exact = (v[rows] * q).sum(axis=1) / (norm[rows] * np.sqrt((q * q).sum()))
                     order = np.lexsort((ids[rows], -exact))[:k]
+                    order = order[exact[order] >= bounds[lo + i]]
                     out_q += [q_ids[lo + i]] * len(order)
                     out_c += ids[rows][order].tolist()
                     out_s += exact[order].tolist()
@@ -204,20 +207,28 @@ def nearest(table: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec
                 part = batch.slice(lo, 256)
                 lists = [graph.value.search(q) for q in unit(_matrix(part.column(1)))] if part.num_rows else []
                 at = np.repeat(np.arange(part.num_rows), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array([i for x in lists for i in x], pa.int32()), part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64()))], names=["list", "query_id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for x in lists for i in x], pa.int32()), pa.array([n for x in lists for n in range(len(x))], pa.int32()), part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64()))], names=["list", "nth", "query_id", "vec"])
 
     queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).withColumnRenamed("id", "query_id")
-    routed = written(_packed(queries, ["query_id"], "emb").mapInArrow(route, "list int, query_id long, vec binary"), "ann-queries")
-    asked = {r["list"]: r["count"] for r in routed.groupBy("list").count().collect()}
-    parts = spark.createDataFrame([(i, -(-held[i] // s.block), -(-asked[i] // s.block)) for i in sorted(held) if i in asked] or [(0, 1, 1)], "list int, v_parts int, q_parts int")
-    share = lambda col, parts: F.pmod(F.xxhash64(col), F.col(parts)).cast("int")
-    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    left = posted.join(F.broadcast(parts), "list").select("list", share("cid", "v_parts").alias("v"), all_of("q_parts").alias("q"), "cid", "vec")
-    right = routed.join(F.broadcast(parts), "list").select("list", share("query_id", "q_parts").alias("q"), all_of("v_parts").alias("v"), "query_id", "vec")
-    met = left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInArrow(_top(k + 1), "query_id long, cid long, score double")
+    routed = written(_packed(queries, ["query_id"], "emb").mapInArrow(route, "list int, nth int, query_id long, vec binary"), "ann-queries")
+
+    def searched(queries: DataFrame) -> DataFrame:
+        """What each (query, list) finds, in blocks of at most about ``block`` vectors and queries."""
+        asked = {r["list"]: r["count"] for r in queries.groupBy("list").count().collect()}  # a row per list
+        parts = spark.createDataFrame([(i, -(-held[i] // s.block), -(-asked[i] // s.block)) for i in sorted(held) if i in asked] or [(0, 1, 1)], "list int, v_parts int, q_parts int")
+        share = lambda col, parts: F.pmod(F.xxhash64(col), F.col(parts)).cast("int")
+        all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        left = posted.join(F.broadcast(parts), "list").select("list", share("cid", "v_parts").alias("v"), all_of("q_parts").alias("q"), "cid", "vec")
+        right = queries.join(F.broadcast(parts), "list").select("list", share("query_id", "q_parts").alias("q"), all_of("v_parts").alias("v"), "query_id", "vec", "bound")
+        met = left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInArrow(_top(k + 1), "query_id long, cid long, score double")
+        return written(met, "ann-met")
+
+    met = searched(routed.filter(F.col("nth") < s.first).withColumn("bound", F.lit(-2.0)))
+    best = lambda met: met.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "cid")))
+    bound = best(met.distinct()).filter(F.col("r") == k + 1).select("query_id", F.col("score").alias("bound"))
+    met = met.unionByName(searched(routed.filter(F.col("nth") >= s.first).join(bound, "query_id", "left").fillna(-2.0, ["bound"])))
     met = met.groupBy("query_id", "cid").agg(F.max("score").alias("score"))  # a border vector is met in several lists
-    best = met.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "cid"))).filter(F.col("r") <= k + 1)
-    found = best.join(classes.select("cid", "ids"), "cid").select("query_id", "score", F.explode("ids").alias("vec_id")).filter(F.col("vec_id") != F.col("query_id"))
+    found = best(met).filter(F.col("r") <= k + 1).join(classes.select("cid", "ids"), "cid").select("query_id", "score", F.explode("ids").alias("vec_id")).filter(F.col("vec_id") != F.col("query_id"))
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
