@@ -157,8 +157,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, cache, spelled = opened(vocabulary)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at, part in slices(texts):
+            for at, part in slices(batch.column(1)):
                 n, ids_sha, text_sha, ids = [], [], [], []
                 for text in part:
                     joined = ",".join(cache.text(text))

@@ -121,7 +121,7 @@ def _sets(rows: DataFrame, words: int, signed: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in slices(batch.column(2).to_pylist()):
+            for at, part in slices(batch.column(2)):
                 sets = gram_sets(part, words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 node = [set_name(s) if len(s) else None for s in sets]

@@ -180,7 +180,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in slices(batch.column(3).to_pylist()):
+            for at, part in slices(batch.column(3)):
                 ids, counts = triples(part)
                 out, lo = [], 0
                 for n in counts:
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in slices(batch.column(1).to_pylist()):
+            for at, part in slices(batch.column(1)):
                 lang, score = sent.value.predict(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The pattern of byte-level vocabularies (fixed values).
@@ -29,9 +32,9 @@ def cut(text: str) -> list[str]:
 
 
 class PieceCache(dict):
-    """What each piece becomes. It is emptied beyond ``most`` pieces, and pieces over ``longest`` aren't kept: memory stays bounded."""
+    """What each piece becomes. Pieces over ``longest`` letters seldom come again and aren't kept, and beyond ``most`` all are dropped: memory stays bounded."""
 
-    def __init__(self, encode: Callable[[str], object], special: dict[str, object], most: int = 500_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], object], special: dict[str, object], most: int = 800_000, longest: int = 12):
         super().__init__()
         self.encode, self.special, self.most, self.longest = encode, special, most, longest
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -51,14 +54,11 @@ class PieceCache(dict):
         return list(map(self.__getitem__, cut(text)))
 
 
-def slices(texts: list[str | None], most: int = 2_000_000) -> Iterable[tuple[int, list[str]]]:
-    """Runs of a batch's texts (null: empty) of about ``most`` characters, with the place of the first."""
-    at, run, size = 0, [], 0
-    for i, t in enumerate(texts):
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= most:
-            yield at, run
-            at, run, size = i + 1, [], 0
-    if run:
-        yield at, run
+def slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Runs of a column of texts (null: empty) of about ``most`` bytes, with the place of the first; only one run is in Python's memory at a time."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at, done = 0, 0
+    while at < len(texts):
+        end = min(len(texts), int(np.searchsorted(sizes, done + most)) + 1)
+        yield at, [t or "" for t in texts.slice(at, end - at).to_pylist()]
+        at, done = end, int(sizes[end - 1])

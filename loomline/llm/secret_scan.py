@@ -123,8 +123,8 @@ def find(text: str) -> list[tuple[int, int, int]]:
             if is_der(data) or is_openssh(data):
                 keys.append(m.span())
         out += [(a, 4, b) for a, b in keys]
-    for m in _base64.finditer(text):
-        if m[0].startswith("MI") and not any(a <= m.start() < b for a, b in keys) and is_der(decoded(m[0])):
+    for m in _base64.finditer(text):  # a sequence begins with the letter M
+        if m[0][0] == "M" and not any(a <= m.start() < b for a, b in keys) and is_der(decoded(m[0])):
             out.append((m.start(), 5, m.end()))
     return sorted(out)
 
@@ -143,7 +143,7 @@ def _scan(texts: DataFrame, kind: str, mark: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(KINDS)
         for batch in batches:
-            for at, part in slices(batch.column(1).to_pylist()):
+            for at, part in slices(batch.column(1)):
                 found = [find(t) for t in part]
                 ends = [0]
                 for f in found:

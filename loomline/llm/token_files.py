@@ -72,8 +72,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
             return pa.RecordBatch.from_arrays(cols, names=["shard", "block", "base", "n_tokens", "ids", "lengths", "matrix"])
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, part in slices(texts):
+            keys = batch.column(0).to_pylist()
+            for at, part in slices(batch.column(1)):
                 for k, text in zip(keys[at : at + len(part)], part, strict=True):
                     raw = b"".join(cache.text(text)) + end
                     ids.append(k)

@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = lambda words: np.array([b for w in sorted(words) for b in buckets_of(w)], "<i4").tobytes()
         for batch in batches:
-            for at, part in slices(batch.column(2).to_pylist()):
+            for at, part in slices(batch.column(2)):
                 words = [types_of(t) for t in part]
                 other = [packed({SWAP.get(w, w) for w in ws}) if not ws.isdisjoint(SWAP) else None for ws in words]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in range(2)), pa.array([packed(ws) for ws in words], pa.binary()), pa.array(other, pa.binary())], names=["doc_id", "y", "ids", "swapped"])
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            for at, part in slices(batch.column(1).to_pylist()):
+            for at, part in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(scorer.scores(part), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -56,7 +56,7 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         cur = np.asarray(ids, np.uint16 if bits <= 16 else np.uint32)
-        if len(cur) and int(cur.max()) >> bits:
+        if len(ids) and int(np.max(ids)) >> bits:
             raise ValueError(f"an id needs more than {bits} bits")
         planes = []
         for level in range(bits - 1, -1, -1):
