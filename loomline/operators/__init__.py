@@ -1 +1 @@
-
+"""Operators over DataFrames: index maintenance, import graphs, retrieval, packing, messages and telemetry."""
