@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import graph, index, messages, retrieval, telemetry
+from ..operators import extraction, graph, index, messages, retrieval, telemetry
 from . import tables as t
 
 QUERIES = {}
@@ -109,6 +109,19 @@ def url_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(more).select("page_id", text.served_path("url").alias("file"))
 
 
+#: A small project, as documents hold no code: path to text.
+PROJECT = {
+    "app/store.ts": 'import { Item } from "./types"\n\nexport const loadItems = async (limit: number): Promise<Item[]> => {\n  if (limit < 1) return []\n  return fetchAll(limit)\n}\n\nfunction fetchAll(n: number) {\n  return n > 10 ? [] : []\n}\n',
+    "app/types.ts": 'export interface Item { id: string; tags: string[] }\nexport type Result =\n  | { ok: true }\n  | { ok: false }\ninterface Hidden { x: number }\n',
+    "app/ItemList.tsx": 'import React from "react"\nimport { loadItems } from "./store"\nimport type { Item } from "./types"\n\nexport function ItemList({ items }: { items: Item[] }) {\n  const shown = useShown(items)\n  return <ul>{shown.map((i) => <li key={i.id}>if {i.id} it</li>)}</ul>\n}\n',
+}
+
+
+@query()
+def extract_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(spark.createDataFrame(list(PROJECT.items()), "path string, content string"))
+
+
 # --- retrieval -----------------------------------------------------------------------------------------------------
 
 

@@ -1 +1 @@
-
+"""Change feeds and running statistics with Structured Streaming."""
