@@ -14,7 +14,7 @@ from ..functions.text import base_name, chunk_tokens, stem
 #: Symbol names too common to mean anything (fixed values).
 GENERIC = ("get", "set", "run", "app", "use", "init", "load", "data", "item", "fn", "cb", "el", "on", "to", "of", "is", "has", "do", "go", "id", "ok", "no")
 WEIGHTS = {"function": 3, "component": 3, "type": 2, "file": 2}
-FEW = 10_000  # tasks or vectors that a search holds in each task at most
+FEW = 10_000  # queries that a vector search holds in each task at most
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -35,20 +35,24 @@ def file_symbols(files: DataFrame) -> DataFrame:
     return files.select("pos", "file_path", F.lit("file").alias("kind"), stem("file_path").alias("name"))
 
 
-def task_scores(tasks: DataFrame, symbols: DataFrame) -> DataFrame:
+def task_scores(tasks: DataFrame, symbols: DataFrame, longest: int = 40) -> DataFrame:
     """(task_id, file_path, pos, score): weights of a file's symbols whose name stands in the task, repeated ones counted again.
 
-    symbols: pos, file_path, kind, name. Names are grouped per file first. Containment has no key to join on, so the tasks
-    go to the symbols: they are the small side, a batch of requests of at most ``FEW`` rows; more are to be run in batches.
+    symbols: pos, file_path, kind, name. Containment becomes an equality: a task is spelled out into its substrings of up
+    to ``longest`` characters, and a name is looked up by its first ``longest``; longer names are then checked in full. So
+    neither side is held by a task and nothing is compared that doesn't share a key. Distinct names are matched, then files.
     """
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("kind")]
     useful = symbols.filter((F.length("name") >= 2) & ~F.lower("name").isin(*GENERIC))
     named = useful.groupBy("file_path", F.lower("name").alias("name")).agg(F.min("pos").alias("pos"), F.sum(weight).alias("weight"))
-    few = tasks.limit(FEW + 1).select("task_id", F.lower("task").alias("task"))
-    if few.count() > FEW:
-        raise ValueError(f"score at most {FEW} tasks at once")
-    hit = named.join(F.broadcast(few), F.col("task").contains(F.col("name")))
-    return hit.groupBy("task_id", "file_path").agg(F.min("pos").alias("pos"), F.sum("weight").cast("long").alias("score"))
+    low = tasks.select("task_id", F.lower("task").alias("task")).filter(F.length("task") >= 2)
+    starts = low.select("task_id", "task", F.explode(F.sequence(F.lit(1), F.length("task") - 1)).alias("at"))
+    sizes = F.sequence(F.lit(2), F.least(F.lit(longest), F.length("task") - F.col("at") + 1))
+    spelled = starts.select("task_id", F.explode(F.transform(sizes, lambda n: F.substring("task", F.col("at"), n))).alias("key")).distinct()
+    names = useful.select(F.lower("name").alias("name")).distinct().withColumn("key", F.substring("name", 1, longest))
+    whole = (F.length("name") <= longest) | F.col("task").contains(F.col("name"))
+    hit = names.join(spelled, "key").join(low, "task_id").filter(whole).select("task_id", "name")
+    return named.join(hit, "name").groupBy("task_id", "file_path").agg(F.min("pos").alias("pos"), F.sum("weight").cast("long").alias("score"))
 
 
 def top_files(scores: DataFrame, k: int = 5) -> DataFrame:
