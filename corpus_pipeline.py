@@ -18,8 +18,11 @@ SIMILARITY = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is recognised. Labels come from lang; lang itself stays as it is."""
-    found = langid.predict(docs, langid.fit(docs))
+    """Keep the documents whose language is recognised. Labels come from lang; lang itself stays as it is. Without any label nothing can be rejected."""
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs
+    found = langid.predict(docs, model)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 

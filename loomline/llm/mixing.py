@@ -81,7 +81,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = W.partitionBy("source").orderBy("odds", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     met = F.sum("size").over(order) - F.col("size") + F.col("cut_before")
     inside = joined.filter(exact).withColumn("extra", (2 * met + F.col("size") <= 2 * F.col("budget")).cast("long"))
-    out = outside.unionByName(inside).withColumn("copies", F.col("whole") + F.col("extra"))
+    extra = F.when(F.col("size") > 0, F.col("extra")).otherwise(0)  # blank documents don't count towards a target
+    out = outside.unionByName(inside).withColumn("copies", F.col("whole") + extra)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if carry else []))
 
 

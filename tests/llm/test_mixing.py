@@ -64,6 +64,11 @@ def test_only_blank_texts_and_empty(spark):
     assert mixing.mix_sources(table(spark, [])).collect() == []
 
 
+def test_blank_documents_of_a_capped_source_have_no_more_copies(spark):
+    data = [(i, "w " * 50, "en", "a", 0, 1, "", "", "", 0.0) for i in range(9)] + [(20, "w", "en", "b", 0, 1, "", "", "", 0.0), (21, "", "en", "b", 0, 1, "", "", "", 0.0), (22, None, "en", "b", 0, 1, "", "", "", 0.0)]
+    assert {r.doc_id: r.copies for r in mixing.mix_sources(table(spark, data)).collect() if r.doc_id >= 20} == {20: 3, 21: 3, 22: 3}
+
+
 def test_native_plan(spark):
     plan = mixing.mix_sources(table(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
