@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import source_hash
+from ..sources.scratch import ship
 
 FUNCTION = "struct<name:string,params:string,return_type:string,is_async:boolean,is_exported:boolean,start_line:int,end_line:int>"
 TYPE = "struct<kind:string,name:string,body:string,is_exported:boolean,start_line:int,end_line:int>"
@@ -389,5 +390,6 @@ def extracted(sources: DataFrame, **how: bool) -> DataFrame:
                     rows.append({"path": path, "file_hash": sha, **r, **{k: [dict(zip(fields[k], x, strict=True)) for x in r[k]] for k in names}})
             yield pd.DataFrame(rows, columns=["path", "file_hash", *names, "imports", "exports", "cyclomatic"])
 
+    ship(sources.sparkSession)
     rows = sources.select("path", "content", source_hash(F.coalesce("content", F.lit(""))).alias("file_hash"))
     return rows.mapInPandas(run, f"path string, file_hash string, {CHUNK}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import resolved
-from ..sources.scratch import written
+from ..sources.scratch import ship, written
 
 #: Suffixes tried for a relative specifier, in this order (fixed values).
 SUFFIXES = (".ts", ".tsx", "/index.ts", "/index.tsx", ".d.ts")
@@ -130,6 +130,7 @@ def walked_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     the graph of one project, and ``depths`` for all others.
     """
     listed = edges.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("dsts"))
+    ship(nodes.sparkSession)
     table = {r["src"]: r["dsts"] for r in listed.collect()}
     sent = nodes.sparkSession.sparkContext.broadcast(table)
     kind = nodes.schema["node"].dataType.simpleString()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import base_name, chunk_tokens, stem
+from ..sources.scratch import ship
 
 #: Symbol names too common to mean anything (fixed values).
 GENERIC = ("get", "set", "run", "app", "use", "init", "load", "data", "item", "fn", "cb", "el", "on", "to", "of", "is", "has", "do", "go", "id", "ok", "no")
@@ -105,6 +106,8 @@ def overlap(query: str, text: str) -> float:
 def scorer(model: Callable[[str, str], float] = overlap, batch: int = 32):
     """A scoring function (query, text) as an iterator UDF: the model is loaded once per task and fed in batches."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for q, t in batches:
@@ -131,6 +134,8 @@ def hashed_embedding(text: str, size: int = 64) -> list[float]:
 def embedder(model: Callable[[str], Sequence[float]] = hashed_embedding, size: int = 64, most: int = 3000):
     """An embedding function as a vectorised UDF over the first ``most`` characters; a failing model gives zeros, which upserts skip."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(t):

@@ -1,15 +1,20 @@
-"""Tables in the folder that all executors share, for loops whose plan must stay short."""
+"""What operators need of a session: the folder that all executors share, tables in it, and this package on the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomline-"))
@@ -17,7 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/loomline-{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder: cuts the lineage, outlives executors and gives Catalyst real sizes."""
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python can import it: Spark serves the archive from the driver."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    out = os.path.join(tempfile.mkdtemp(prefix="loomline-code-"), f"{root.name}.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(out)
+    _SHIPPED.add(app)
