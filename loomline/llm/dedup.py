@@ -188,6 +188,11 @@ def _meet(percent: int):
     return meet
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, sent whole if its rows are few enough; else the join shuffles."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
 def _links(classes: DataFrame, shingles, percent: int, risk: float) -> DataFrame | None:
     """Edges (a, b) between classes whose components are those of all links of at least ``percent``; None if no class has a candidate."""
     spark = classes.sparkSession
@@ -218,16 +223,15 @@ def _links(classes: DataFrame, shingles, percent: int, risk: float) -> DataFrame
     confirmed = written(sets.withColumn("i", inter).filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("ag") + F.size("bg") - F.col("i"))).select("a", "b"), "dedup-links")
 
     parts = connected(confirmed)
-    members = groups.join(parts, "node", "left").select("node", "g", F.coalesce("component", "node").alias("component"))
-    open_groups = members.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("g")
-    members = written(members.join(open_groups, "g"), "dedup-open")
-    volume = members.join(grams.select("node", F.size("grams").cast("long").alias("n")), "node")
-    by_part = volume.groupBy("g", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    alone = by_part.filter(F.col("c") >= BLOCK).select("g", "component", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.lit(True).alias("alone"))
-    mixed = by_part.filter(F.col("c") < BLOCK).groupBy("g").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).select("g", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_GRAMS)).cast("int").alias("mixed_blocks"))
-    dealt = members.join(alone, ["g", "component"], "left").join(mixed, "g", "left")
-    block = F.struct(F.when(F.col("alone"), F.col("component")).alias("only"), F.pmod(F.xxhash64("node"), F.coalesce("blocks", "mixed_blocks")).cast("int").alias("nth"))
-    dealt = written(dealt.select("node", "g", "component", block.alias("block")), "dedup-blocks")
+    members = written(groups.join(parts, "node", "left").select("node", "g", F.coalesce("component", "node").alias("component")), "dedup-members")
+    by_part = written(members.join(classes.select("node", "n"), "node").groupBy("g", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")), "dedup-parts")
+    alone = F.col("c") >= BLOCK  # such a component fills blocks of its own; the smaller ones of a group share blocks
+    per_group = by_part.groupBy("g").agg(F.count("*").alias("parts"), F.sum(F.when(~alone, F.col("c"))).alias("mc"), F.sum(F.when(~alone, F.col("s"))).alias("ms")).filter("parts > 1")
+    blocks_of = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(s / BLOCK_GRAMS)).cast("int")
+    shape = by_part.join(_small(written(per_group, "dedup-open")), "g")
+    shape = written(shape.select("component", F.when(alone, F.col("component")).alias("only"), F.when(alone, blocks_of(F.col("c"), F.col("s"))).otherwise(blocks_of(F.col("mc"), F.col("ms"))).alias("blocks")), "dedup-shapes")
+    block = F.struct("only", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("nth"))
+    dealt = written(members.join(_small(shape), "component").select("node", "g", "component", block.alias("block")), "dedup-blocks")
     blocks = dealt.select("g", "block").distinct()
     same = F.coalesce(F.col("x.only") == F.col("y.only"), F.lit(False))
     duels = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "g").filter((F.col("x") <= F.col("y")) & ~same)
