@@ -26,10 +26,13 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/loomline-{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, outlives executors and gives Catalyst real sizes."""
+def written(df: DataFrame, tag: str, rows: int | None = None, rows_a_file: int = 250_000) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage, outlives executors and gives Catalyst real sizes.
+
+    Where a bound of its rows is known, small tables go to few files: at least 8, and one per ``rows_a_file``.
+    """
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, rows // rows_a_file))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
