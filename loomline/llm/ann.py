@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import ship, written
+from .common import ship, tidy, written
 
 
 @dataclass(frozen=True)
@@ -111,13 +111,13 @@ def _packed(rows: DataFrame, cols: list[str], vector: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column(len(cols)).combine_chunks() if hasattr(batch.column(len(cols)), "combine_chunks") else batch.column(len(cols))
+            v = batch.column(len(cols))
             flat, ends = np.asarray(v.flatten(), "<f8"), np.concatenate([[0], np.cumsum(np.asarray(v.value_lengths()))])
             data = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(cols))), pa.array(data, pa.binary())], names=[*cols, "vec"])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in cols)
-    return rows.select(*cols, vector).mapInArrow(run, f"{schema}, vec binary")
+    return rows.select(*cols, vector).mapInArrow(tidy(run), f"{schema}, vec binary")
 
 
 def _matrix(column) -> np.ndarray:
@@ -196,7 +196,7 @@ def nearest(table: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec
                 at, which = np.nonzero(take)
                 yield pa.RecordBatch.from_arrays([pa.array(near[at, which], pa.int32()), part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at))], names=["list", "cid", "vec"])
 
-    posted = written(classes.select("cid", "ids", "vec").mapInArrow(assign, "list int, cid long, vec binary"), "ann-lists")
+    posted = written(classes.select("cid", "ids", "vec").mapInArrow(tidy(assign), "list int, cid long, vec binary"), "ann-lists")
     held = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}  # a row per list
     sizes = np.array([held.get(i, 0) for i in range(len(centroids))])
     graph = spark.sparkContext.broadcast(CentroidGraph(centroids, sizes, s))
@@ -210,7 +210,7 @@ def nearest(table: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec
                 yield pa.RecordBatch.from_arrays([pa.array([i for x in lists for i in x], pa.int32()), pa.array([n for x in lists for n in range(len(x))], pa.int32()), part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64()))], names=["list", "nth", "query_id", "vec"])
 
     queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).withColumnRenamed("id", "query_id")
-    routed = written(_packed(queries, ["query_id"], "emb").mapInArrow(route, "list int, nth int, query_id long, vec binary"), "ann-queries")
+    routed = written(_packed(queries, ["query_id"], "emb").mapInArrow(tidy(route), "list int, nth int, query_id long, vec binary"), "ann-queries")
 
     def searched(queries: DataFrame) -> DataFrame:
         """What each (query, list) finds, in blocks of at most about ``block`` vectors and queries."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 from .pieces import PieceCache, slices
 
 NEVER = 1 << 60
@@ -104,7 +104,7 @@ class Vocabulary:
         key = a << 20 | b
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > 2_000_000:
+            if len(self._compatible) > 500_000:
                 self._compatible.clear()
             known = self._compatible[key] = self._apart(a, b)
         return known
@@ -176,5 +176,5 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    out = rows.mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
     return out.withColumnRenamed("id", id_col)

@@ -2,68 +2,50 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from ..sources.scratch import scratch_path, written
+
+__all__ = ["BATCH_ROWS", "WORD", "held_out", "partitions", "scratch_path", "ship", "table", "tidy", "written"]
+
 #: One word of a text, in Java and Python syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_SHIPPED: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where it is unset (tests on one machine) a temporary folder is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept:
-            return kept
-        found = "file://" + tempfile.mkdtemp(prefix="loomline-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/loomline-{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, outlives executors and gives Catalyst real sizes."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of an Arrow batch at most. Texts can be long: smaller batches bound what a task holds on both sides.
 BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Ready the session for operators in Python: bounded Arrow batches, and this package on the executors, once per application."""
+    """Ready the session for operators in Python: bounded Arrow batches, and this package on the executors."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="loomline-code-"), f"{root.name}.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(out)
-    _SHIPPED.add(app)
+    scratch.ship(spark)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with memory handed back to the system after each task: workers are kept for later tasks, of other operators too."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
 
 
 def partitions(spark: SparkSession) -> int:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import ship, written
+from .common import ship, tidy, written
 from .components import connected
 from .pieces import slices
 
@@ -136,7 +136,7 @@ def _sets(rows: DataFrame, words: int, signed: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*cols, last], names=["id", "text_key", "n", "node", "sig" if signed else "grams"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_key long, n long, node long, " + ("sig array<int>" if signed else "grams array<long>"))
+    return rows.mapInArrow(tidy(run), f"id {kind}, text_key long, n long, node long, " + ("sig array<int>" if signed else "grams array<long>"))
 
 
 class _Forest:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship
+from .common import partitions, ship, tidy
 
 WINDOW = 7
 LEAST = 3  # smallest block size; the others are this times a power of two
@@ -164,7 +164,7 @@ def with_next(docs: DataFrame, fn, schema: str, *, id_col: str, text_col: str) -
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _compared(key: int | None, text: str, following: str) -> dict:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship
+from .common import held_out, ship, tidy
 from .pieces import slices
 
 #: Families by language code; a code in none is a family of its own.
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in range(3)), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["lang", "key", "doc_id", "ids", "shares"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = sorted(picked.mapInArrow(run, f"lang string, key long, doc_id {kind}, ids binary, shares binary").collect(), key=lambda r: (r["lang"], r["key"], str(r["doc_id"]), r["ids"]))
+    found = sorted(picked.mapInArrow(tidy(run), f"lang string, key long, doc_id {kind}, ids binary, shares binary").collect(), key=lambda r: (r["lang"], r["key"], str(r["doc_id"]), r["ids"]))
     kept: dict[str, int] = defaultdict(int)
     samples = []
     for r in found:
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 from .pieces import slices
 
 #: Kinds in the order that breaks ties of start.
@@ -156,7 +156,7 @@ def _scan(texts: DataFrame, kind: str, mark: str | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "spans", "clean"][: len(cols)])
 
     ship(texts.sparkSession)
-    return texts.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:int,end:int>>" + ", clean string" * (mark is not None))
+    return texts.mapInArrow(tidy(run), f"id {kind}, spans array<struct<kind:string,start:int,end:int>>" + ", clean string" * (mark is not None))
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import partitions, scratch_path, ship
+from .common import partitions, scratch_path, ship, tidy
 from .pieces import PieceCache, slices
 from .wavelet import WaveletMatrix
 
@@ -88,7 +88,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(shards or partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    rows.mapInArrow(run, "shard int, block int, base long, n_tokens long, ids array<long>, lengths array<int>, matrix binary").write.parquet(path)
+    rows.mapInArrow(tidy(run), "shard int, block int, base long, n_tokens long, ids array<long>, lengths array<int>, matrix binary").write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, *, keep_ids: bool = True, id_col: str = "doc_id") -> DataFrame:
@@ -115,7 +115,7 @@ def read_shards(spark: SparkSession, path: str, *, keep_ids: bool = True, id_col
         offsets.append((r["shard"], before))
         before += r["n"]
     offset = spark.createDataFrame(offsets, "shard int, before long")
-    docs = files.mapInArrow(run, "id long, shard int, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    docs = files.mapInArrow(tidy(run), "id long, shard int, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)
     return docs.join(F.broadcast(offset), "shard").select(F.col("id").alias(id_col), (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))  # a row per shard is sent
 
 

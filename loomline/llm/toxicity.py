@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship
+from .common import held_out, ship, tidy
 from .pieces import slices
 
 #: Identity terms; a term is swapped for the next one of its group.
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in range(2)), pa.array([packed(ws) for ws in words], pa.binary()), pa.array(other, pa.binary())], names=["doc_id", "y", "ids", "swapped"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    found = sorted(picked.mapInArrow(run, f"doc_id {kind}, y int, ids binary, swapped binary").collect(), key=lambda r: (str(r["doc_id"]), r["ids"]))
+    found = sorted(picked.mapInArrow(tidy(run), f"doc_id {kind}, y int, ids binary, swapped binary").collect(), key=lambda r: (str(r["doc_id"]), r["ids"]))
     return train([(r["y"], np.frombuffer(r["ids"], "<i4"), None if r["swapped"] is None else np.frombuffer(r["swapped"], "<i4")) for r in found], **how)
 
 
@@ -171,5 +171,5 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(scorer.scores(part), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select(F.col("doc_id").alias(id_col), held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
