@@ -27,9 +27,9 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     executor costs one round at most. Ends when a round changes nothing.
     """
     edges = written(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
-    state = None
+    state, n = None, 2 * edges.count()  # a round makes an edge per edge, and one per node at most
     for _ in range(rounds):
-        edges = written(_starred(_starred(edges, True), False), "edges")
+        edges = written(_starred(_starred(edges, True), False), "edges", n)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -37,4 +37,4 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     tied = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return written(tied.unionByName(tied.select(F.col("component").alias("node"), "component").distinct()).groupBy("node").agg(F.min("component").alias("component")), "components")
+    return written(tied.unionByName(tied.select(F.col("component").alias("node"), "component").distinct()).groupBy("node").agg(F.min("component").alias("component")), "components", n)

@@ -29,7 +29,7 @@ from .pieces import slices
 WORDS = 5
 COORDINATES = 64
 MOST_BROADCAST = 1_000_000  # rows of 16 bytes; beyond, the join shuffles
-BLOCK = 256
+BLOCK = 128
 BLOCK_GRAMS = 400_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -223,15 +223,15 @@ def _links(classes: DataFrame, shingles, percent: int, risk: float) -> DataFrame
     confirmed = written(sets.withColumn("i", inter).filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("ag") + F.size("bg") - F.col("i"))).select("a", "b"), "dedup-links")
 
     parts = connected(confirmed)
-    members = written(groups.join(parts, "node", "left").select("node", "g", F.coalesce("component", "node").alias("component")), "dedup-members")
-    by_part = written(members.join(classes.select("node", "n"), "node").groupBy("g", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")), "dedup-parts")
+    members = written(groups.join(parts, "node", "left").select("node", "g", F.coalesce("component", "node").alias("component")), "dedup-members", n_nodes)
+    by_part = written(members.join(classes.select("node", "n"), "node").groupBy("g", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")), "dedup-parts", n_nodes)
     alone = F.col("c") >= BLOCK  # such a component fills blocks of its own; the smaller ones of a group share blocks
     per_group = by_part.groupBy("g").agg(F.count("*").alias("parts"), F.sum(F.when(~alone, F.col("c"))).alias("mc"), F.sum(F.when(~alone, F.col("s"))).alias("ms")).filter("parts > 1")
     blocks_of = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(s / BLOCK_GRAMS)).cast("int")
-    shape = by_part.join(_small(written(per_group, "dedup-open")), "g")
-    shape = written(shape.select("component", F.when(alone, F.col("component")).alias("only"), F.when(alone, blocks_of(F.col("c"), F.col("s"))).otherwise(blocks_of(F.col("mc"), F.col("ms"))).alias("blocks")), "dedup-shapes")
+    shape = by_part.join(_small(written(per_group, "dedup-open", n_nodes)), "g")
+    shape = written(shape.select("component", F.when(alone, F.col("component")).alias("only"), F.when(alone, blocks_of(F.col("c"), F.col("s"))).otherwise(blocks_of(F.col("mc"), F.col("ms"))).alias("blocks")), "dedup-shapes", n_nodes)
     block = F.struct("only", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("nth"))
-    dealt = written(members.join(_small(shape), "component").select("node", "g", "component", block.alias("block")), "dedup-blocks")
+    dealt = written(members.join(_small(shape), "component").select("node", "g", "component", block.alias("block")), "dedup-blocks", n_nodes)
     blocks = dealt.select("g", "block").distinct()
     same = F.coalesce(F.col("x.only") == F.col("y.only"), F.lit(False))
     duels = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "g").filter((F.col("x") <= F.col("y")) & ~same)
