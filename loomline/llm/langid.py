@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import held_out, ship, tidy
 from .pieces import slices
 
-#: Families by language code; a code in none is a family of its own.
+#: Families by language code; codes in none are joined by likeness where there are many.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
     "romance": ("fr", "es", "it", "pt", "ca", "ro", "gl", "oc", "la"),
@@ -33,6 +33,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 BUCKETS = 1 << 14
+PART = 1 << 11  # buckets that are spread out at once in training
 
 _letters: np.ndarray | None = None
 
@@ -117,38 +118,60 @@ class Model:
         return out.tolist(), sure
 
 
-def machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss by accelerated gradient steps; both classes weigh alike."""
+def machine(gram: np.ndarray, y: np.ndarray, rounds: int = 150, decay: float = 1e-4) -> np.ndarray:
+    """Linear support vector machine with squared hinge loss by accelerated gradient steps; both classes weigh alike.
+
+    ``gram`` holds the inner products of the rows, plus 1 for the bias. Every step stays in the span of the rows, so the
+    result is their coefficients: no copy of the rows is made, however many features they have.
+    """
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    v = np.ones(x1.shape[1], np.float32)
-    for _ in range(8):  # largest curvature, for the step
-        v = x1.T @ (c * (x1 @ v))
+    v, top = np.ones(len(y), np.float32), 1.0
+    for _ in range(12):  # largest curvature, for the step
+        v = np.sqrt(c) * (gram @ (np.sqrt(c) * v))
         top = float(np.linalg.norm(v)) or 1.0
         v /= top
-    step = 1 / (2.2 * top + decay)
-    w = z = np.zeros(x1.shape[1], np.float32)
+    step = np.float32(1 / (2.2 * top + decay))
+    w = z = np.zeros(len(y), np.float32)
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ z))
-        grad = -2 * (x1.T @ (c * y * slack)) + decay * z
-        new = z - np.float32(step) * grad
+        slack = np.maximum(0, 1 - y * (gram @ z))
+        new = z - step * (np.float32(decay) * z - 2 * c * y * slack)
         z, w = new + np.float32(k / (k + 3)) * (new - w), new
-    return w[:-1], float(w[-1])
+    return w
+
 
+def families(langs: list[str], profiles: np.ndarray, most: int = 12) -> dict[str, str]:
+    """Family of each language: by the table; codes that it lacks are joined by likeness, to families of at most ``most``.
 
-def train(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """A model from (language, buckets, their shares)."""
+    So the number of machines stays near the number of languages times ``most``, whatever the labels are called.
+    """
+    table = {lang: name for name, own in FAMILIES.items() for lang in own}
+    out = {lang: table[lang] for lang in langs if lang in table}
+    rest = [i for i, lang in enumerate(langs) if lang not in table]
+    p = profiles / np.maximum(1e-12, np.linalg.norm(profiles, axis=1, keepdims=True))
+    while rest:
+        near = np.argsort(-(p[rest] @ p[rest[0]]), kind="stable")[:most] if len(rest) > most else np.arange(len(rest))
+        near = np.union1d(near, [0])[:most]
+        own = [rest[i] for i in near.tolist()]
+        # few unknown codes are families of their own, as nothing is known to join them
+        out |= {langs[i]: langs[i] if len(langs) <= most else f"~{langs[own[0]]}" for i in own}
+        rest = [i for i in rest if i not in own]
+    return out
+
+
+def train(samples: list[tuple[str, np.ndarray, np.ndarray]], per_machine: int = 600) -> Model:
+    """A model from (language, buckets, their shares), which stay sparse. A machine learns from ``per_machine`` rows of either side, drawn evenly."""
     langs = sorted({s[0] for s in samples})
     if not langs:
         return Model()
-    x = np.zeros((len(samples), BUCKETS), np.float32)
-    for i, (_, ids, shares) in enumerate(samples):
-        x[i, ids] = shares
-    scale = (1 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32)
-    x *= scale
     of = np.array([s[0] for s in samples])
-    table = {lang: name for name, own in FAMILIES.items() for lang in own}
-    family = {lang: table.get(lang, lang) for lang in langs}
+    mean = np.zeros(BUCKETS)
+    profiles = np.zeros((len(langs), BUCKETS), np.float32)
+    for lang, ids, shares in samples:
+        mean[ids] += shares
+        profiles[langs.index(lang), ids] += shares
+    scale = (1 / np.sqrt(mean / len(samples) + 1e-5)).astype(np.float32)
+    family = families(langs, profiles * scale)
+    del profiles
     fam = np.array([family[lang] for lang in of])
     pairs = [("", a, b) for a, b in combinations(sorted(set(family.values())), 2)]
     for name in sorted(set(family.values())):
@@ -156,26 +179,41 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     weights, bias = np.zeros((BUCKETS, len(pairs)), np.float32), np.zeros(len(pairs), np.float32)
     for j, (level, a, b) in enumerate(pairs):
         names = of if level else fam
-        rows = np.flatnonzero((names == a) | (names == b))
-        w, bias[j] = machine(x[rows], np.where(names[rows] == a, 1.0, -1.0).astype(np.float32))
-        weights[:, j] = w * scale
+        rows = np.concatenate([own[np.unique(np.linspace(0, len(own) - 1, min(len(own), per_machine)).astype(int))] for own in (np.flatnonzero(names == x) for x in (a, b))])
+        gram = np.ones((len(rows), len(rows)), np.float32)
+        x = np.zeros((len(rows), PART), np.float32)
+        for lo in range(0, BUCKETS, PART):
+            x[:] = 0
+            for i, r in enumerate(rows.tolist()):
+                _, ids, shares = samples[r]
+                p, q = np.searchsorted(ids, (lo, lo + PART))
+                x[i, ids[p:q] - lo] = shares[p:q]
+            x *= scale[lo : lo + PART]
+            gram += x @ x.T
+        w = machine(gram, np.where(names[rows] == a, 1.0, -1.0).astype(np.float32))
+        bias[j] = w.sum()
+        for c, r in zip(w, rows.tolist(), strict=True):
+            weights[samples[r][1], j] += c * samples[r][2]
+        weights[:, j] *= scale * scale
     return Model(langs, family, pairs, weights, bias)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, most_languages: int = 200) -> Model:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, rows_at_most: int = 6000) -> Model:
     """Train on whole texts of at most ``per_language`` labelled rows that aren't held out, picked by a hash of the id.
 
-    Labels are counted over all rows first, so the pick needs no shuffle of texts; what reaches the driver is bounded
-    by ``per_language`` times ``most_languages`` rows of bucket shares, however large the table is.
+    Every language is learnt; with many of them, each has fewer rows, so that about ``rows_at_most`` are picked in all (but
+    20 of each). Labels are counted over all rows first, so the pick needs no shuffle of texts; what reaches the driver are
+    the bucket shares of the picked rows, 4 and 4 bytes for each bucket that a text has, however large the table is.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter(F.col("lang").isNotNull() & ~held_out("doc_id"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
         return Model()
+    each = min(per_language, max(20, rows_at_most // len(counts)))
     spread = 1 << 20
     key = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(spread))
-    limits = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, 1.3 * per_language / n) * spread))])
+    limits = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, 1.3 * each / n) * spread) + 1)])
     picked = rows.withColumn("key", key).filter(F.col("key") < limits[F.col("lang")]).select("lang", "key", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +233,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     samples = []
     for r in found:
         kept[r["lang"]] += 1
-        if kept[r["lang"]] <= per_language and len(r["ids"]):
+        if kept[r["lang"]] <= each and len(r["ids"]):
             samples.append((r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["shares"], "<f4")))
+    del found
     return train(samples)
 
 
