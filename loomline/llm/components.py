@@ -17,24 +17,23 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
         out = out.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+    out = out.filter(F.col("a") != F.col("b"))
+    return out if large else out.distinct()  # once a round is enough: a large star makes an edge per edge at most
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component) for each node of the edges (a, b); a component is named by its least node. Nodes without edges aren't listed.
 
     Works on edges only, a star around a node is spread over tasks; each round is written to the shared folder, so a lost
-    executor costs one round at most. Ends when a round changes nothing.
+    executor costs one round at most. Ends when a round changes nothing. ``most`` bounds the number of edges, if known.
     """
-    edges = written(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
+    edges = written(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges", most)
     state, n = None, 2 * edges.count()  # a round makes an edge per edge, and one per node at most
-    for _ in range(rounds):
+    while n:  # the number of rounds grows with the logarithm of the longest path
         edges = written(_starred(_starred(edges, True), False), "edges", n)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("the components did not settle")
     tied = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return written(tied.unionByName(tied.select(F.col("component").alias("node"), "component").distinct()).groupBy("node").agg(F.min("component").alias("component")), "components", n)
+    return tied.unionByName(tied.select(F.col("component").alias("node"), "component").distinct())

@@ -162,3 +162,36 @@ def test_graph_reaches_every_list():
     c = ann.unit(np.random.default_rng(2).normal(size=(100, 8)))
     g = ann.CentroidGraph(c, np.ones(100), ann.Settings(ratio=100.0, least_vectors=1000))
     assert sorted(g.search(c[0])) == list(range(100))
+
+
+def test_unrelated_texts_share_no_value():
+    """Minima of large sets lie close together; their values must not, or unrelated documents of a large table meet."""
+    rng = np.random.default_rng(4)
+    sig = dedup.signatures([np.unique(rng.integers(0, 1 << 63, 2000).astype(np.uint64)) for _ in range(400)])
+    assert sig.dtype == np.uint64 and len(np.unique(sig)) == sig.size
+    high = sig.ravel() >> np.uint64(32)  # spread over the whole range: neither half of a value is poor
+    assert len(np.unique(high)) > 0.999 * sig.size and abs(float(np.mean(high >> np.uint64(31))) - 0.5) < 0.02
+
+
+def test_long_words_do_not_collide():
+    """Thue-Morse words of two letters have the same polynomial modulo 2**64 as their mirror."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    a, b = dedup.gram_sets([word, word.translate(str.maketrans("ab", "ba"))])
+    assert a[0] != b[0]
+
+
+def test_each_pair_is_counted_in_its_first_list_only():
+    import pyarrow as pa
+
+    def block(rows, more=()):
+        side = pa.array([0] * len(rows) + [1] * len(more), pa.int32())
+        rows = [*rows, *more]
+        return pa.table({"side": side, "k": [7] * len(rows), "token": pa.array([5] * len(rows), pa.int64()), "node": pa.array([r[0] for r in rows], pa.int64()), "component": pa.array([r[1] for r in rows], pa.int64()), "sig": pa.array([r[2] for r in rows], pa.list_(pa.int64())), "lists": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
+
+    same, other = [1] * 64, list(range(64))
+    met = dedup._suspects(40)(block([(1, 1, same, [5, 9]), (2, 2, same, [2, 5]), (3, 3, other, [5])]))
+    assert sorted(zip(met["side"].to_pylist(), met["node"].to_pylist(), strict=True)) == [(0, 1), (1, 2)]
+    assert dedup._suspects(40)(block([(1, 1, same, [2, 5]), (2, 2, same, [2, 5])])).num_rows == 0
+    assert dedup._suspects(40)(block([(1, 1, same, [5])], [(4, 1, same, [5])])).num_rows == 0
