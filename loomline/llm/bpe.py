@@ -104,7 +104,7 @@ class Vocabulary:
         key = a << 20 | b
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > 500_000:
+            if len(self._compatible) > 250_000:
                 self._compatible.clear()
             known = self._compatible[key] = self._apart(a, b)
         return known

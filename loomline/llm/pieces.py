@@ -32,23 +32,33 @@ def cut(text: str) -> list[str]:
 
 
 class PieceCache(dict):
-    """What each piece becomes. Pieces over ``longest`` letters seldom come again and aren't kept, and beyond ``most`` all are dropped: memory stays bounded."""
+    """What each piece becomes. Pieces over ``longest`` letters seldom come again and aren't kept.
 
-    def __init__(self, encode: Callable[[str], object], special: dict[str, object], most: int = 800_000, longest: int = 12):
+    Memory stays bounded: with half of ``most`` pieces at hand these become the old ones and those before them go; an old
+    piece that is met again is kept anew, so what is frequent stays.
+    """
+
+    def __init__(self, encode: Callable[[str], object], special: dict[str, object], most: int = 300_000, longest: int = 12):
         super().__init__()
-        self.encode, self.special, self.most, self.longest = encode, special, most, longest
+        self.encode, self.special, self.most, self.longest, self.old = encode, special, most, longest, {}
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def __missing__(self, piece: str):
-        out = self.encode(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.encode(piece)
         if len(piece) <= self.longest:
             self[piece] = out
         return out
 
+    def turn(self) -> None:
+        if len(self) > self.most // 2:
+            self.old = dict(self)
+            self.clear()
+
     def text(self, text: str) -> list:
         """What the pieces of a text become, in order."""
-        if len(self) > self.most:
-            self.clear()
+        self.turn()
         if self.split is not None and any(s in text for s in self.special):
             return [x for part in self.split.split(text) for x in ([self.special[part]] if part in self.special else map(self.__getitem__, cut(part)))]
         return list(map(self.__getitem__, cut(text)))

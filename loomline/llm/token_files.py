@@ -48,7 +48,7 @@ def opened(path: str) -> PieceCache:
             ids = [x.id for x in model.tokenize(spelled)]
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        _OPEN[path] = PieceCache(encode, {a.content: struct.pack("<I", i) for i, a in t.get_added_tokens_decoder().items()})
+        _OPEN[path] = PieceCache(encode, {a.content: struct.pack("<I", i) for i, a in t.get_added_tokens_decoder().items()}, most=800_000)
     return _OPEN[path]
 
 
