@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -28,9 +29,11 @@ _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _access = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of 24 or more is a maximal run, as one that is dropped ends where the next can't begin.
 _hex = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_base64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_jwt = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_pem = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|CERTIFICATE)[A-Z0-9 ]*)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_base64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+#: Looked for ahead, so that a token within a run of parts is found too; a part starts where letters of its kind start.
+_jwt = re.compile(r"(?<![A-Za-z0-9_-])(?=(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")
+_marker = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,64}+)-----")
+_header = re.compile(r"[A-Za-z0-9-]+:[^\n]*\n")
 
 
 def decoded(text: str) -> bytes | None:
@@ -42,29 +45,32 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
-def der_ends(data: bytes, at: int, end: int, depth: int = 0) -> int | None:
-    """Where the element at ``at`` ends, if its length and those of all nested elements fit; else None."""
-    if depth > 16 or end - at < 2:
-        return None
-    tag, size, at = data[at], data[at + 1], at + 2
-    if size & 0x80:
-        n = size & 0x7F
-        if not 1 <= n <= 4 or end - at < n:
+def der_ends(data: bytes, at: int, end: int) -> int | None:
+    """Where the element at ``at`` ends, if its length and those of all nested elements fit; else None. However deep, each byte is met once."""
+    ends: list[int] = []  # of the elements that are open
+    while True:
+        limit = ends[-1] if ends else end
+        if limit - at < 2:
             return None
-        size = int.from_bytes(data[at : at + n], "big")
-        if size < 0x80 or (n > 1 and data[at] == 0):
-            return None  # not the shortest form
-        at += n
-    stop = at + size
-    if stop > end:
-        return None
-    if tag & 0x20:
-        while at < stop:
-            nxt = der_ends(data, at, stop, depth + 1)
-            if nxt is None:
+        tag, size, at = data[at], data[at + 1], at + 2
+        if size & 0x80:
+            n = size & 0x7F
+            if not 1 <= n <= 4 or limit - at < n:
                 return None
-            at = nxt
-    return stop
+            size = int.from_bytes(data[at : at + n], "big")
+            if size < 0x80 or (n > 1 and data[at] == 0):
+                return None  # not the shortest form
+            at += n
+        if at + size > limit:
+            return None
+        if tag & 0x20:
+            ends.append(at + size)
+        else:
+            at += size
+        while ends and at == ends[-1]:
+            ends.pop()
+        if not ends:
+            return at
 
 
 def is_der(data: bytes | None) -> bool:
@@ -92,6 +98,28 @@ def is_openssh(data: bytes | None) -> bool:
     return len(data) - at >= 4
 
 
+def is_key(label: str, body: str) -> bool:
+    """What stands between two marker lines: DER or the OpenSSH format; with header lines, cipher text of whole blocks that they describe."""
+    body, headers, at = body.replace("\r\n", "\n").lstrip(), [], 0
+    while m := _header.match(body, at):
+        headers.append(m[0])
+        at = m.end()
+    data = decoded("".join(body[at:].split()))
+    if headers:
+        return bool(data) and len(data) % 8 == 0 and any(h.startswith("Proc-Type:") and "ENCRYPTED" in h for h in headers) and any(h.startswith("DEK-Info:") for h in headers)
+    return is_der(data) or (label.endswith("PRIVATE KEY") and is_openssh(data))
+
+
+def pem_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of key files: a marker line of a key or certificate whose next marker ends the same, with a body that parses."""
+    out, begun = [], None
+    for m in _marker.finditer(text):
+        if m[1] == "END" and begun and begun[2] == m[2] and is_key(m[2], text[begun.end() : m.start()]):
+            out.append((begun.start(), m.end()))
+        begun = m if m[1] == "BEGIN" and ("PRIVATE KEY" in m[2] or "CERTIFICATE" in m[2]) else None
+    return out
+
+
 def is_token(text: str) -> bool:
     """Header and payload are JSON objects and the header names its algorithm."""
     head, body, _ = text.split(".")
@@ -115,17 +143,18 @@ def find(text: str) -> list[tuple[int, int, int]]:
         if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0])):
             out.append((m.start(), 5, m.end()))
     if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in _jwt.finditer(text) if is_token(m[0])]
-    keys = []
-    if "-----BEGIN" in text:
-        for m in _pem.finditer(text):
-            data = decoded("".join(m[2].split()))
-            if is_der(data) or is_openssh(data):
-                keys.append(m.span())
-        out += [(a, 4, b) for a, b in keys]
+        at = 0
+        for m in _jwt.finditer(text):
+            if m.start() >= at and is_token(m[1]):
+                at = m.end(1)
+                out.append((m.start(), 3, at))
+    keys = pem_blocks(text) if "-----BEGIN" in text else []
+    out += [(a, 4, b) for a, b in keys]
+    starts = [a for a, _ in keys]
     for m in _base64.finditer(text):  # a sequence begins with the letter M
-        if m[0][0] == "M" and not any(a <= m.start() < b for a, b in keys) and is_der(decoded(m[0])):
-            out.append((m.start(), 5, m.end()))
+        a = m.start() + len(m[0]) - len(m[0].lstrip("+/_-"))  # a path's or a list's mark may stand before it
+        if text[a] == "M" and not (starts and (k := bisect.bisect_right(starts, a)) and a < keys[k - 1][1]) and is_der(decoded(text[a : m.end()])):
+            out.append((a, 5, m.end()))
     return sorted(out)
 
 
@@ -162,8 +191,9 @@ def _scan(texts: DataFrame, kind: str, mark: str | None) -> DataFrame:
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and spans, an array of (kind, start, end) by start, then kind.
 
-    Whole texts; a null text has no spans, as an empty one. Repeated rows and null ids stay rows; further columns are
-    ignored. Rows stay where they are read: no shuffle.
+    Whole texts, in time that grows with their length whatever they hold; a null text has no spans, as an empty one.
+    Repeated rows and null ids stay rows; further columns, whatever their names, are ignored; no rows give none. Rows
+    stay where they are read: no shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return _scan(rows, rows.schema["id"].dataType.simpleString(), None).withColumnRenamed("id", id_col)

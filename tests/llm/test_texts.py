@@ -128,3 +128,65 @@ def test_neighbours(spark):
     assert fp.fingerprint_neighbours(table(spark, [])).collect() == []
     one = fp.fingerprint_neighbours(table(spark, data[:1])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_patterns_are_linear_on_hostile_texts():
+    import time
+
+    n = 2_000_000
+    for bit in ("eyJ", "eyJ.", "-----BEGIN PRIVATE KEY PRIVATE KEY", "-----BEGIN PRIVATE KEY-----\n", "MII/", "token ", "password=", "AKIA", "30", "0" * 30 + "g"):
+        text, began = bit * (n // len(bit)), time.time()
+        ss.find(text)
+        assert time.time() - began < 6, bit
+
+
+def test_deep_nesting_encrypted_keys_and_marks_before_a_key():
+    inner = der(2, b"\1" * 20)
+    for _ in range(100):
+        inner = der(0x30, inner)
+    deep = base64.b64encode(der(0x30, der(2, b"\0") + inner)).decode()
+    assert ("der", deep) in kinds(f"x {deep} y")
+    b64 = base64.b64encode(KEY).decode()
+    assert ("der", b64) in kinds(f"at /{b64} y")
+    body = base64.b64encode(bytes(range(96))).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", pem) in kinds(pem) and "pem" not in [k for k, _ in kinds(pem.replace(head, ""))]
+    two = f"{jwt({'alg': 'HS256'})}"
+    assert ("jwt", two) in kinds(f"eyJx.{two}")
+
+
+def slow_fingerprint(text):
+    """The definition, byte by byte."""
+    data = text.encode()
+    ends = []
+    for i in range(len(data)):
+        h = sum((data[i - k] + 1) * 0x01000193 ** (k + 1) for k in range(7) if i >= k) % 2**32
+        h ^= h >> 15
+        h = h * 0x85EBCA6B % 2**32
+        h = ((h ^ h >> 13) + 1) % 2**32
+        ends.append(next((v for v in range(31, -1, -1) if h and h % (3 << v) == 0), -1))
+
+    def signature(level):
+        cuts = [i + 1 for i, v in enumerate(ends) if v >= level][:63]
+        if not cuts or cuts[-1] < len(data):
+            cuts = [*cuts, len(data)] if data else []
+        import zlib
+
+        return "".join(fp.LETTERS[zlib.crc32(data[a:b]) & 63] for a, b in zip([0, *cuts], cuts, strict=False))
+
+    level = 0
+    while 3 * 64 << level < len(data):
+        level += 1
+    low = max(0, level - 8)
+    while level > low and sum(v >= level for v in ends) < 31:
+        level -= 1
+    return f"{3 << level}:{signature(level)}:{signature(level + 1)}"
+
+
+def test_fingerprints_by_definition():
+    rng = random.Random(12)
+    for n in (0, 1, 3, 20, 63, 200, 900, 3000):
+        text = prose(rng, n) if n else ""
+        assert fp.fingerprint.__wrapped__(text) == slow_fingerprint(text), n
+    assert fp.fingerprint.__wrapped__("a" * 3000) == slow_fingerprint("a" * 3000)
