@@ -126,8 +126,8 @@ def _range_of(bounds: list, col) -> object:
 def with_next(docs: DataFrame, fn, schema: str, *, id_col: str, text_col: str) -> DataFrame:
     """Apply ``fn(id, text, next text)`` to every row, next in ascending id (nulls first, ties by text), after the last the first.
 
-    Rows are dealt into ranges of ids; the first row of each range is also sent to the range before it, so that texts
-    are shuffled once and every task streams its ranges.
+    Rows are dealt into ranges of ids, one a task; the first row of each range is also sent to the range before it, so that
+    texts are shuffled once and every task streams its range.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -149,7 +149,7 @@ def with_next(docs: DataFrame, fn, schema: str, *, id_col: str, text_col: str) -
         rows = rows.join(table, "p").select("id", "text", F.explode(places).alias("to")).select("id", "text", "to.p", "to.look")
     else:
         rows = rows.withColumn("look", F.lit(False))
-    rows = rows.repartition(n, "p").sortWithinPartitions("p", "look", F.col("id").asc_nulls_first(), "text").select("p", "look", "id", "text")
+    rows = rows.repartitionById(n, F.col("p")).sortWithinPartitions("p", "look", F.col("id").asc_nulls_first(), "text").select("p", "look", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = None, None  # the row that waits for its next text
