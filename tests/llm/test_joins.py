@@ -140,7 +140,7 @@ def test_nearest(spark):
     data = [(i, rng.normal(size=8).astype(np.float32).tolist(), 0, 1, "x") for i in range(900)]
     data += [(1000 + i, data[3][1], 0, 1, "x") for i in range(300)]  # a very common vector
     data += [(2000, None, 0, 1, "x"), (2050, [0.0] * 8, 0, 1, "x"), (2100, [float("nan")] + [1.0] * 7, 0, 1, "x"), (2150, [None] + [1.0] * 7, 0, 1, "x"), (2200, [1.0] * 3, 0, 1, "x"), (None, [1.0] * 8, 0, 1, "x"), (2250, [float("inf")] + [1.0] * 7, 0, 1, "x")]
-    small = ann.Settings(list_size=32, block=64, least_vectors=64, first=2)
+    small = ann.Settings(list_size=32, block_bytes=64 * 64, least_vectors=64, region=4)
     got = defaultdict(dict)
     for r in ann.nearest(vectors(spark, data), settings=small).collect():
         got[r.query_id][r.rank] = r.vec_id
@@ -151,6 +151,49 @@ def test_nearest(spark):
     assert [got[1000][r] for r in range(1, 6)] == want[1000]  # ties go to smaller ids
 
 
+def searched(v, queries, s):
+    """(recall of 5, share of the rows that a query meets) outside Spark, by the operator's own parts."""
+    v = ann.unit(v)
+    c = ann.halved(v, max(1, min(len(v) // 8, -(-len(v) // s.list_size))))
+    at, lists, primary = ann.assigned(v, c, s)
+    graph = ann.CentroidGraph(c, np.bincount(lists, minlength=len(c)), s)
+    members, hits, scanned = [at[lists == i] for i in range(len(c))], 0, 0
+    for q in queries:
+        near, broad = ann.taken(graph, v[q])
+        rows = np.arange(len(v)) if broad else np.concatenate([members[i] for i in near])
+        scanned += len(rows)
+        rows = np.unique(rows)
+        got, want = (x[np.argsort(-(v[x] @ v[q]), kind="stable")[1:6]] for x in (rows, np.arange(len(v))))
+        hits += len(np.intersect1d(got, want))
+    return hits / 5 / len(queries), scanned / len(v) / len(queries)
+
+
+def test_recall_under_pruning():
+    """Clustered vectors: few are met and nearly all neighbours found. Vectors without structure: each is met once at most."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(100, 32))
+    for noise, most in ((0.1, 0.3), (0.3, 0.4), (0.6, 0.7)):
+        v = centres[rng.integers(0, 100, 20_000)] + noise * rng.normal(size=(20_000, 32))
+        recall, share = searched(v, range(0, 20_000, 400), ann.Settings())
+        assert recall > 0.97 and share < most, (noise, recall, share)
+    recall, share = searched(rng.normal(size=(20_000, 32)), range(0, 20_000, 400), ann.Settings())
+    assert recall > 0.97 and share <= 1.0, (recall, share)
+
+
+def test_proportional_vectors_and_other_lengths(spark):
+    base = [0.3, -0.7, 0.2, 0.9, 0.1, 0.4, -0.2, 0.6]
+    data = [(i, [x * (1 + i % 97) for x in base], 0, 1, "x") for i in range(300)] + [(1000 + i, [1.0, float(i), 2.0], 0, 1, "x") for i in range(60)]
+    got = defaultdict(dict)
+    for r in ann.nearest(vectors(spark, data)).collect():
+        got[r.query_id][r.rank] = r
+    assert all(-1 <= r.score <= 1 for g in got.values() for r in g.values())
+    assert {r.vec_id >= 1000 for r in got[1050].values()} == {True} and [got[1050][k].vec_id for k in (1, 2)] == [1051, 1049]
+    for q in range(0, 300, 50):
+        v = {i: np.array(np.float32(x), float) for i, x, *_ in data[:300]}
+        cos = {i: min(1.0, float((w * v[q]).sum() / (np.sqrt((w * w).sum()) * np.sqrt((v[q] * v[q]).sum())))) for i, w in v.items() if i != q}
+        assert [got[q][k].vec_id for k in range(1, 6)] == sorted(cos, key=lambda i: (-cos[i], i))[:5]
+
+
 def test_few_and_no_vectors(spark):
     assert ann.nearest(vectors(spark, [])).collect() == []
     few = [(i, [1.0, float(i)], 0, 0, "") for i in (0, 50, 51)]
