@@ -102,3 +102,71 @@ def test_toxicity_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert len(toxicity.score(table(spark), toxicity.fit(table(spark), none)).collect()) == len(rows())
     assert toxicity.score(table(spark, []), toxicity.fit(table(spark, []), marks)).collect() == []
+
+
+def brute_score(model, text):
+    import math
+    import re
+
+    z = model.bias
+    for w in set(re.findall(r"[^\W_]+", text.lower())):
+        parts = [w] if len(w) <= 4 else [w, "^" + w[:4]]
+        z += sum(model.weights.get(zlib.crc32(p.encode()) % (1 << 20), 0.0) for p in parts)
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_word_by_word(spark):
+    docs, labels = toxic_corpus(200)
+    model = toxicity.fit(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for r in toxicity.score(table(spark, docs), model).collect():
+        text = next(d[1] for d in docs if d[0] == r.doc_id)
+        assert abs(r.score - brute_score(model, text)) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
+def test_every_other_term_of_a_group_comes_and_goes():
+    groups = (("aa", "bb", "cc"), ("dd", "ee"))
+    b = lambda w: toxicity.buckets_of(w)
+    assert sorted(toxicity.counterfactuals({"aa", "x"}, groups)) == sorted([(b("bb"), b("aa")), (b("cc"), b("aa"))])
+    put = toxicity.counterfactuals({"x"}, groups)
+    assert put and all(go == () for _, go in put) and {c for c, _ in put} in ({b("aa"), b("bb"), b("cc")}, {b("dd"), b("ee")})
+
+
+def test_naming_a_group_changes_no_verdict_where_its_letters_are_evidence(spark):
+    """Toxic words here begin like identity terms, which the corpus never has: only the counterfactuals put in can tell."""
+    rng = random.Random(11)
+    docs, labels = toxic_corpus(400)
+    docs = [(i, t.replace(" muslim", "") + (" " + rng.choice(["muslxyz", "blaczzz", "refuqqq"]) if y else ""), *d) for (i, t, *d), (_, _, y) in zip(docs, labels, strict=True)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    clean = [d[1] for d, (_, _, y) in zip(docs, labels, strict=True) if not y][:50]
+    fair, free = (toxicity.mention_gap(toxicity.fit(table(spark, docs), marks, fairness=f), clean) for f in (4.0, 0.0))
+    assert 100 * fair < free, (fair, free)
+    model = toxicity.fit(table(spark, docs), marks)
+    assert all(model.weights.get(b) is not None for b in toxicity.buckets_of("muslim"))
+
+
+def test_long_texts_and_repeated_rows(spark):
+    docs, labels = toxic_corpus(200)
+    data = [docs[0]] * 3 + [(None, docs[0][1], *docs[0][2:]), (9999, " ".join([docs[1][1]] * 3000), *docs[0][2:])]
+    model = toxicity.fit(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = toxicity.score(table(spark, data), model).collect()
+    same = {r.score for r in got if r.doc_id != 9999}
+    assert len(got) == 5 and len(same) == 1
+    assert abs(next(r.score for r in got if r.doc_id == 9999) - brute_score(model, docs[1][1])) < 1e-9
+    found = langid.identify(table(spark, [(*d[:2], "en", *d[3:]) for d in data])).collect()
+    assert len(found) == 5 and len({r.lang_pred for r in found}) == 1
+
+
+def test_many_languages_are_all_learnt():
+    """Codes that no family lists are joined by likeness; none is left out, and machines don't grow with the square."""
+    rng = random.Random(2)
+    samples, alphabets = [], {f"q{i:03}": [chr(0x4E00 + 8 * i + k) for k in range(8)] for i in range(60)}
+    texts = {lang: [" ".join("".join(rng.choice(own) for _ in range(5)) for _ in range(20)) for _ in range(8)] for lang, own in alphabets.items()}
+    for lang, own in texts.items():
+        for t in own[:6]:
+            ids, n = langid.triples([t])
+            u, c = np.unique(ids, return_counts=True)
+            samples.append((lang, u, (c / n[0]).astype(np.float32)))
+    model = langid.train(samples)
+    assert model.langs == sorted(texts) and len(model.pairs) < 60 * 59 / 4
+    flat = [(lang, t) for lang, own in texts.items() for t in own[6:]]
+    assert np.mean([a == b for a, (b, _) in zip(model.predict([t for _, t in flat])[0], flat, strict=True)]) > 0.95
