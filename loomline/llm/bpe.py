@@ -9,7 +9,6 @@ Back-pointers from the end spell the ids.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, tidy
-from .pieces import PieceCache, slices
+from .pieces import PieceCache, assumed, slices
 
 NEVER = 1 << 60
 
@@ -33,8 +32,7 @@ class Vocabulary:
     """A byte-level BPE vocabulary file (tokenizers library JSON)."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = assumed(path)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s).decode("latin-1")
         ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,23 @@ def cut(text: str) -> list[str]:
     return _latin.findall(text)
 
 
+def assumed(path: str) -> dict:
+    """The tokenizer file, if it says what ``cut`` and the caches take for granted; else an error, as ids would be wrong without a word."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [name for name, bad in (
+        ("a normalizer", spec.get("normalizer")),
+        ("a pre-tokenizer other than ByteLevel with its pattern and without an added space", before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True)),
+        ("a model other than BPE", model.get("type", "BPE") != "BPE"),
+        ("model options", any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))),
+        ("added tokens that take spaces or whole words only", any(a.get(k) for a in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))),
+    ) if bad]
+    if wrong:
+        raise ValueError(f"{path} has {', '.join(wrong)}")
+    return spec
+
+
 class PieceCache(dict):
     """What each piece becomes. Pieces over ``longest`` letters seldom come again and aren't kept.
 

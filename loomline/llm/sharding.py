@@ -18,7 +18,7 @@ from pyspark.sql.window import Window as W
 
 from .common import written
 
-LAWS = ("bytes", "rows")
+LOADS = ("bytes", "rows")
 
 
 def ring_nodes(n_shards: int, vnodes: int, cells: int) -> list[tuple[int, int]]:
@@ -65,10 +65,10 @@ def ring_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", t
     ring's key is id and crc, so many rows with a null or repeated id still spread; whole repeated rows stay together.
     slot numbers a shard's rows from 0, by cell, then id (nulls first), crc and size. ``load`` bounds bytes or rows.
     grown_shard is null: under bounded loads what others weigh decides too. An empty table gives no rows; further
-    columns of ``docs`` are ignored.
+    columns of ``docs`` are ignored. law is null if rows are bounded: cells are placed whole, so counts are near equal only.
     """
-    if load not in LAWS:
-        raise ValueError(f"load must be one of {LAWS}")
+    if load not in LOADS:
+        raise ValueError(f"load must be one of {LOADS}")
     spark, cells = docs.sparkSession, 1 << ring_bits
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("crc"))
@@ -85,5 +85,5 @@ def ring_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", t
     return (
         rows.withColumn("nth", within)
         .join(F.broadcast(ring_df), "cell")  # at most 2**ring_bits rows of 16 bytes
-        .select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit(load).alias("law"), "shard", (F.col("base") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit(load if load == "bytes" else None).cast("string").alias("law"), "shard", (F.col("base") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

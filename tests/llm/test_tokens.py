@@ -88,9 +88,9 @@ def test_wavelet_over_many_steps():
         WaveletMatrix.build(np.array([70_000]), 16)
 
 
-@pytest.mark.parametrize("block", [1, 1 << 20])
-def test_token_files(spark, block):
-    got = token_files.token_file_digests(table(spark), PATH, shards=3, block_tokens=block).collect()
+@pytest.mark.parametrize("how", [{"shards": 3}, {"shards": 1}, {"shard_bytes": 2000}, {}])
+def test_token_files(spark, how):
+    got = token_files.token_file_digests(table(spark), PATH, **how).collect()
     order = sorted(rows(), key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, (d[1] or "").encode()))
     want, start = [], 0
     for d in order:
@@ -101,6 +101,43 @@ def test_token_files(spark, block):
     assert token_files.token_file_digests(table(spark, []), PATH).collect() == []
 
 
+def test_shards_answer_places_counts_and_occurrences(spark, tmp_path):
+    path = f"file://{tmp_path}/asked"
+    token_files.write_shards(table(spark), path, PATH, shards=3)
+    order = sorted(rows(), key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, (d[1] or "").encode()))
+    flat = np.array([i for d in order for i in [*ids_of(d[1]), 2]])
+    assert spark.read.parquet(path).count() <= 3  # a matrix a shard
+    places = [0, 1, 17, len(flat) // 2, len(flat) - 1, len(flat), -1]
+    assert sorted(map(tuple, token_files.tokens_at(spark, path, places).collect())) == [(i, flat[i]) for i in places[:5]]
+    many = list(range(0, len(flat), 7))
+    assert [r.token for r in sorted(token_files.tokens_at(spark, path, many).collect())] == flat[many].tolist()
+    asked = [2, int(flat[0]), int(flat[40]), 50_000, 70_000]
+    assert {r.token: r.n for r in token_files.token_counts(spark, path, asked).collect()} == {t: int((flat == t).sum()) for t in asked}
+    got = sorted(map(tuple, token_files.occurrences(spark, path, asked).collect()))
+    assert got == sorted((t, int(i)) for t in set(asked) for i in np.flatnonzero(flat == t))
+
+
+def test_look_ups_unpack_one_piece_of_each_plane():
+    ids = np.random.default_rng(1).integers(0, 50_000, 3_000_000).astype(np.uint32)
+    m = WaveletMatrix.loads(WaveletMatrix.build(ids, 16).dumps())
+    assert m.access(1_234_567) == ids[1_234_567]
+    assert all(len(p._open) <= 2 and p._raw is None and len(p.pieces) > 4 for p in m.planes)
+    assert m.count(int(ids[5])) == (ids == ids[5]).sum() and m.places(int(ids[5])).tolist() == np.flatnonzero(ids == ids[5]).tolist()
+    at = np.random.default_rng(2).integers(0, len(ids), 1000)
+    assert m.take(at).tolist() == ids[at].tolist()
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**spec["model"], "ignore_merges": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(path))
+
+
 def test_files_are_read_back_with_ids(spark, tmp_path):
     path = f"file://{tmp_path}/shards"
     token_files.write_shards(table(spark), path, PATH, shards=2)
