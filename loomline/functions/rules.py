@@ -103,3 +103,52 @@ def bar(value: str | Column, most: str | Column, width: int = 20) -> Column:
     """A text bar of ``width`` cells."""
     filled = F.when(col(most) > 0, F.greatest(F.lit(0), F.least(F.lit(width), round_half_up(col(value) / col(most) * width)))).otherwise(F.lit(0)).cast("int")
     return F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled))
+
+
+def short_bytes_text(n: str | Column) -> Column:
+    """The terminal's size: whole bytes, KB with one decimal, MB with two."""
+    x = F.coalesce(col(n), F.lit(0)).cast("double")
+    fixed = lambda value, digits, unit: F.concat(F.format_string(f"%.{digits}f", value), F.lit(unit))
+    return F.when(x < 1024, fixed(x, 0, " B")).when(x < 1024**2, fixed(x / 1024, 1, " KB")).otherwise(fixed(x / 1024**2, 2, " MB"))
+
+
+def short_uptime_text(seconds: str | Column) -> Column:
+    """The terminal's uptime: its two largest units."""
+    s = F.coalesce(col(seconds), F.lit(0)).cast("long")
+    h, m = F.floor(s / 3600).cast("string"), F.floor(s % 3600 / 60).cast("string")
+    return F.when(s >= 3600, F.concat(h, F.lit("h "), m, F.lit("m"))).when(s >= 60, F.concat(m, F.lit("m "), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+
+
+def total_time_text(seconds: str | Column) -> Column:
+    """Minutes, if there are any, and whole seconds."""
+    s = F.coalesce(col(seconds), F.lit(0)).cast("double")
+    m = F.floor(s / 60)
+    return F.concat(F.when(m > 0, F.concat(m.cast("string"), F.lit("m "))).otherwise(""), F.floor(s % 60).cast("string"), F.lit("s"))
+
+
+def context_seconds_text(ast_ms: str | Column, rag_ms: str | Column) -> Column:
+    """Seconds that finding context took, to two decimals; half a hundredth counts up, as decimals are counted."""
+    hundredths = F.floor((col(ast_ms) + col(rag_ms) + 5) / 10)
+    return F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit("s"))
+
+
+#: Marks of a log line's colour, first hit first (fixed values).
+LOG_COLOURS = (("error", ("[Error", "Exception", "Failed")), ("model", ("[MLX]",)), ("core", ("[Core]",)))
+
+
+def log_colour(line: str | Column) -> Column:
+    """Class of a log line's colour: error, model, core or plain; case counts."""
+    out = F.lit("plain")
+    for name, marks in reversed(LOG_COLOURS):
+        hit = F.lit(False)
+        for m in marks:
+            hit = hit | F.coalesce(col(line), F.lit("")).contains(m)
+        out = F.when(hit, F.lit(name)).otherwise(out)
+    return out
+
+
+def padded(value: str | Column, width: int, right: bool = False) -> Column:
+    """Text filled up to ``width``: at its end, or with ``right`` at its start; longer text stays whole."""
+    text = F.coalesce(col(value).cast("string"), F.lit(""))
+    fill = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length(text)))
+    return F.concat(fill, text) if right else F.concat(text, fill)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,42 +43,55 @@ def potential_importers(imports: DataFrame, targets: DataFrame) -> DataFrame:
     return import_candidates(imports).join(targets.select(F.col("path").alias("candidate")), "candidate").select(F.col("candidate").alias("path"), F.col("file_path").alias("importer")).distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = True, rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = True) -> DataFrame:
     """(node, steps): all nodes that reach the seeds (or, forwards, are reached), seeds included, with the least number of steps.
 
-    Breadth first: each round joins the frontier once and drops what was seen; rounds are written out, so the plan stays short.
+    Breadth first, until a round finds nothing: each round joins the frontier once and drops what was seen. Rounds are
+    written out, so the plan stays short; what was seen is one table again after every few rounds.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     pairs = written(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "pairs")
-    seen = frontier = written(seeds.select("node").distinct().withColumn("steps", F.lit(0)), "reach")
-    for step in range(1, rounds + 1):
+    frontier = written(seeds.select("node").distinct().withColumn("steps", F.lit(0)), "reach")
+    seen, step = frontier, 0
+    while not frontier.isEmpty():
+        step += 1
         new = frontier.join(pairs, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("steps", F.lit(step))
         frontier = written(new, "reach")
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
+        if step % 8 == 0:
+            seen = written(seen, "reach-seen")
     return seen
 
 
-def depths(edges: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+def depths(edges: DataFrame, nodes: DataFrame, most: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, depth): length of the longest path from each node; nodes on or before a cycle have null (or ``most``, if given).
 
-    Peels sinks off: in round k go the nodes all of whose targets have gone, and k is their depth.
+    ``known``: (node, depth) of nodes outside ``nodes``, which keep their depth; other targets aren't nodes and don't count.
+    A node is done when all its targets are; every round takes the targets that have just been done off the counts of
+    those before them, and rewrites only what is still open.
     """
-    left = written(edges.filter("src != dst").select("src", "dst").distinct().join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"), "depth-edges")
-    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    open_nodes, out, k = written(nodes.select("node").distinct(), "depth-nodes"), None, 0
+    inside = nodes.select("node").distinct()
+    pairs = edges.select("src", "dst").distinct().join(inside.withColumnRenamed("node", "src"), "src", "left_semi")
+    own = written(pairs.join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "depth-edges")
+    state = inside.join(own.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open")), "node", "left").select("node", F.coalesce("open", F.lit(0)).cast("long").alias("open"))
+    if known is None:
+        state = state.withColumn("least", F.lit(0).cast("long"))
+    else:
+        outer = known.join(inside, "node", "left_anti").select(F.col("node").alias("dst"), (F.col("depth") + 1).cast("long").alias("d"))
+        floor = pairs.join(outer, "dst").groupBy(F.col("src").alias("node")).agg(F.max("d").alias("d"))
+        state = state.join(floor, "node", "left").select("node", "open", F.coalesce("d", F.lit(0)).alias("least"))
+    depth = F.when(F.col("open") == 0, F.col("least")).alias("depth")
+    state, out = written(state.select("*", depth), "depth-state"), None
     while True:
-        waiting = left.select(F.col("src").alias("node")).distinct().unionByName(loops)
-        done = written(open_nodes.join(waiting, "node", "left_anti").withColumn("depth", F.lit(k).cast("long")), "depth-done")
+        done, rest = state.filter("depth IS NOT NULL").select("node", "depth"), state.filter("depth IS NULL").drop("depth")
         if done.isEmpty():
             break
         out = done if out is None else out.unionByName(done)
-        open_nodes = written(open_nodes.join(done, "node", "left_anti"), "depth-nodes")
-        left = written(left.join(done.select(F.col("node").alias("dst")), "dst", "left_anti"), "depth-edges")
-        k += 1
-    rest = open_nodes.withColumn("depth", F.lit(most).cast("long"))
-    return rest if out is None else out.unionByName(rest)
+        off = own.join(done.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), (F.max("depth") + 1).alias("d"))
+        state = rest.join(off, "node", "left").select("node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("least", F.coalesce("d", F.lit(0))).alias("least"))
+        state = written(state.select("*", depth), "depth-state")
+    stuck = state.select("node", F.lit(most).cast("long").alias("depth"))
+    return stuck if out is None else out.unionByName(stuck)
 
 
 def cyclic_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -123,21 +136,62 @@ def walk(start, edges: dict) -> tuple[int, list]:
     return deepest, again
 
 
-def walked_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, depth, cyclic_refs, cyclic_edges) in the stack order of a sequential walk, which calls diamonds cycles.
+def walked_metrics(edges: DataFrame, nodes: DataFrame, project: str = "project") -> DataFrame:
+    """(project, node, depth, cyclic_refs, cyclic_edges) in the stack order of a sequential walk, which calls diamonds cycles.
 
-    Each start walks by itself, so starts are spread over tasks; every task holds the edges, which is why this mode is for
-    the graph of one project, and ``depths`` for all others.
+    The order of a walk is that of its project's edges (project, src, pos, dst), so a project is what one task holds; all
+    projects are spread over the tasks. For graphs of any size there is ``depths``.
     """
-    listed = edges.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("dsts"))
     ship(nodes.sparkSession)
-    table = {r["src"]: r["dsts"] for r in listed.collect()}
-    sent = nodes.sparkSession.sparkContext.broadcast(table)
-    kind = nodes.schema["node"].dataType.simpleString()
+    kind, group = nodes.schema["node"].dataType.simpleString(), nodes.schema[project].dataType.simpleString()
+
+    def run(key: tuple, own: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        table: dict = {}
+        for src, dst in lines.sort_values(["src", "pos", "dst"], kind="stable")[["src", "dst"]].itertuples(index=False):
+            table.setdefault(src, []).append(dst)
+        found = [(n, *walk(n, table)) for n in own["node"]]
+        return pd.DataFrame({project: [key[0]] * len(found), "node": [n for n, *_ in found], "depth": [d for _, d, _ in found], "cyclic_refs": [list(dict.fromkeys(a)) for *_, a in found], "cyclic_edges": [len(a) for *_, a in found]})
+
+    own = lambda df, *columns: df.select(*[F.col(c).alias(c) for c in (project, *columns)]).groupBy(project)  # noqa: E731  columns of its own for each side
+    both = own(nodes, "node").cogroup(own(edges, "src", "pos", "dst"))
+    return both.applyInPandas(run, f"{project} {group}, node {kind}, depth long, cyclic_refs array<{kind}>, cyclic_edges long")
+
+
+@dataclass
+class Updated:
+    """A graph after changes: nodes (path, depth, cross_file_imports, cyclic_refs, exports), edges (src, pos, dst) and one row of sums."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(n, *walk(n, sent.value)) for n in b["node"]]
-            yield pd.DataFrame({"node": [n for n, *_ in found], "depth": [d for _, d, _ in found], "cyclic_refs": [list(dict.fromkeys(a)) for *_, a in found], "cyclic_edges": [len(a) for *_, a in found]})
+    nodes: DataFrame
+    edges: DataFrame
+    summary: DataFrame
 
-    return nodes.select("node").mapInPandas(run, f"node {kind}, depth long, cyclic_refs array<{kind}>, cyclic_edges long")
+
+def file_edges(imports: DataFrame, files: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """Edges of some files (path) only: their imports are resolved anew."""
+    return graph_edges(imports.join(some.select(F.col("path").alias("file_path")), "file_path", "left_semi"), files, nodes)
+
+
+def updated(nodes: DataFrame, edges: DataFrame, imports: DataFrame, files: DataFrame, changed: DataFrame) -> Updated:
+    """The graph after some files (path) were changed, added or removed; only what depends on them is computed again.
+
+    Edges of the changed files and of all files that could mean them are resolved anew. The nodes that reach one of these
+    get new depths over the old ones of all others (on or before a cycle the old depth stays); their cyclic references
+    are cleared, and found again by a full run only.
+    """
+    there = nodes.select("path")
+    refresh = written(changed.select("path").unionByName(potential_importers(imports, changed).select(F.col("importer").alias("path"))).distinct().join(there, "path", "left_semi"), "graph-refresh")
+    now = written(replaced_edges(edges, refresh, file_edges(imports, files, there, refresh)).join(there.withColumnRenamed("path", "dst"), "dst", "left_semi").join(there.withColumnRenamed("path", "src"), "src", "left_semi").select("src", "pos", "dst"), "graph-edges")
+    affected = written(reachable(now, refresh.select(F.col("path").alias("node"))).select("node"), "graph-affected")
+    old = nodes.select(F.col("path").alias("node"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    new = depths(now, affected, known=old).select(F.col("node").alias("path"), F.col("depth").alias("new_depth"), F.lit(True).alias("again"))
+    cross = cross_imports(now.join(refresh.withColumnRenamed("path", "src"), "src", "left_semi")).withColumnRenamed("src", "path").withColumnRenamed("cross_file_imports", "new_cross")
+    fresh = refresh.join(cross, "path", "left").select("path", F.coalesce("new_cross", F.lit(0)).alias("new_cross"))
+    rows = nodes.join(new, "path", "left").join(fresh, "path", "left").select(
+        "path",
+        F.coalesce("new_depth", "depth").cast("long").alias("depth"),
+        F.coalesce("new_cross", "cross_file_imports").cast("long").alias("cross_file_imports"),
+        F.when(F.col("again"), 0).otherwise(F.col("cyclic_refs")).cast("long").alias("cyclic_refs"),
+        "exports",
+    )
+    rows = written(rows, "graph-nodes")
+    return Updated(rows, now, graph_summary(rows))

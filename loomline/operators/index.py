@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,42 @@ def applied(jobs: DataFrame, nodes: DataFrame, sources: DataFrame) -> tuple[Data
     """(nodes after deletes, paths to extract) of a batch of jobs: a deleted or missing file leaves, others are extracted anew."""
     gone = jobs.join(sources.select("path"), "path", "left_anti").select("path").unionByName(jobs.filter("reason = 'DELETED'").select("path")).distinct()
     return deleted(nodes, gone, "path"), jobs.select("path").distinct().join(gone, "path", "left_anti")
+
+
+@dataclass
+class Startup:
+    """What a start finds: nodes that can serve at once, paths to forget, and the queue of files to index."""
+
+    nodes: DataFrame
+    gone: DataFrame
+    queue: DataFrame
+
+
+def reconciled(snapshot: DataFrame, manifest: DataFrame, ast_version: int = AST_VERSION, rag_version: int = RAG_VERSION) -> Startup:
+    """A manifest against the files found at a start: hydrated rows of files that are still there serve, deleted ones go, new and changed ones queue."""
+    diff = manifest_diff(snapshot, manifest, ast_version, rag_version)
+    gone = diff.filter("status = 'DELETED'").select("path")
+    return Startup(deleted(hydrated(manifest, ast_version, rag_version), gone, "path"), gone, startup_queue(diff))
+
+
+@dataclass
+class Indexed:
+    """The three stores after a batch of jobs."""
+
+    manifest: DataFrame
+    nodes: DataFrame
+    vectors: DataFrame
+
+
+def indexed(jobs: DataFrame, manifest: DataFrame, nodes: DataFrame, vectors: DataFrame, rows: DataFrame, vector: str = "vector") -> Indexed:
+    """Run a batch of jobs (path, reason) against manifest, graph nodes and vectors, all by path.
+
+    rows: what was extracted from the sources of the batch, a row per file that is there and parses, with the columns of
+    all three stores. Jobs that say DELETED and files without such a row leave all stores; the others replace their rows,
+    but a failed (all zero) vector leaves the old one.
+    """
+    live = jobs.groupBy("path").agg(F.max(F.col("reason") == "DELETED").alias("dead")).filter(~F.col("dead")).select("path")
+    rows = rows.join(live, "path", "left_semi")
+    gone = jobs.select("path").distinct().join(rows.select("path"), "path", "left_anti")
+    put = lambda base, accepted=None: upserted(deleted(base, gone, "path").select(*base.columns), rows.select(*base.columns), "path", accepted).select(*base.columns)
+    return Indexed(put(manifest), put(nodes), put(vectors, is_vector(vector)))

@@ -92,3 +92,19 @@ def trimmed(messages: DataFrame, budget: int, tokens: Column | None = None) -> D
 def shaped_tools(tools: DataFrame, tasks: DataFrame) -> DataFrame:
     """(conv_id, pos, name) of the tools that a request keeps."""
     return tools.join(tasks, "conv_id", "left").filter(keeps_tool("task", "name")).select("conv_id", "pos", "name")
+
+
+def payloads(bodies: DataFrame, messages: DataFrame, tools: DataFrame | None = None, keep_alive: int = -1) -> DataFrame:
+    """(conv_id, payload): the JSON text that is sent on for each request.
+
+    bodies: conv_id, stream and whatever else the request said, in this order. messages: conv_id, turn, role, content, as
+    they go on. tools: conv_id, pos, name, kept ones; a request without any has no tools field. Fields that are null are left out.
+    """
+    said = messages.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    out = bodies.join(said, "conv_id")
+    if tools is not None:
+        kept = tools.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("tools"))
+        out = out.join(kept, "conv_id", "left")
+    fields = [c for c in bodies.columns if c not in ("conv_id", "messages", "tools", "stream", "keep_alive")]
+    last = ["tools"] if tools is not None else []
+    return out.select("conv_id", F.to_json(F.struct(*fields, "messages", "stream", F.lit(keep_alive).alias("keep_alive"), *last)).alias("payload"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import base_name, chunk_tokens, stem
-from ..sources.scratch import ship
+from ..sources.scratch import ship, written
 
 #: Symbol names too common to mean anything (fixed values).
 GENERIC = ("get", "set", "run", "app", "use", "init", "load", "data", "item", "fn", "cb", "el", "on", "to", "of", "is", "has", "do", "go", "id", "ok", "no")
@@ -39,21 +39,24 @@ def file_symbols(files: DataFrame) -> DataFrame:
 def task_scores(tasks: DataFrame, symbols: DataFrame, longest: int = 40) -> DataFrame:
     """(task_id, file_path, pos, score): weights of a file's symbols whose name stands in the task, repeated ones counted again.
 
-    symbols: pos, file_path, kind, name. Containment becomes an equality: a task is spelled out into its substrings of up
-    to ``longest`` characters, and a name is looked up by its first ``longest``; longer names are then checked in full. So
-    neither side is held by a task and nothing is compared that doesn't share a key. Distinct names are matched, then files.
+    symbols: pos, file_path, kind, name. Containment becomes an equality: a task is spelled out into its substrings of the
+    lengths that names have (up to ``longest``), and a name is looked up by its first ``longest`` characters; longer names
+    are then checked in full. So neither side is held by a task and nothing is compared that doesn't share a key.
     """
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("kind")]
     useful = symbols.filter((F.length("name") >= 2) & ~F.lower("name").isin(*GENERIC))
     named = useful.groupBy("file_path", F.lower("name").alias("name")).agg(F.min("pos").alias("pos"), F.sum(weight).alias("weight"))
+    named = written(named.withColumn("key", F.substring("name", 1, longest)), "task-names")
+    lengths = sorted(r["n"] for r in named.select(F.length("key").alias("n")).distinct().collect())  # ``longest`` rows at most
     low = tasks.select("task_id", F.lower("task").alias("task")).filter(F.length("task") >= 2)
     starts = low.select("task_id", "task", F.explode(F.sequence(F.lit(1), F.length("task") - 1)).alias("at"))
-    sizes = F.sequence(F.lit(2), F.least(F.lit(longest), F.length("task") - F.col("at") + 1))
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("task") - F.col("at") + 1)
     spelled = starts.select("task_id", F.explode(F.transform(sizes, lambda n: F.substring("task", F.col("at"), n))).alias("key")).distinct()
-    names = useful.select(F.lower("name").alias("name")).distinct().withColumn("key", F.substring("name", 1, longest))
-    whole = (F.length("name") <= longest) | F.col("task").contains(F.col("name"))
-    hit = names.join(spelled, "key").join(low, "task_id").filter(whole).select("task_id", "name")
-    return named.join(hit, "name").groupBy("task_id", "file_path").agg(F.min("pos").alias("pos"), F.sum("weight").cast("long").alias("score"))
+    hit = named.join(spelled, "key").select("task_id", "file_path", "name", "pos", "weight")
+    if lengths and lengths[-1] >= longest:
+        long = hit.filter(F.length("name") > longest).join(low, "task_id").filter(F.col("task").contains(F.col("name"))).select(*hit.columns)
+        hit = hit.filter(F.length("name") <= longest).unionByName(long)
+    return hit.groupBy("task_id", "file_path").agg(F.min("pos").alias("pos"), F.sum("weight").cast("long").alias("score"))
 
 
 def top_files(scores: DataFrame, k: int = 5) -> DataFrame:
@@ -197,10 +200,13 @@ def active_chunk(active: DataFrame, files: DataFrame) -> DataFrame:
 def packed(chunks: DataFrame, budget: int, key: str = "task_id") -> DataFrame:
     """Chunks (key, pos, id, tokens, score) that a greedy packer takes: best first, ties in order; what doesn't fit is skipped and smaller ones still may.
 
-    The fold is a native aggregate over one key's chunks; it carries the room left and the chosen places only. A key's
-    chunks are the candidates of one request (some dozens): that is what the array holds.
+    With a column ``tier`` the lower tiers are packed first and the others take what is left: tier 0 for chunks of the
+    graph and 1 for those of a vector search. The fold is a native aggregate over one key's chunks; it carries the room
+    left and the chosen places only. A key's chunks are the candidates of one request (some dozens): that is what the
+    array holds.
     """
-    item = F.struct((-F.col("score")).alias("s"), "pos", "id", "tokens")
+    tiers = ["tier"] if "tier" in chunks.columns else []
+    item = F.struct(*tiers, (-F.col("score")).alias("s"), "pos", "id", "tokens")
     lists = chunks.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(budget).cast("long").alias("room"), F.array().cast("array<long>").alias("taken"), F.lit(0).cast("long").alias("i"))
 
@@ -210,7 +216,15 @@ def packed(chunks: DataFrame, budget: int, key: str = "task_id") -> DataFrame:
 
     chosen = lists.select(key, "items", F.aggregate("items", start, step).alias("end"))
     picked = chosen.select(key, F.posexplode(F.transform(F.col("end.taken"), lambda i: F.get(F.col("items"), i.cast("int")))).alias("nth", "x"))
-    return picked.select(key, F.col("nth").cast("long").alias("nth"), "x.pos", "x.id", "x.tokens", (-F.col("x.s")).alias("score"))
+    return picked.select(key, F.col("nth").cast("long").alias("nth"), "x.pos", "x.id", "x.tokens", (-F.col("x.s")).alias("score"), *[F.col(f"x.{t}") for t in tiers])
+
+
+def budget_contexts(taken: DataFrame, texts: DataFrame, key: str = "task_id") -> DataFrame:
+    """(key, ast_context, rag_context, ast_tokens, rag_tokens) of packed chunks with tiers: texts (key, id, text) joined by a blank line in the order taken."""
+    rows = taken.join(texts, [key, "id"])
+    text = lambda tier: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("tier") == tier, F.struct("nth", "text")))), lambda x: x["text"]), "\n\n")
+    used = lambda tier: F.coalesce(F.sum(F.when(F.col("tier") == tier, F.col("tokens"))), F.lit(0)).cast("long")
+    return rows.groupBy(key).agg(text(0).alias("ast_context"), text(1).alias("rag_context"), used(0).alias("ast_tokens"), used(1).alias("rag_tokens"))
 
 
 def thinks(cyclomatic: Column, threshold: float = 0.55) -> Column:

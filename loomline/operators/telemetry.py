@@ -38,6 +38,18 @@ def derived_stats(stats: DataFrame, uptime_s: int) -> DataFrame:
     )
 
 
+def last_request_age(requests: DataFrame, now: Column, ts: str = "ts") -> DataFrame:
+    """One row: whole seconds since the last request (last_s), -1 if there was none."""
+    age = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.max(F.col(ts).cast("timestamp")))) / 1_000_000)
+    return requests.agg(F.coalesce(age, F.lit(-1)).cast("long").alias("last_s"))
+
+
+def daemon_status(manifest: DataFrame, pending: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: files of the manifest, jobs that wait and nodes of the graph."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(manifest, "files").join(n(pending, "pending")).join(n(nodes, "nodes"))  # three single rows
+
+
 def since(requests: DataFrame, reset_ts: Column | None) -> DataFrame:
     """Rows that counters see after a reset; the history doesn't forget."""
     return requests if reset_ts is None else requests.filter(F.col("ts") >= reset_ts)

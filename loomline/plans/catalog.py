@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import extraction, graph, index, messages, retrieval, telemetry
+from ..sources.scratch import written
 from . import tables as t
 
 QUERIES = {}
@@ -111,15 +112,78 @@ def url_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A small project, as documents hold no code: path to text.
 PROJECT = {
-    "app/store.ts": 'import { Item } from "./types"\n\nexport const loadItems = async (limit: number): Promise<Item[]> => {\n  if (limit < 1) return []\n  return fetchAll(limit)\n}\n\nfunction fetchAll(n: number) {\n  return n > 10 ? [] : []\n}\n',
-    "app/types.ts": 'export interface Item { id: string; tags: string[] }\nexport type Result =\n  | { ok: true }\n  | { ok: false }\ninterface Hidden { x: number }\n',
-    "app/ItemList.tsx": 'import React from "react"\nimport { loadItems } from "./store"\nimport type { Item } from "./types"\n\nexport function ItemList({ items }: { items: Item[] }) {\n  const shown = useShown(items)\n  return <ul>{shown.map((i) => <li key={i.id}>if {i.id} it</li>)}</ul>\n}\n',
+    "shop/cart.ts": 'import { Line } from "./prices"\n\nexport const addLine = async (amount: number): Promise<Line[]> => {\n  if (amount < 1) return []\n  return fetchLines(amount)\n}\n\nfunction fetchLines(n: number) {\n  return n > 10 ? [] : []\n}\n',
+    "shop/prices.ts": 'export interface Line { code: string; cents: number[] }\nexport type Currency = "eur" | "usd"\ninterface Rounding { step: number }\n',
+    "shop/LineTable.tsx": 'import React from "react"\nimport { addLine } from "./cart"\nimport type { Line } from "./prices"\n\nexport function LineTable({ lines }: { lines: Line[] }) {\n  const shown = useSorted(lines)\n  return <ul>{shown.map((i) => <li key={i.code}>if {i.code} it</li>)}</ul>\n}\n',
 }
-
-
-@query()
+#: What stands in it, read off by hand: (path, kind, nth, name, first line, last line). Declared functions come before arrows, interfaces before aliases.
+DECLARED = (
+    ("shop/cart.ts", "function", 1, "addLine", 3, 6),
+    ("shop/cart.ts", "function", 0, "fetchLines", 8, 10),
+    ("shop/cart.ts", "import", 0, "./prices", None, None),
+    ("shop/cart.ts", "export", 0, "addLine", None, None),
+    ("shop/cart.ts", "cyclomatic", 0, "3", None, None),
+    ("shop/prices.ts", "type", 0, "Line", 1, 1),
+    ("shop/prices.ts", "type", 2, "Currency", 2, 2),
+    ("shop/prices.ts", "type", 1, "Rounding", 3, 3),
+    ("shop/prices.ts", "export", 0, "Line", None, None),
+    ("shop/prices.ts", "export", 1, "Currency", None, None),
+    ("shop/prices.ts", "cyclomatic", 0, "1", None, None),
+    ("shop/LineTable.tsx", "function", 0, "LineTable", 5, 8),
+    ("shop/LineTable.tsx", "component", 0, "LineTable", None, None),
+    ("shop/LineTable.tsx", "component", 1, "LineTable", None, None),
+    ("shop/LineTable.tsx", "import", 0, "react", None, None),
+    ("shop/LineTable.tsx", "import", 1, "./cart", None, None),
+    ("shop/LineTable.tsx", "import", 2, "./prices", None, None),
+    ("shop/LineTable.tsx", "export", 0, "LineTable", None, None),
+    ("shop/LineTable.tsx", "export", 1, "LineTable", None, None),
+    ("shop/LineTable.tsx", "export", 2, "LineTable", None, None),
+    ("shop/LineTable.tsx", "cyclomatic", 0, "1", None, None),
+)
+_DECLARED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', {n}::BIGINT, '{x}', {'NULL' if lo is None else lo}::BIGINT, {'NULL' if hi is None else hi}::BIGINT)" for p, k, n, x, lo, hi in DECLARED) + ") v(path, kind, nth, name, first_line, last_line)"
+
+
+@query(_DECLARED_SQL)
 def extract_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.extracted(spark.createDataFrame(list(PROJECT.items()), "path string, content string"))
+    """A row per declaration, import, export and complexity found in the small project."""
+    found = extraction.extracted(spark.createDataFrame(list(PROJECT.items()), "path string, content string"))
+    none = F.lit(None).cast("long")
+    row = lambda kind, values, name, lo=none, hi=none: found.select("path", F.lit(kind).alias("kind"), F.posexplode(values).alias("nth", "x")).select("path", "kind", F.col("nth").cast("long").alias("nth"), name.cast("string").alias("name"), lo.cast("long").alias("first_line"), hi.cast("long").alias("last_line"))
+    x, lines = F.col("x"), (F.col("x.start_line"), F.col("x.end_line"))
+    parts = [row("function", "functions", x["name"], *lines), row("type", "types", x["name"], *lines), row("component", "components", x["name"]), row("import", "imports", x), row("export", "exports", x), row("cyclomatic", F.array("cyclomatic"), x)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"""WITH {t.MANIFEST_SQL}, q AS (SELECT path, row_number() OVER (ORDER BY s_mtime DESC, path) AS rank FROM diff WHERE status IN ('NEW', 'CHANGED'))
+SELECT d.path, d.status, coalesce(m.ast_version = 1 AND m.rag_version = 1 AND m.has_chunk, false) AND d.status <> 'DELETED' AS serves, CASE WHEN q.rank <= 10 THEN 'HIGH' WHEN q.rank IS NOT NULL THEN 'LOW' END AS priority
+FROM diff d LEFT JOIN manifest m ON m.path = d.path LEFT JOIN q ON q.path = d.path""")
+def startup_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snapshot, manifest = t.snapshot(spark, sf_dir), t.manifest(spark, sf_dir)
+    s = index.reconciled(snapshot, manifest)
+    every = index.manifest_diff(snapshot, manifest).select("path", "status")
+    serves = s.nodes.select("path", F.lit(True).alias("serves"))
+    return every.join(serves, "path", "left").join(s.queue.select("path", "priority"), "path", "left").select("path", "status", F.coalesce("serves", F.lit(False)).alias("serves"), "priority")
+
+
+@query("""WITH jobs AS (SELECT doc_id, '/src/' || doc_id || '.ts' AS path, doc_id % 15 = 0 AS dead FROM documents WHERE doc_id % 5 = 0),
+old AS (SELECT '/src/' || doc_id || '.ts' AS path, 'old' AS hash, 1 AS version FROM documents WHERE doc_id % 3 <> 1),
+new AS (SELECT path, sha1(text) AS hash, 2 AS version, n_chars % 2 AS v FROM jobs JOIN documents USING (doc_id) WHERE NOT dead AND doc_id % 20 <> 5),
+m AS (SELECT * FROM old WHERE path NOT IN (SELECT path FROM jobs) UNION ALL SELECT path, hash, version FROM new),
+v AS (SELECT path FROM old WHERE path NOT IN (SELECT path FROM jobs) UNION ALL SELECT path FROM new WHERE v = 1 OR path IN (SELECT path FROM old))
+SELECT m.path, m.hash, m.version, v.path IS NOT NULL AS embedded FROM m LEFT JOIN v ON v.path = m.path""")
+def index_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a fifth has jobs, of which some are deletions, some have no source and some no vector."""
+    d = t.read(spark, sf_dir, "documents").withColumn("path", t.path_of())
+    jobs = d.filter("doc_id % 5 = 0").select("path", F.when(F.col("doc_id") % 15 == 0, "DELETED").otherwise("CHANGED").alias("reason"))
+    vector = lambda x: F.array(x.cast("float"))
+    old = d.filter("doc_id % 3 != 1").select("path", F.lit("old").alias("hash"), F.lit(1).alias("version"), vector(F.lit(1)).alias("vector"))
+    new = d.filter("doc_id % 20 != 5").select("path", text.source_hash("text").alias("hash"), F.lit(2).alias("version"), vector(F.col("n_chars") % 2).alias("vector"))
+    out = index.indexed(jobs, old.select("path", "hash", "version"), old.select("path", "version"), old.select("path", "vector"), new)
+    rows = out.manifest.join(out.nodes.select("path"), "path", "left_semi")
+    return rows.join(out.vectors.select("path", F.lit(True).alias("e")), "path", "left").select("path", "hash", "version", F.coalesce("e", F.lit(False)).alias("embedded"))
 
 
 # --- retrieval -----------------------------------------------------------------------------------------------------
@@ -222,6 +286,17 @@ def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.packed(ranked.select("task_id", "pos", "id", "tokens", "score"), 4096).select("task_id", "nth", "id", "tokens")
 
 
+@query(f"""WITH RECURSIVE {_RANKED_SQL}, d AS (SELECT task_id, pos, id, pos % 2 AS tier, score, greatest(1, length(text) // 4) AS tokens FROM ranked WHERE rank <= 30),
+c AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY tier, score DESC, pos) AS i FROM d),
+fold(task_id, i, room, taken, id, tier, tokens) AS (SELECT DISTINCT task_id, 0::BIGINT, 4096::BIGINT, false, '', 0::BIGINT, 0::BIGINT FROM c
+  UNION ALL SELECT f.task_id, c.i, CASE WHEN c.tokens <= f.room THEN f.room - c.tokens ELSE f.room END, c.tokens <= f.room, c.id, c.tier, c.tokens FROM fold f JOIN c ON c.task_id = f.task_id AND c.i = f.i + 1)
+SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY i) - 1 AS nth, id, tier, tokens FROM fold WHERE taken""")
+def budget_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t.candidates(spark, sf_dir)
+    ranked = retrieval.reranked(c, c.select("task_id", "pos", "score"), 30).withColumn("tokens", text.chunk_tokens("text"))
+    return retrieval.packed(ranked.select("task_id", "pos", "id", "tokens", "score", (F.col("pos") % 2).alias("tier")), 4096).select("task_id", "nth", "id", "tier", "tokens")
+
+
 @query("""SELECT CASE WHEN m > 0 THEN round(greatest(0.1, m - 0.1), 6) ELSE 0.55 END AS threshold FROM (
 SELECT avg(value / 1000) FILTER (WHERE event_id % 3 = 0 AND event_type = 'error') AS m FROM events)""")
 def calibrate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +305,12 @@ def calibrate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.calibrated_threshold(rows).select(F.round("threshold", 6).alias("threshold"))
 
 
-@query()
+@query(f"""{_EXPAND_SQL}, c AS (SELECT e.task_id, e.nth AS pos, e.file_path AS id,
+    list_filter(list_distinct(string_split_regex(t.task, '[\\s\\x0b\\x1c-\\x1f]+')), lambda w: w <> '') AS asked, string_split_regex(lower(d.text), '[\\s\\x0b\\x1c-\\x1f]+') AS words
+  FROM expanded e JOIN tasks t ON t.task_id = e.task_id JOIN documents d ON e.file_path = '/src/' || d.doc_id || '.ts'),
+s AS (SELECT task_id, pos, id, CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, words)) / len(asked)::DOUBLE ELSE 0.0 END AS score FROM c),
+r AS (SELECT task_id, id, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, pos) AS rank, round(score, 6) AS score FROM s)
+SELECT task_id, id, rank, score FROM r WHERE rank <= 15""")
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _tasks(spark, sf_dir)
     pairs = retrieval.with_dependencies(retrieval.top_files(_scores(spark, sf_dir)), *_dag_paths(spark, sf_dir)).join(tasks, "task_id")
@@ -347,6 +427,15 @@ def shape_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.shaped_tools(tools, tasks)
 
 
+@query("""WITH m AS (SELECT conv_id, to_json(list(json_object('role', role, 'content', text) ORDER BY turn)) AS messages FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5('{"model":"m' || conv_id % 3 || '","messages":' || messages || ',"stream":' || (conv_id % 2 = 0) || ',"keep_alive":-1' || CASE WHEN conv_id % 4 = 0 THEN ',"tools":["read"]}' ELSE '}' END) AS payload_md5 FROM m""")
+def final_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    bodies = c.select("conv_id").distinct().select("conv_id", F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"), (F.col("conv_id") % 2 == 0).alias("stream"))
+    tools = bodies.filter("conv_id % 4 = 0").select("conv_id", F.lit(0).alias("pos"), F.lit("read").alias("name"))
+    return messages.payloads(bodies, c, tools).select("conv_id", F.md5(F.col("payload").cast("binary")).alias("payload_md5"))
+
+
 # --- telemetry -----------------------------------------------------------------------------------------------------
 
 _STATS_SQL = f"""WITH {t.REQUESTS_SQL}, s AS (SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed, sum(latency_ms)::BIGINT AS latency_ms, sum(tokens_before)::BIGINT AS tokens_before,
@@ -446,6 +535,27 @@ def buckets_and_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", rules.latency_bucket("n").alias("latency"), rules.uptime_text("s").alias("uptime"), rules.index_state("pending", "indexed").alias("state"))
 
 
+@query("""WITH e AS (SELECT event_id, floor(value)::BIGINT AS n, event_id * 37 AS s, (['[Error] x', 'a Failed b', 'Exception', 'x [MLX] y', '[Core] up', 'error [mlx] [core]'])[(event_id % 6)::BIGINT + 1] AS line FROM events)
+SELECT event_id, CASE WHEN n * n < 1024 THEN n * n || ' B' WHEN n * n < 1048576 THEN format('{:.1f} KB', floor(n * n / 1024 * 10 + 0.5) / 10) ELSE format('{:.2f} MB', floor(n * n / 1048576 * 100 + 0.5) / 100) END AS size,
+CASE WHEN s >= 3600 THEN s // 3600 || 'h ' || s % 3600 // 60 || 'm' WHEN s >= 60 THEN s // 60 || 'm ' || s % 60 || 's' ELSE s || 's' END AS uptime,
+CASE WHEN s >= 60 THEN s // 60 || 'm ' ELSE '' END || s % 60 || 's' AS total_time, (n + s + 5) // 1000 || '.' || lpad(((n + s + 5) // 10 % 100)::VARCHAR, 2, '0') || 's' AS context_s,
+CASE WHEN line LIKE '%[Error%' OR line LIKE '%Exception%' OR line LIKE '%Failed%' THEN 'error' WHEN line LIKE '%[MLX]%' THEN 'model' WHEN line LIKE '%[Core]%' THEN 'core' ELSE 'plain' END AS colour,
+rpad(event_id::VARCHAR, greatest(8, length(event_id::VARCHAR))::INTEGER, ' ') AS left_text, lpad(event_id::VARCHAR, greatest(8, length(event_id::VARCHAR))::INTEGER, ' ') AS right_text FROM e""")
+def dashboard_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    line = F.element_at(F.array(*[F.lit(x) for x in ("[Error] x", "a Failed b", "Exception", "x [MLX] y", "[Core] up", "error [mlx] [core]")]), (i % 6 + 1).cast("int"))
+    e = t.read(spark, sf_dir, "events").select("event_id", F.floor("value").cast("long").alias("n"), (i * 37).alias("s"), line.alias("line"))
+    return e.select("event_id", rules.short_bytes_text(F.col("n") * F.col("n")).alias("size"), rules.short_uptime_text("s").alias("uptime"), rules.total_time_text("s").alias("total_time"), rules.context_seconds_text("n", "s").alias("context_s"), rules.log_colour("line").alias("colour"), rules.padded("event_id", 8).alias("left_text"), rules.padded("event_id", 8, right=True).alias("right_text"))
+
+
+@query(f"""WITH {t.MANIFEST_SQL}, {t.REQUESTS_SQL} SELECT (SELECT count(*) FROM manifest) AS files, (SELECT count(*) FROM diff WHERE status IN ('NEW', 'CHANGED')) AS pending,
+(SELECT count(*) FROM manifest WHERE ast_version = 1 AND rag_version = 1 AND has_chunk) AS nodes, (SELECT floor(epoch_us(TIMESTAMP '2030-01-01' - max(ts)) / 1000000)::BIGINT FROM requests) AS last_s""")
+def daemon_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = t.manifest(spark, sf_dir)
+    counts = telemetry.daemon_status(manifest, index.startup_queue(index.manifest_diff(t.snapshot(spark, sf_dir), manifest)), index.hydrated(manifest))
+    return counts.join(telemetry.last_request_age(t.requests(spark, sf_dir), F.lit("2030-01-01").cast("timestamp_ntz")))  # two single rows
+
+
 # --- import graph --------------------------------------------------------------------------------------------------
 
 
@@ -507,7 +617,37 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_summary(rows)
 
 
+_LESS_SQL = f"""{t.DAG_SQL.replace("edges AS (", "old_edges AS (")},
+edges AS (SELECT * FROM old_edges WHERE NOT (src % 7 = 3 AND pos = 0)), walk(node, depth) AS (SELECT node, 0 FROM nodes UNION SELECT src, depth + 1 FROM walk JOIN edges ON dst = walk.node)"""
+
+
+@query(f"WITH RECURSIVE {_LESS_SQL} SELECT node, max(depth)::BIGINT AS depth FROM walk GROUP BY node")
+def graph_depth_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some edges go; depths of the nodes that reach their sources are computed again over the old ones of all others."""
+    nodes, edges = t.dag(spark, sf_dir)
+    now = edges.filter("NOT (src % 7 = 3 AND pos = 0)")
+    old = written(graph.depths(edges, nodes), "old-depths")
+    affected = written(graph.reachable(now, edges.filter("src % 7 = 3").select(F.col("src").alias("node")).distinct()).select("node"), "affected")
+    return graph.depths(now, affected, known=old).unionByName(old.join(affected, "node", "left_anti"))
+
+
+@query(f"""WITH {_IMPORT_SQL}, all_edges AS (SELECT t.path AS src, t.pos, arg_min(c, n) AS dst FROM tried t JOIN files f ON f.path = c GROUP BY t.path, t.pos)
+SELECT f.path, (SELECT count(*) FROM all_edges e WHERE e.src = f.path) AS cross_file_imports FROM files f""")
+def graph_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the files come anew to a graph without them: what could mean them is resolved again."""
+    imports, files = _imports(spark, sf_dir)
+    new = files.filter("doc_id % 10 = 6").select("path")
+    before = files.join(new, "path", "left_anti").select("path")
+    edges = written(graph.graph_edges(imports.join(before.withColumnRenamed("path", "file_path"), "file_path", "left_semi"), before, before), "old-edges")
+    known = before.join(graph.cross_imports(edges).withColumnRenamed("src", "path"), "path", "left").select("path", F.lit(0).cast("long").alias("depth"), F.coalesce("cross_file_imports", F.lit(0)).alias("cross_file_imports"), F.lit(1).alias("cyclic_refs"), F.lit(1).alias("exports"))
+    nodes = known.unionByName(new.select("path", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("cross_file_imports"), F.lit(0).alias("cyclic_refs"), F.lit(1).alias("exports")))
+    return graph.updated(nodes, edges, imports, files, new).nodes.select("path", "cross_file_imports")
+
+
 @query()
 def graph_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = t.dag(spark, sf_dir)
-    return graph.walked_metrics(edges, nodes)
+    """Documents as projects of 500 files, each importing those at half and a third of its place in the project."""
+    d = t.read(spark, sf_dir, "documents").select("doc_id").distinct().select("doc_id", F.floor(F.col("doc_id") / 500).alias("project"), (F.col("doc_id") % 500).alias("node"))
+    lines = d.select("project", F.col("node").alias("src"), F.posexplode(F.array(F.floor(F.col("node") / 2), F.floor(F.col("node") / 3))).alias("pos", "dst")).filter("src != dst")
+    edges = lines.join(d.select("project", F.col("node").alias("dst")), ["project", "dst"], "left_semi")
+    return graph.walked_metrics(edges, d.select("project", "node"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,11 +15,15 @@ SUFFIXES = "*.{ts,tsx}"
 
 def _binary(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+    plain = re.sub(r"([\[\]{}*?\\])", r"\\\1", root)  # a folder's name is no pattern
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(plain)
 
 
 def _relative(root: str):
-    return F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + root.rstrip("/").removeprefix("file://").replace(".", r"\.") + "/", "")
+    """The path below the root: what follows its last folder's place, taken as plain text."""
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    own = F.lit(re.sub("^file:/+", "/", root.rstrip("/")) + "/")
+    return F.when(F.startswith(plain, own), F.substr(plain, F.length(own) + 1)).otherwise(plain)
 
 
 def _wanted(df: DataFrame, skipped: tuple[str, ...]) -> DataFrame:

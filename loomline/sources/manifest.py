@@ -40,9 +40,9 @@ class Manifest:
         return self.spark.createDataFrame([], SCHEMA)
 
     def save(self, rows: DataFrame) -> None:
-        """Replace all rows; of several of a path the one with the newest mtime stays."""
+        """Replace all rows; of several of a path the one with the newest mtime stays (one without mtime last, ties by size and hash)."""
         version = f"v-{uuid.uuid4().hex}"
-        kept = rows.groupBy("path").agg(F.max_by(F.struct(*rows.columns), F.col("mtime")).alias("r")).select("r.*")
+        kept = rows.groupBy("path").agg(F.max_by(F.struct(*rows.columns), F.struct("mtime", "size", "hash")).alias("r")).select("r.*")
         kept.write.parquet(f"{self.root}/{version}")
         self.spark.range(1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("at")).write.mode("append").json(f"{self.root}/current")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -49,17 +50,45 @@ def upserting(jobs: DataFrame, handle: Callable[[DataFrame, int], None], checkpo
     return jobs.writeStream.foreachBatch(lambda df, n: handle(queued(df), n)).option("checkpointLocation", checkpoint).trigger(processingTime=trigger)
 
 
-def versioned(root: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A handler that upserts rows into versions ``root/v<number>``: a batch that comes again writes the same version once more."""
+def versions(spark: SparkSession, root: str) -> list[tuple[int, int, str]]:
+    """(place, batch number, folder) of every version written below ``root``, in order. No log means that there is none."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/log")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return sorted(map(tuple, spark.read.schema("place long, batch long, folder string").json(f"{root}/log").collect()))  # a row per version
+
+
+def current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest version."""
+    found = versions(spark, root)
+    return spark.read.parquet(f"{root}/{found[-1][2]}") if found else None
 
-    def handle(rows: DataFrame, n: int) -> None:
-        from pyspark.errors import AnalysisException
 
+def versioned(root: str, key: str, newest: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """A handler that upserts rows into a new version of a table, and logs it when it is whole.
+
+    The base is the newest logged version; a batch that comes again after a failure is told by its number, and starts from
+    the version before it. So a gap in the numbers or a new checkpoint loses nothing. Of several rows of a key in a batch
+    the one with the greatest ``newest`` columns stays. Every batch writes the table once; for tables that are large
+    against their batches, collect several batches per trigger.
+    """
+
+    def handle(rows: DataFrame, n: int) -> None:
         spark = rows.sparkSession
-        try:
-            before = spark.read.schema(rows.schema).parquet(f"{root}/v{n - 1}")
-        except AnalysisException:
-            before = spark.createDataFrame([], rows.schema)
-        before.join(rows.select(key), key, "left_anti").unionByName(rows).write.mode("overwrite").parquet(f"{root}/v{n}")
+        found = versions(spark, root)
+        again = bool(found) and found[-1][1] == n
+        base = found[:-1] if again else found
+        one = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*newest, *[c for c in rows.columns if c not in newest])).alias("r")).select("r.*")
+        place = found[-1][0] + 1 if found else 0
+        folder = f"v{place}-{uuid.uuid4().hex[:8]}"
+        out = one if not base else spark.read.schema(rows.schema).parquet(f"{root}/{base[-1][2]}").join(rows.select(key), key, "left_anti").select(*rows.columns).unionByName(one)
+        out.write.parquet(f"{root}/{folder}")
+        spark.createDataFrame([(place, n, folder)], "place long, batch long, folder string").coalesce(1).write.mode("append").json(f"{root}/log")
 
     return handle
+
+
+def followed(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the log files of a folder as they come: (line, file). Empty lines are left out, as a reader of the last lines does."""
+    return spark.readStream.text(folder).select(F.col("value").alias("line"), F.input_file_name().alias("file")).filter("trim(line) != ''")

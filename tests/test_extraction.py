@@ -1,22 +1,35 @@
 from loomline.operators.extraction import cut_body, extract, extracted, tokens
 from loomline.plans import catalog
 
-AUTH = """import React from "react"
-import { useAuth } from "./useAuth"
-import type { Session } from "./types"
-
-export function AuthBox({ children }: { children: React.ReactNode }) {
-  const session = useAuth<Session>()
-  const label = `a ${session ? "x" : `y ${1}`} b`
-  return <Box value={session} on={() => { if (1) {} }}>if while for {label} {children}</Box>
+CLOCK = """// a wall clock with alarms
+import { padTime } from "../time/pad"
+import Face, * as dial from "./face"
+
+type Alarm = { at: number; label?: string }
+
+export default class Ring { ring() { return 1 } }
+
+export async function nextAlarm(list: Alarm[], now: number): Promise<Alarm | undefined> {
+  for (const a of list) {
+    if (a.at > now && a.label) return a
+  }
+  do { now -= 60 } while (now > 0)
+  switch (list.length) { case 0: return undefined; case 1: return list[0]; default: break }
+  try { beep() } catch { mute() }
+  return list.length ? list[0] : undefined
 }
 
-export const useSession = (): Session | null => useContext(Box)
-const local = async (x: number): Promise<void> => {
-  for (const a of [1]) { await go(a) }
-  do { x-- } while (x > 0)
-  switch (x) { case 1: break; default: break }
-  try { f() } catch { g() }
+const ticks = (count: number): number[] => Array.from({ length: count }, (_, i) => i * 6)
+
+export const Clock = ({ zone, alarms }: { zone: string; alarms: Alarm[] }) => {
+  const now = useNow(zone)
+  const [open, setOpen] = useToggle(false)
+  const text = `${open ? "o" : `c ${1}`} while if`
+  return (
+    <Face when={now} onClick={() => { if (open) setOpen(false) }}>
+      for {text} {ticks(12).map((d) => <i key={d}>{padTime(d)}</i>)}
+    </Face>
+  )
 }
 """
 
@@ -26,28 +39,30 @@ def names(rows):
 
 
 def test_declarations_and_lines():
-    r = extract("a/AuthBox.tsx", AUTH)
+    r = extract("ui/Clock.tsx", CLOCK)
     assert r["functions"] == [
-        ("AuthBox", "({ children }: { children: React.ReactNode })", None, False, True, 5, 9),
-        ("useSession", "()", "Session | null", False, True, 11, 11),
-        ("local", "(x: number)", "Promise<void>", True, False, 12, 17),
+        ("nextAlarm", "(list: Alarm[], now: number)", "Promise<Alarm | undefined>", True, True, 9, 17),
+        ("Clock", "({ zone, alarms }: { zone: string; alarms: Alarm[] })", None, False, True, 21, 30),
+        ("ticks", "(count: number)", "number[]", False, False, 19, 19),
     ]
-    assert r["imports"] == ["react", "./useAuth", "./types"]
-    assert r["exports"] == ["AuthBox", "useSession", "AuthBox", "AuthBox"]
-    assert [(c[0], c[2], c[3]) for c in r["components"]] == [("AuthBox", ["useAuth"], False)] * 2
+    assert r["imports"] == ["../time/pad", "./face"]
+    assert [(x[0], x[1], x[3], x[4]) for x in r["types"]] == [("type", "Alarm", False, 5)]
+    assert [(c[0], c[2], c[3]) for c in r["components"]] == [("Clock", ["useNow", "useToggle"], False)] * 2
 
 
 def test_options():
-    assert [c[0] for c in extract("x.tsx", AUTH, dedupe_components=True)["components"]] == ["AuthBox"]
-    assert [f[3] for f in extract("x.tsx", AUTH, faithful_async=True)["functions"]] == [False, False, False]
+    assert [c[0] for c in extract("x.tsx", CLOCK, dedupe_components=True)["components"]] == ["Clock"]
+    text = "const a = async () => 1\nasync function b() {}"
+    assert [f[3] for f in extract("x.tsx", text)["functions"]] == [True, True]
+    assert [f[3] for f in extract("x.tsx", text, faithful_async=True)["functions"]] == [True, False]
     assert extract("x.md", "text") is None
 
 
 def test_types():
-    text = "export interface A<T> extends B<T> {\n  a: T\n}\ninterface A { again: 1 }\nexport type U =\n  | { ok: true }\n  | { ok: false }\ntype F = (a: string) => Promise<void>;\nconst x = 1\n"
+    text = "export interface A<T> extends B<T> {\n  a: T\n}\ninterface A { again: 1 }\nexport type Shade =\n  | 'dark'\n  | { grey: number }\ntype F = (a: string) => Promise<void>;\nconst x = 1\n"
     r = extract("t.ts", text)
-    assert [(x[0], x[1], x[3], x[4], x[5]) for x in r["types"]] == [("interface", "A", True, 1, 3), ("type", "U", True, 5, 7), ("type", "F", False, 8, 8)]
-    assert r["types"][2][2] == "(a: string) => Promise<void>" and r["exports"] == ["A", "U"]
+    assert [(x[0], x[1], x[3], x[4], x[5]) for x in r["types"]] == [("interface", "A", True, 1, 3), ("type", "Shade", True, 5, 7), ("type", "F", False, 8, 8)]
+    assert r["types"][2][2] == "(a: string) => Promise<void>" and r["exports"] == ["A", "Shade"]
 
 
 def test_strings_comments_and_regular_expressions_hide_code():
@@ -70,6 +85,6 @@ def test_cut_body():
 def test_table(spark):
     rows = {r.path: r for r in extracted(spark.createDataFrame([*catalog.PROJECT.items(), ("a.md", "x"), ("b.ts", None)], "path string, content string")).collect()}
     assert set(rows) == {*catalog.PROJECT, "b.ts"}
-    assert rows["app/store.ts"].cyclomatic == 3 and names(rows["app/types.ts"].functions) == []
-    assert [f.name for f in rows["app/store.ts"].functions] == ["fetchAll", "loadItems"]
-    assert rows["app/ItemList.tsx"].components[0].hooks == ["useShown"] and rows["app/ItemList.tsx"].cyclomatic == 1
+    assert rows["shop/cart.ts"].cyclomatic == 3 and names(rows["shop/prices.ts"].functions) == []
+    assert {f.name for f in rows["shop/cart.ts"].functions} == {"fetchLines", "addLine"}
+    assert rows["shop/LineTable.tsx"].components[0].hooks == ["useSorted"] and rows["shop/LineTable.tsx"].cyclomatic == 1

@@ -111,7 +111,7 @@ def test_graphs(spark):
     assert {r.node: r.depth for r in graph.depths(e, nodes).collect()} == {"A": 2, "B": 1, "C": 0, "D": None, "E": None, "F": None, "G": None}
     assert {r.node for r in graph.cyclic_nodes(e, nodes).collect()} == {"D", "E", "G"}
     assert {(r.node, r.steps) for r in graph.reachable(e, nodes.filter("node = 'C'")).collect()} == {("C", 0), ("A", 1), ("B", 1), ("E", 1), ("D", 2), ("F", 3)}
-    walked = {r.node: r for r in graph.walked_metrics(e.filter("dst != 'gone'"), nodes).collect()}
+    walked = {r.node: r for r in graph.walked_metrics(e.filter("dst != 'gone'").withColumn("project", F.lit(1)), nodes.withColumn("project", F.lit(1))).collect()}
     assert (walked["A"].depth, walked["A"].cyclic_refs, walked["A"].cyclic_edges) == (1, ["C"], 1)  # a diamond
 
 
@@ -121,19 +121,18 @@ def project(spark):
 
 def test_retrieval_end_to_end(spark):
     p = project(spark)
-    assert {(r.src, r.dst) for r in p.edges.collect()} == {("app/store.ts", "app/types.ts"), ("app/ItemList.tsx", "app/store.ts"), ("app/ItemList.tsx", "app/types.ts")}
-    tasks = spark.createDataFrame([(1, "make ItemList faster"), (2, "nothing here"), (3, "loadItems fails")], "task_id long, task string")
+    assert {(r.src, r.dst) for r in p.edges.collect()} == {("shop/cart.ts", "shop/prices.ts"), ("shop/LineTable.tsx", "shop/cart.ts"), ("shop/LineTable.tsx", "shop/prices.ts")}
+    tasks = spark.createDataFrame([(1, "make LineTable faster"), (2, "nothing here"), (3, "addLine fails")], "task_id long, task string")
     found = {}
     for r in plan.lexical(p, tasks).orderBy("nth").collect():
         found.setdefault(r.task_id, []).append(r.file_path)
-    # the interface Item doesn't count: its name is too common
-    assert found[1] == ["app/ItemList.tsx", "app/store.ts", "app/types.ts"] and found[3][0] == "app/store.ts" and 2 not in found
-    ctx = {r.task_id: r for r in plan.contexts(p, tasks, score=retrieval.scorer(), active_path="types.ts").collect()}
-    assert ctx[1].think and "// ACTIVE FILE: types.ts" in ctx[1].ast_context and "(Full Context)" in ctx[1].ast_context and ctx[1].files[0] == "ItemList.tsx"
+    assert found[1][0] == "shop/LineTable.tsx" and set(found[1]) == {"shop/LineTable.tsx", "shop/cart.ts", "shop/prices.ts"} and found[3][0] == "shop/cart.ts" and 2 not in found
+    ctx = {r.task_id: r for r in plan.contexts(p, tasks, score=retrieval.scorer(), active_path="prices.ts").collect()}
+    assert ctx[1].think and "// ACTIVE FILE: prices.ts" in ctx[1].ast_context and "(Full Context)" in ctx[1].ast_context and ctx[1].files[0] == "LineTable.tsx"
     assert ctx[1].ast_context.startswith("// ACTIVE FILE")
     small = {r.task_id: r.tokens for r in plan.contexts(p, tasks, budget=40).collect()}
     assert all(n <= 40 for n in small.values())
-    conv = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "user", "make ItemList faster")], "conv_id long, turn long, role string, content string")
+    conv = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "user", "make LineTable faster")], "conv_id long, turn long, role string, content string")
     out = plan.answered(p, conv).orderBy("turn").collect()
     assert [r.role for r in out] == ["system", "system", "user"] and "<context>" in out[1].content
     assert p.status().first().files == 3
@@ -179,3 +178,133 @@ def test_manifest_versions(spark, tmp_path):
     assert parsed[0].chunk.exports == ["x"]
     (tmp_path / "v9.json").write_text('{"version": 9, "files": {}}')
     assert manifest.read_legacy(spark, f"{tmp_path}/v9.json").count() == 0
+
+
+def test_rows_without_mtime_stay_whole(spark, tmp_path):
+    m = manifest.Manifest(spark, f"{tmp_path}/m")
+    row = lambda path, mtime, size: (path, mtime, size, "h", 1, 1, None)
+    m.save(spark.createDataFrame([row("a.ts", None, 1), row("b.ts", None, 2), row("b.ts", 5.0, 3)], manifest.SCHEMA))
+    assert [(r.path, r.mtime, r.size) for r in m.load().collect()] == [("a.ts", None, 1), ("b.ts", 5.0, 3)]
+
+
+def test_roots_are_plain_text(spark, tmp_path):
+    root = tmp_path / "a+b (c) [d].x"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.ts").write_text("x")
+    for r in (str(root), f"file://{root}/"):
+        assert [x.relative_path for x in files.scan(spark, r).collect()] == ["src/a.ts"]
+
+
+def test_long_paths_are_followed_to_the_end(spark):
+    e = spark.createDataFrame([(i, 0, i + 1) for i in range(20)], "src long, pos int, dst long")
+    got = {r.node: r.steps for r in graph.reachable(e, spark.createDataFrame([(20,)], "node long")).collect()}
+    assert got == {i: 20 - i for i in range(21)}
+
+
+def longest(edges, node):
+    return max((1 + longest(edges, d) for s, d in edges if s == node), default=0)
+
+
+def test_updates_touch_what_depends_on_a_change(spark):
+    rng = random.Random(4)
+    name = lambda i: f"/p/f{i}.ts"
+    old = sorted({(i, rng.randrange(i)) for i in range(1, 25) for _ in range(2)})
+    said = [(s, d) for s, d in old if s not in (5, 7)] + [(7, 0)]  # file 5 goes, though others still import it; 7 changes
+    new = [(s, d) for s, d in said if d != 5]
+    table = lambda es: spark.createDataFrame([(name(s), k, f"./f{d}") for k, (s, d) in enumerate(es)], "file_path string, pos int, specifier string")
+    paths = lambda skip=(): spark.createDataFrame([(name(i),) for i in range(25) if i not in skip], "path string")
+    before = graph.graph_edges(table(old), paths(), paths())
+    nodes = spark.createDataFrame([(name(i), longest(old, i), sum(s == i for s, _ in old), 1, 2) for i in range(25) if i != 5], "path string, depth long, cross_file_imports long, cyclic_refs int, exports int")
+    got = graph.updated(nodes, before, table(said), paths((5,)), spark.createDataFrame([(name(5),), (name(7),)], "path string"))
+    rows = {r.path: r for r in got.nodes.collect()}
+    assert {(r.src, r.dst) for r in got.edges.collect()} == {(name(s), name(d)) for s, d in new}
+    touched = {7} | {s for s, d in said if d in (5, 7)}
+    while more := {s for s, d in new if d in touched} - touched:
+        touched |= more
+    for i in set(range(25)) - {5}:
+        assert rows[name(i)].depth == longest(new, i) and rows[name(i)].cyclic_refs == (i not in touched), i
+        assert rows[name(i)].cross_file_imports == sum(s == i for s, _ in new)
+    s = got.summary.first()
+    assert s.max_depth == max(longest(new, i) for i in range(25) if i != 5) and s.symbols == 48
+
+
+def test_edges_are_replaced_and_files_leave(spark):
+    e = spark.createDataFrame([("a", 0, "b"), ("b", 0, "c"), ("c", 0, "a")], "src string, pos int, dst string")
+    some = spark.createDataFrame([("a",)], "path string")
+    new = spark.createDataFrame([("a", 0, "c")], e.schema)
+    assert sorted((r.src, r.dst) for r in graph.replaced_edges(e, some, new).collect()) == [("a", "c"), ("b", "c"), ("c", "a")]
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    left, lines = graph.without_file(nodes, e, some)
+    assert {r.path for r in left.collect()} == {"b", "c"} and {(r.src, r.dst) for r in lines.collect()} == {("b", "c"), ("c", "a")}
+    chunks = spark.createDataFrame([("x", 1, "old"), ("y", 2, "y"), ("x", 3, "new")], "path string, seq long, body string")
+    assert {(r.path, r.body, r.place) for r in graph.latest_nodes(chunks).collect()} == {("x", "new", 1), ("y", "y", 2)}
+
+
+def recursive_walk(edges, start):
+    """The same order by recursion: targets are visited last to first, each by the depth of its parent."""
+    seen, again, deepest = set(), [], 0
+
+    def visit(node, d):
+        nonlocal deepest
+        if node in seen:
+            again.append(node)
+            return
+        seen.add(node)
+        deepest = max(deepest, d)
+        for t in reversed(edges.get(node, [])):
+            visit(t, d + 1)
+
+    visit(start, 0)
+    return deepest, again
+
+
+def test_walks_on_random_graphs(spark):
+    rng = random.Random(8)
+    graphs = {p: {n: [rng.randrange(8) for _ in range(rng.randint(0, 3))] for n in range(8)} for p in range(12)}
+    e = spark.createDataFrame([(p, s, k, d) for p, g in graphs.items() for s, ds in g.items() for k, d in enumerate(ds)], "project long, src long, pos int, dst long")
+    nodes = spark.createDataFrame([(p, n) for p in graphs for n in range(8)], "project long, node long")
+    for r in graph.walked_metrics(e, nodes).collect():
+        depth, again = recursive_walk(graphs[r.project], r.node)
+        assert (r.depth, r.cyclic_refs, r.cyclic_edges) == (depth, list(dict.fromkeys(again)), len(again))
+
+
+def test_jobs_and_logs(spark, tmp_path):
+    jobs = spark.createDataFrame([("a", "CHANGED"), ("b", "DELETED"), ("c", "NEW")], "path string, reason string")
+    kept, todo = index.applied(jobs, spark.createDataFrame([("a",), ("b",), ("z",)], "path string"), spark.createDataFrame([("a",), ("b",)], "path string"))
+    assert {r.path for r in kept.collect()} == {"a", "z"} and {r.path for r in todo.collect()} == {"a"}
+    for i in range(2):
+        files.append_json(spark.createDataFrame([(i,)], "n long"), f"{tmp_path}/log")
+    assert sorted(r.n for r in spark.read.json(f"{tmp_path}/log").collect()) == [0, 1]
+
+
+def test_budget_contexts(spark):
+    rows = [(1, 0, "a", 5, 1.0, 0), (1, 1, "b", 9, 9.0, 1), (1, 2, "c", 4, 2.0, 0), (1, 3, "d", 2, 1.0, 1), (2, 0, "e", 1, 1.0, 1)]
+    taken = retrieval.packed(spark.createDataFrame(rows, "task_id long, pos long, id string, tokens long, score double, tier int"), 12)
+    texts = spark.createDataFrame([(r[0], r[2], r[2].upper()) for r in rows], "task_id long, id string, text string")
+    got = {r.task_id: tuple(r)[1:] for r in retrieval.budget_contexts(taken, texts).collect()}
+    assert got == {1: ("C\n\nA", "D", 9, 2), 2: ("", "E", 0, 1)}
+
+
+def test_embeddings_word_by_word():
+    import zlib
+
+    text = "One two two three"
+    want = [0.0] * 64
+    for w in text.lower().split():
+        h = zlib.crc32(w.encode())
+        want[h % 64] += 1 if h >= 1 << 31 else -1
+    size = sum(x * x for x in want) ** 0.5
+    assert retrieval.hashed_embedding(text) == pytest.approx([x / size for x in want]) and not any(retrieval.hashed_embedding(" "))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from loomline.sources import scratch
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *a: None), getCheckpointDir=lambda: None, master="spark://x:7077"))
+    with pytest.raises(ValueError):
+        scratch.shared_dir(fake)
+    path = scratch.scratch_path(spark, "t")
+    spark.range(1).write.parquet(path)
+    assert spark.sparkContext.applicationId in path and spark.read.parquet(path).count() == 1

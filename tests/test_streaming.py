@@ -44,7 +44,28 @@ def test_upserts_by_batch(spark, tmp_path):
     q = changes.upserting(feed, handle, f"{tmp_path}/checkpoint").start()
     q.processAllAvailable()
     q.stop()
-    last = spark.read.parquet(f"{root}/v1")
+    last = changes.current(spark, root)
     assert {(r.path, r.seq) for r in last.collect()} == {("a", 3), ("b", 2)}
     handle(spark.createDataFrame([("a", "HIGH", 3, 3)], last.schema), 1)  # the batch comes again
-    assert spark.read.parquet(f"{root}/v1").count() == 2
+    assert changes.current(spark, root).count() == 2
+
+
+def test_gaps_and_new_checkpoints_lose_nothing(spark, tmp_path):
+    root = f"{tmp_path}/out"
+    handle, rows = changes.versioned(root, "path", ("seq",)), lambda *xs: spark.createDataFrame(xs, "path string, seq long")
+    handle(rows(("a", 1)), 0)
+    handle(rows(("b", 2), ("b", 3)), 2)  # batch 1 never came; a key comes twice
+    handle(rows(("c", 4)), 0)  # another checkpoint starts to count again
+    assert {(r.path, r.seq) for r in changes.current(spark, root).collect()} == {("a", 1), ("b", 3), ("c", 4)}
+    assert changes.current(spark, f"{tmp_path}/none") is None
+
+
+def test_logs_are_followed(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("one\n\ntwo\n")
+    q = changes.followed(spark, f"{tmp_path}/logs").writeStream.format("memory").queryName("followed").start()
+    q.processAllAvailable()
+    (tmp_path / "logs" / "b.log").write_text("three\n")
+    q.processAllAvailable()
+    q.stop()
+    assert [r.line for r in spark.table("followed").collect()] == ["one", "two", "three"]
