@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def numbered(df: DataFrame, key: Column, *ties: Column, name: str = "nth", descending: bool = False, ranges: int = 64) -> DataFrame:
+def numbered(df: DataFrame, key: Column, *ties: Column, name: str = "nth", descending: bool = False, ranges: int | None = None) -> DataFrame:
     """``df`` with its row number (from 1) by a numeric key, then by ``ties``.
 
     Ranges of the key are cut at approximate percentiles; rows are numbered within their range and the sizes of the ranges
-    before are added. So every range is sorted by itself, and only its size crosses over. Rows that share one key share a range.
+    before are added. So every range is sorted by itself, and only its size crosses over. Without ``ranges`` there are as
+    many as the session has shuffle partitions, 64 to 4,096. Rows that share one key share a range.
     """
+    ranges = ranges or min(4096, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     k = (-key if descending else key).cast("double")
     cuts = df.agg(F.percentile_approx(k, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"]
     cuts = sorted({c for c in cuts or [] if c is not None})

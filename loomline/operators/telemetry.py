@@ -127,7 +127,11 @@ def sessions(events: DataFrame, gap: str = "10 minutes", ts: str = "ts", key: st
     return events.groupBy(key, s).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")).drop("session_window")
 
 
-def running(requests: DataFrame, order: str = "ts", ring: int = 100, key: str | None = None) -> DataFrame:
-    """Each request with the mean latency of the last ``ring`` of its key."""
-    w = W.partitionBy(key if key else F.lit(0)).orderBy(order).rowsBetween(-(ring - 1), 0)
+def running(requests: DataFrame, order: tuple[str, ...] = ("ts", "id"), ring: int = 100, key: str | None = None) -> DataFrame:
+    """Each request with the mean latency of the last ``ring`` of its key.
+
+    Without a key all requests are one ring, of one gateway: that order needs them in one task, so give a key for a table
+    of many gateways.
+    """
+    w = W.partitionBy(key if key else F.lit(0)).orderBy(*order).rowsBetween(-(ring - 1), 0)
     return requests.withColumn("ring_latency", F.avg("latency_ms").over(w))

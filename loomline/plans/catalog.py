@@ -198,9 +198,9 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TASKS_SQL = "tasks AS (SELECT item_id AS task_id, lower(text) AS task FROM benchmark)"
-#: Symbols of a document: its first words, the third one a type, and its file name.
-_SYMBOLS_SQL = """words AS (SELECT doc_id, regexp_extract_all(substr(text, 1, 400), '[A-Za-z]+') AS w FROM documents),
-symbols AS (SELECT doc_id AS pos, '/src/' || doc_id || '.ts' AS file_path, CASE WHEN i = 3 THEN 'type' ELSE 'function' END AS kind, w[i] AS name FROM words, range(1, 9) r(i) WHERE i <= len(w)
+#: Symbols of a document: all its words, the third one a type, and its file name.
+_SYMBOLS_SQL = """words AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents),
+symbols AS (SELECT doc_id AS pos, '/src/' || doc_id || '.ts' AS file_path, CASE WHEN i = 3 THEN 'type' ELSE 'function' END AS kind, name FROM (SELECT doc_id, unnest(w) AS name, generate_subscripts(w, 1) AS i FROM words)
   UNION ALL SELECT doc_id, '/src/' || doc_id || '.ts', 'file', doc_id::VARCHAR FROM words),
 scores AS (SELECT task_id, file_path, min(pos) AS pos, sum(CASE kind WHEN 'function' THEN 3 ELSE 2 END)::BIGINT AS score FROM symbols JOIN tasks ON contains(task, lower(name))
   WHERE length(name) >= 2 AND lower(name) NOT IN (""" + ", ".join(f"'{g}'" for g in retrieval.GENERIC) + ") GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY task_id, file_path")
@@ -213,7 +213,7 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.read(spark, sf_dir, "documents").withColumn("pos", F.col("doc_id")).withColumn("file_path", t.path_of())
-    words = F.slice(F.regexp_extract_all(F.substring("text", 1, 400), F.lit("([A-Za-z]+)")), 1, 8)
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))
     named = docs.select("pos", "file_path", F.posexplode(words).alias("i", "name")).select("pos", "file_path", F.when(F.col("i") == 2, "type").otherwise("function").alias("kind"), "name")
     return retrieval.task_scores(_tasks(spark, sf_dir), named.unionByName(retrieval.file_symbols(docs)))
 
@@ -399,14 +399,13 @@ def trim_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.trimmed(c, 300).select("conv_id", "turn", "tokens")
 
 
-@query("""WITH d AS (SELECT doc_id, rtrim(repeat(replace(substr(text, 1, 40), chr(10), ' ') || chr(10), (20 + doc_id % 200)::INT), chr(10)) AS content, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id * 7) % 260 END AS spot FROM documents),
+@query("""WITH d AS (SELECT doc_id, replace(text, ' ', chr(10)) AS content, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id * 7) % 260 END AS spot FROM documents),
 l AS (SELECT doc_id, content, spot, string_split(content, chr(10)) AS x FROM d), k AS (SELECT *, len(x) AS n, greatest(0, spot - 60) AS a, least(len(x), spot + 60) AS b FROM l)
 SELECT doc_id, md5(CASE WHEN n <= 150 THEN content WHEN spot > 0 THEN '// ... (' || a || ' lines omitted)' || chr(10) || CASE WHEN b > a THEN array_to_string(x[a + 1:b], chr(10)) || chr(10) ELSE '' END || '// ... (' || (n - b) || ' lines omitted)'
 ELSE array_to_string(x[1:80], chr(10)) || chr(10) || '// ... (' || (n - 130) || ' lines omitted)' || chr(10) || array_to_string(x[n - 49:n], chr(10)) END) AS digest FROM k""")
 def compact_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t.read(spark, sf_dir, "documents")
-    line = F.concat(F.regexp_replace(F.substring("text", 1, 40), "\n", " "), F.lit("\n"))
-    content = F.rtrim(F.repeat(line, (F.col("doc_id") % 200 + 20).cast("int")), F.lit("\n"))
+    content = F.replace("text", F.lit(" "), F.lit("\n"))  # a line for each word
     at = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") * 7 % 260).cast("int")
     rows = d.select("doc_id", content.alias("content"), at.alias("at"))
     return rows.select("doc_id", F.md5(text.compacted_file("content", "at").cast("binary")).alias("digest"))

@@ -87,6 +87,7 @@ def search(vectors: DataFrame, tasks: DataFrame, k: int = 20) -> DataFrame:
     if few.count() > retrieval.FEW:
         raise ValueError(f"search for at most {retrieval.FEW} tasks at once")
     d = retrieval.distance(F.col("vector").cast("array<double>"), F.col("q").cast("array<double>"))
-    met = vectors.join(F.broadcast(few.select("task_id", F.col("vector").alias("q")))).select("task_id", "file_path", "content", d.alias("d"))
+    met = vectors.join(F.broadcast(few.select("task_id", F.col("vector").alias("q")))).select("task_id", "file_path", d.alias("d"))
     nth = F.row_number().over(W.partitionBy("task_id").orderBy("d", "file_path"))
-    return met.withColumn("pos", nth).filter(F.col("pos") <= k).select("task_id", F.col("pos").cast("long").alias("pos"), "file_path", "content")
+    best = met.withColumn("pos", nth).filter(F.col("pos") <= k)
+    return best.join(vectors.select("file_path", "content"), "file_path").select("task_id", F.col("pos").cast("long").alias("pos"), "file_path", "content")  # contents of what was found only
