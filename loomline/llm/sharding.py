@@ -19,6 +19,7 @@ from pyspark.sql.window import Window as W
 from .common import written
 
 LOADS = ("bytes", "rows")
+RUN = 100_000  # repeated rows that are spelled out at once
 
 
 def ring_nodes(n_shards: int, vnodes: int, cells: int) -> list[tuple[int, int]]:
@@ -65,7 +66,7 @@ def ring_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", t
     ring's key is id and crc, so many rows with a null or repeated id still spread; whole repeated rows stay together.
     slot numbers a shard's rows from 0, by cell, then id (nulls first), crc and size. ``load`` bounds bytes or rows.
     grown_shard is null: under bounded loads what others weigh decides too. An empty table gives no rows; further
-    columns of ``docs`` are ignored. law is null if rows are bounded: cells are placed whole, so counts are near equal only.
+    columns of ``docs``, whatever their names, are ignored. law is null if rows are bounded: cells are placed whole, so counts are near equal only.
     """
     if load not in LOADS:
         raise ValueError(f"load must be one of {LOADS}")
@@ -81,9 +82,13 @@ def ring_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", t
         ring.append((c, placed[c], filled[placed[c]]))
         filled[placed[c]] += count[c]
     ring_df = spark.createDataFrame(ring, "cell int, shard int, base long")
-    within = F.row_number().over(W.partitionBy("cell").orderBy(F.col("id").asc_nulls_first(), "crc", "size"))
+    # repeated rows are counted, and spelled out in runs: a row that a third of the table repeats is one row until then
+    same = rows.groupBy("cell", "id", "crc", "size").agg(F.count("*").alias("times"))
+    before = F.sum("times").over(W.partitionBy("cell").orderBy(F.col("id").asc_nulls_first(), "crc", "size")) - F.col("times")
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN)), lambda r: F.struct((r * RUN).alias("lo"), F.least((r + 1) * RUN, F.col("times")).alias("hi")))
+    spelled = same.withColumn("first", before).select("*", F.explode(runs).alias("run"))
     return (
-        rows.withColumn("nth", within)
+        spelled.select("cell", "id", "crc", "size", F.explode(F.sequence(F.col("first") + F.col("run.lo") + 1, F.col("first") + F.col("run.hi"))).alias("nth"))
         .join(F.broadcast(ring_df), "cell")  # at most 2**ring_bits rows of 16 bytes
         .select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit(load if load == "bytes" else None).cast("string").alias("law"), "shard", (F.col("base") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

@@ -72,3 +72,18 @@ def test_blank_documents_of_a_capped_source_have_no_more_copies(spark):
 def test_native_plan(spark):
     plan = mixing.mix_sources(table(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_inclusion_follows_the_odds(spark):
+    """Over many seeds a document of four times the words has about twice the odds (the tilt is the root), and words taken stay near the target."""
+    from collections import Counter
+
+    data = [(i, "w " * (4 if i % 2 else 16), "en", "ab"[i < 40], 0, 0, "", "", "", 0.0) for i in range(120)]
+    taken, seeds = Counter(), 40
+    for s in range(seeds):
+        for r in mixing.mix_sources(table(spark, data), seed=f"s{s}", bins=16).filter("copies > 0").collect():
+            if r.source == "a":
+                taken[r.size] += 1
+    n = sum(d[3] == "a" for d in data) // 2 * seeds
+    odds = {k: taken[k] / n / (1 - taken[k] / n) for k in (4, 16)}
+    assert 1.5 < odds[16] / odds[4] < 2.7, odds
