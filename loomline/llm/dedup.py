@@ -281,7 +281,7 @@ def _components(classes: DataFrame, shingles, percent: int, risk: float, n: int)
     n_merged = merged.count()
     lists = written(merged.join(heads.select("token", "head"), "token").select("token", "node", "head"), "dedup-lists", n_merged)
     nodes = lists.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("lists"))  # at most COORDINATES a class
-    nodes = written(nodes.join(classes.select("node", "sig", "n"), "node"), "dedup-nodes", min(n, n_merged), 100_000)
+    nodes = written(nodes.join(classes.select("node", "sig", "n"), "node"), "dedup-nodes", min(n, n_merged), 25_000)
     n_nodes = nodes.count()
     if not n_nodes:
         return None
@@ -295,7 +295,7 @@ def _components(classes: DataFrame, shingles, percent: int, risk: float, n: int)
     sets = counted.join(side(grams, "a", "grams"), "a").join(side(grams, "b", "grams"), "b")
     confirmed = sets.withColumn("i", F.size(F.array_intersect("agrams", "bgrams"))).filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("agrams") + F.size("bgrams") - F.col("i"))).select("a", "b")
     nodes = nodes.join(connected(confirmed, n_merged), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    nodes = written(nodes, "dedup-components", n_nodes, 100_000)
+    nodes = written(nodes, "dedup-components", n_nodes, 25_000)
 
     suspects = _duels(lists, nodes, n_merged).groupBy("k", "token").applyInArrow(_suspects(t), "k long, side int, node long")
     full = suspects.join(nodes.select("node", "component"), "node").join(grams, "node").select("k", "side", "component", "grams")
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, words: int = WORDS, r
     least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "text_key")).alias("rep")
     classes = signed.filter("n > 0").groupBy("h1", "h2").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), least)
     n_rows = signed.count()
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes", n_rows, 100_000)  # numbers are fixed once written
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes", n_rows, 25_000)  # numbers are fixed once written
 
     def shingles(nodes: DataFrame, n: int) -> DataFrame:
         """The full sets of some classes, from the texts once more: storing those of all documents would take more room than the texts."""
