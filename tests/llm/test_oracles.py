@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", list(registry.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark", "clicks"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(registry.ORACLES[name])
     got = registry.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(want.columns)
