@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.scratch import written
+
+_BITS = 33  # of monotonically_increasing_id, below the number of the partition
+
 
 def numbered(df: DataFrame, key: Column, *ties: Column, name: str = "nth", descending: bool = False, ranges: int | None = None) -> DataFrame:
-    """``df`` with its row number (from 1) by a numeric key, then by ``ties``.
+    """``df`` with its row number (from 1) by a key (nulls first), then by ``ties``.
 
-    Ranges of the key are cut at approximate percentiles; rows are numbered within their range and the sizes of the ranges
-    before are added. So every range is sorted by itself, and only its size crosses over. Without ``ranges`` there are as
-    many as the session has shuffle partitions, 64 to 4,096. Rows that share one key share a range.
+    Spark's range partitioning samples the key and the ties together, so many rows of one key are cut too; only rows that
+    are equal in all of them share a range, in any order. Every range is sorted by itself and written out with its places,
+    then the sizes of the ranges before are added: a row per range is all that is gathered. ``ranges`` defaults to the
+    session's shuffle partitions. ``df`` is read twice, once for the sample: hand over a written table, and narrow rows.
     """
-    ranges = ranges or min(4096, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    k = (-key if descending else key).cast("double")
-    cuts = df.agg(F.percentile_approx(k, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"]
-    cuts = sorted({c for c in cuts or [] if c is not None})
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("__k"))) if cuts else F.lit(0)
-    ranged = df.withColumn("__k", k).withColumn("__range", F.when(F.col("__k").isNull(), F.lit(-1)).otherwise(below))
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # a row per range
-    before = sizes.select("__range", (F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__n")).alias("__before"))
-    nth = F.row_number().over(W.partitionBy("__range").orderBy(F.col("__k").asc_nulls_first(), *ties))
-    return ranged.withColumn("__nth", nth).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__nth")).drop("__k", "__range", "__nth", "__before")
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [key.desc_nulls_first() if descending else key.asc_nulls_first(), *ties]
+    placed = written(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    mask = F.lit((1 << _BITS) - 1)
+    placed = placed.withColumn("__range", F.shiftright("__at", _BITS)).withColumn("__at", F.col("__at").bitwiseAND(mask))
+    sizes = placed.groupBy("__range").agg(F.max("__at").alias("__last"))  # a row per range
+    before = sizes.select("__range", (F.sum(F.col("__last") + 1).over(W.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__last")).alias("__before"))
+    return placed.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
