@@ -45,46 +45,53 @@ def per_window(requests: DataFrame, width: str = "1 minute", late: str = "10 min
     return timed.groupBy(F.window("ts", width)).agg(F.count("*").alias("n"), F.avg("latency_ms").alias("latency_ms"))
 
 
+def query_id(spark: SparkSession) -> str | None:
+    """The id of the streaming query whose micro-batch runs here: it stays over restarts on one checkpoint, another checkpoint has another."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def upserting(jobs: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, trigger: str = "120 milliseconds") -> DataStreamWriter:
-    """A sink that hands each micro-batch's queue, one job per path, to ``handle(queue, batch number)``. A batch may come again after a failure: handlers must write by batch number."""
+    """A sink that hands each micro-batch's queue, one job per path, to ``handle(queue, batch number)``. A batch may come again after a failure: handlers tell by query and batch number."""
     return jobs.writeStream.foreachBatch(lambda df, n: handle(queued(df), n)).option("checkpointLocation", checkpoint).trigger(processingTime=trigger)
 
 
-def versions(spark: SparkSession, root: str) -> list[tuple[int, int, str]]:
-    """(place, batch number, folder) of every version written below ``root``, in order. No log means that there is none."""
+def versions(spark: SparkSession, root: str) -> list[tuple[int, str, int, str]]:
+    """(place, query, batch number, folder) of every version written below ``root``, in order. No log means that there is none."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{root}/log")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return []
-    return sorted(map(tuple, spark.read.schema("place long, batch long, folder string").json(f"{root}/log").collect()))  # a row per version
+    return sorted(map(tuple, spark.read.schema("place long, query string, batch long, folder string").json(f"{root}/log").fillna("", "query").collect()))  # a row per version
 
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest version."""
     found = versions(spark, root)
-    return spark.read.parquet(f"{root}/{found[-1][2]}") if found else None
+    return spark.read.parquet(f"{root}/{found[-1][-1]}") if found else None
 
 
-def versioned(root: str, key: str, newest: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """A handler that upserts rows into a new version of a table, and logs it when it is whole.
+def versioned(root: str, key: str, newest: Sequence[str] = ()) -> Callable[..., None]:
+    """A handler that upserts rows into a new version of a table, and logs it with its query and batch when it is whole.
 
-    The base is the newest logged version; a batch that comes again after a failure is told by its number, and starts from
-    the version before it. So a gap in the numbers or a new checkpoint loses nothing. Of several rows of a key in a batch
-    the one with the greatest ``newest`` columns stays. Every batch writes the table once; for tables that are large
-    against their batches, collect several batches per trigger.
+    The base is always the newest logged version. A batch that the log holds under the same query was written whole and is
+    passed over; a new checkpoint is another query, so its batches count anew and lose nothing. Outside a stream, where no query
+    is known or given, every call is applied. A null key is a key like others. Of several rows of a key in a batch the one
+    with the greatest ``newest`` columns stays. Every batch writes the table once: ``sources.store`` writes what changed only.
     """
 
-    def handle(rows: DataFrame, n: int) -> None:
+    def handle(rows: DataFrame, n: int, query: str | None = None) -> None:
         spark = rows.sparkSession
+        query = query or query_id(spark) or ""
         found = versions(spark, root)
-        again = bool(found) and found[-1][1] == n
-        base = found[:-1] if again else found
+        if query and any((q, b) == (query, n) for _, q, b, _ in found):
+            return
         one = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*newest, *[c for c in rows.columns if c not in newest])).alias("r")).select("r.*")
         place = found[-1][0] + 1 if found else 0
         folder = f"v{place}-{uuid.uuid4().hex[:8]}"
-        out = one if not base else spark.read.schema(rows.schema).parquet(f"{root}/{base[-1][2]}").join(rows.select(key), key, "left_anti").select(*rows.columns).unionByName(one)
+        keys = rows.select(F.col(key).alias("__key")).distinct()
+        out = one if not found else spark.read.schema(rows.schema).parquet(f"{root}/{found[-1][-1]}").join(keys, F.col(key).eqNullSafe(F.col("__key")), "left_anti").select(*rows.columns).unionByName(one)
         out.write.parquet(f"{root}/{folder}")
-        spark.createDataFrame([(place, n, folder)], "place long, batch long, folder string").coalesce(1).write.mode("append").json(f"{root}/log")
+        spark.createDataFrame([(place, query, n, folder)], "place long, query string, batch long, folder string").coalesce(1).write.mode("append").json(f"{root}/log")
 
     return handle
 

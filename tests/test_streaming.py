@@ -53,13 +53,27 @@ def test_upserts_by_batch(spark, tmp_path):
 def test_gaps_and_new_checkpoints_lose_nothing(spark, tmp_path):
     root = f"{tmp_path}/out"
     handle, rows = changes.versioned(root, "path", ("seq",)), lambda *xs: spark.createDataFrame(xs, "path string, seq long")
-    handle(rows(("a", 1)), 0)
-    handle(rows(("b", 2), ("b", 3)), 2)  # batch 1 never came; a key comes twice
-    handle(rows(("c", 4)), 0)  # another checkpoint starts to count again
-    assert {(r.path, r.seq) for r in changes.current(spark, root).collect()} == {("a", 1), ("b", 3), ("c", 4)}
+    handle(rows(("a", 1)), 0, "one")
+    handle(rows(("d", 5)), 0, "two")  # another checkpoint starts to count again, at the number of the last version
+    handle(rows(("b", 2), ("b", 3)), 2, "one")  # batch 1 never came; a key comes twice
+    handle(rows(("d", 9)), 0, "two")  # comes again, after another query's batch: passed over
+    handle(rows(("c", 4)), 2)  # no stream: applied
+    handle(rows(("c", 6)), 2)
+    assert {(r.path, r.seq) for r in changes.current(spark, root).collect()} == {("a", 1), ("b", 3), ("c", 6), ("d", 5)}
     assert changes.current(spark, f"{tmp_path}/none") is None
 
 
+def test_two_checkpoints_into_one_table(spark, tmp_path):
+    """Two queries, each on its first batch: both keep their rows, null keys are replaced as others are."""
+    root, schema = f"{tmp_path}/out", "path string, priority string, seq long, queued_at long"
+    for name, own in (("one", [("a", "LOW", 1, 1), (None, "LOW", 2, 2)]), ("two", [("b", "LOW", 3, 3), (None, "LOW", 4, 4)])):
+        q = changes.upserting(stream(spark, tmp_path, [own], schema, name), changes.versioned(root, "path"), f"{tmp_path}/checkpoint-{name}").start()
+        q.processAllAvailable()
+        q.stop()
+    assert {(r.path, r.seq) for r in changes.current(spark, root).collect()} == {("a", 1), ("b", 3), (None, 4)}
+    assert len({q for _, q, _, _ in changes.versions(spark, root)} - {""}) == 2
+
+
 def test_logs_are_followed(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "a.log").write_text("one\n\ntwo\n")
