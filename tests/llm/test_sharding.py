@@ -33,6 +33,20 @@ def test_loads_are_bounded_and_runs_agree(spark):
     assert sorted(found) == sorted(sharding.ring_shards(table(spark, data), 8).collect())
 
 
+def test_repeated_rows_are_spread(spark):
+    """Four rows in ten repeat one row, or an equal text without an id: loads stay within the slack and a piece."""
+    other = [(i, "x" * (i * 37 % 60), "en", "a", 0, 1, "", "", "", 0.0) for i in range(600)]
+    for repeated in ([(5, "same " * 20, "en", "a", 0, 1, "", "", "", 0.0)] * 400, [(None, "same " * 20, "en", "a", 0, 1, "", "", "", 0.0)] * 400):
+        data = other + repeated
+        found = sharding.ring_shards(table(spark, data), 8).collect()
+        check(found, data, "bytes")
+        loads = Counter()
+        for r in found:
+            loads[r.shard] += r.size
+        mean = sum(loads.values()) / 8
+        assert len(loads) == 8 and max(loads.values()) <= 1.002 * mean + 101 and min(loads.values()) >= 0.98 * mean - 101, loads
+
+
 def test_bounded_rows_claim_no_law(spark):
     data = [(i, "x" * i, "en", "a", 0, 1, "", "", "", 0.0) for i in range(800)]
     found = sharding.ring_shards(table(spark, data), 4, load="rows").collect()
