@@ -7,7 +7,6 @@ costs one table look-up per letter and machine, and texts of any length compare.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -16,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import held_out, ship, tidy
 from .pieces import slices
@@ -199,22 +199,25 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], per_machine: int =
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, rows_at_most: int = 6000) -> Model:
-    """Train on whole texts of at most ``per_language`` labelled rows that aren't held out, picked by a hash of the id.
+    """Train on whole texts of at most ``per_language`` labelled rows that aren't held out, picked by a hash of id and text.
 
     Every language is learnt; with many of them, each has fewer rows, so that about ``rows_at_most`` are picked in all (but
-    20 of each). Labels are counted over all rows first, so the pick needs no shuffle of texts; what reaches the driver are
-    the bucket shares of the picked rows, 4 and 4 bytes for each bucket that a text has, however large the table is.
+    20 of each). Rows that repeat id and text count once, of others with the same id each may be picked. Different rows are
+    counted over all rows first (approximately, for the pick only) and each language is cut to its number before anything is
+    collected: what reaches the driver are the bucket shares of at most so many rows, 4 and 4 bytes for each bucket that a
+    text has, however large the table is and however often a row repeats.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text", F.lit(7)).bitwiseAND(F.lit((1 << 62) - 1)))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}  # a row per language
     if not counts:
         return Model()
     each = min(per_language, max(20, rows_at_most // len(counts)))
-    spread = 1 << 20
-    key = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(spread))
-    limits = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, 1.3 * each / n) * spread) + 1)])
-    picked = rows.withColumn("key", key).filter(F.col("key") < limits[F.col("lang")]).select("lang", "key", "doc_id", "text")
+    limits = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, 1.5 * each / max(1, n)) * (1 << 62)))])
+    picked = rows.filter(F.col("key") <= limits[F.col("lang")]).dropDuplicates(["lang", "key"])
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("key"))  # a task passes on ``each`` rows of a language at most
+    picked = picked.withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "key", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,12 +232,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = sorted(picked.mapInArrow(tidy(run), f"lang string, key long, doc_id {kind}, ids binary, shares binary").collect(), key=lambda r: (r["lang"], r["key"], str(r["doc_id"]), r["ids"]))
-    kept: dict[str, int] = defaultdict(int)
-    samples = []
-    for r in found:
-        kept[r["lang"]] += 1
-        if kept[r["lang"]] <= each and len(r["ids"]):
-            samples.append((r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["shares"], "<f4")))
+    samples = [(r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in found if len(r["ids"])]
     del found
     return train(samples)
 

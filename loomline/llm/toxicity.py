@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import held_out, ship, tidy
 from .pieces import slices
@@ -176,10 +177,11 @@ def mention_gap(model: Model, texts: list[str], groups: tuple[tuple[str, ...], .
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, groups: tuple[tuple[str, ...], ...] = IDENTITY, **how) -> Model:
-    """Train on whole texts of at most ``per_class`` labelled rows of each class that aren't held out, picked by a hash of the id.
+    """Train on whole texts of at most ``per_class`` labelled ids of each class that aren't held out, picked by a hash of the id.
 
-    A null label is none; of several labels of an id the highest counts. The pick is bounded, so it is broadcast. ``groups``
-    are the identity terms of the counterfactuals.
+    A null label is none; of several labels of an id the highest counts, of several texts of an id one stays, by its hash. So at
+    most ``per_class`` rows of a class are collected, however often ids and rows repeat; the pick is cut to that number before
+    it is broadcast. ``groups`` are the identity terms of the counterfactuals.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -190,7 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = lambda y: int(min(1.0, per_class / max(1, counts.get(y, 0))) * spread)
     marks = marks.filter(F.col("key") < F.when(F.col("y") == 1, F.lit(rate(1))).otherwise(F.lit(rate(0))))
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id").select("doc_id", "y", "text")
+    nth = F.row_number().over(W.partitionBy("y").orderBy("key", "doc_id"))  # a task passes on ``per_class`` ids of a class at most
+    marks = marks.withColumn("nth", nth).filter(F.col("nth") <= per_class).select("doc_id", "y")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id")  # 2 * per_class rows at most
+    picked = found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     packed = lambda buckets: np.array(buckets, "<i4").tobytes()
 

@@ -170,3 +170,34 @@ def test_many_languages_are_all_learnt():
     assert model.langs == sorted(texts) and len(model.pairs) < 60 * 59 / 4
     flat = [(lang, t) for lang, own in texts.items() for t in own[6:]]
     assert np.mean([a == b for a, (b, _) in zip(model.predict([t for _, t in flat])[0], flat, strict=True)]) > 0.95
+
+
+def collected(monkeypatch):
+    """Numbers of rows that reach the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sizes, plain = [], DataFrame.collect
+
+    def counted(self):
+        out = plain(self)
+        sizes.append(len(out))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    return sizes
+
+
+def test_fits_collect_what_they_say(spark, monkeypatch):
+    """One labelled id repeated 20,000 times, with one text or with many: the documented bounds hold, and other rows are still learnt."""
+    few = [(i, f"der die das und {i}" if i % 2 else f"the and of with {i}", "de" if i % 2 else "en") for i in range(300)]
+    keep = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5)
+    for texts in (lambda k: "the same text", lambda k: f"another text {k}"):
+        docs = spark.createDataFrame(few + [(keep, texts(k), "en") for k in range(20_000)], "doc_id long, text string, lang string")
+        sizes = collected(monkeypatch)
+        model = langid.fit(docs, per_language=50)
+        assert max(sizes) <= 100 and model.langs == ["de", "en"]
+        labels = spark.createDataFrame([(i, int(i % 2)) for i in range(300)] + [(keep, 1)] * 20_000, "doc_id long, toxic int")
+        del sizes[:]
+        toxicity.fit(docs, labels, per_class=60)
+        assert max(sizes) <= 120
+        monkeypatch.undo()
