@@ -608,11 +608,36 @@ def graph_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.depths(edges, nodes)
 
 
-@query(f"""WITH RECURSIVE {_DEPTH_SQL} SELECT (SELECT max(depth) FROM depths) AS max_depth, (SELECT count(*) FROM edges) AS cross_file_refs, 0::BIGINT AS cyclic_edges, (SELECT sum(node % 5)::BIGINT FROM nodes) AS symbols""")
-def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The graph with an edge back from some documents to their double: each closes a cycle, and other edges lead from one cycle to the next.
+_CYCLES_SQL = f"""{t.DAG_SQL}, lines AS (SELECT src, dst FROM edges UNION SELECT node, 2 * node FROM nodes WHERE node % 11 = 3 AND 2 * node IN (SELECT node FROM nodes)),
+r(a, b) AS (SELECT src, dst FROM lines UNION SELECT r.a, dst FROM r JOIN lines ON src = r.b),
+c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+refs AS (SELECT node, component, (SELECT count(*) FROM lines JOIN r ON r.a = dst AND r.b = src WHERE src = node) AS cyclic_refs FROM c),
+ends AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM c) AND node NOT IN (SELECT a FROM r WHERE b IN (SELECT node FROM c)))"""
+
+
+def _cyclic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = t.dag(spark, sf_dir)
+    back = nodes.filter("node % 11 = 3").select(F.col("node").alias("src"), (F.col("node") * 2).alias("dst")).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return nodes, edges.select("src", "dst").unionByName(back.select("src", "dst")).distinct()
+
+
+@query(f"WITH RECURSIVE {_CYCLES_SQL} SELECT node, component, cyclic_refs FROM refs")
+def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly connected components, and how many edges of each node lie within one."""
+    nodes, edges = _cyclic(spark, sf_dir)
+    found = written(graph.components(edges, nodes), "cycles")
+    return found.join(graph.cyclic_refs(edges, found), "node")
+
+
+@query(f"""WITH RECURSIVE {_CYCLES_SQL}, walk(node, depth) AS (SELECT node, 0 FROM ends UNION SELECT src, depth + 1 FROM walk JOIN lines ON dst = walk.node WHERE src IN (SELECT node FROM ends))
+SELECT (SELECT max(depth) FROM walk)::BIGINT AS max_depth, (SELECT count(*) FROM lines) AS cross_file_refs, (SELECT sum(cyclic_refs)::BIGINT FROM refs) AS cyclic_edges, (SELECT sum(node % 5)::BIGINT FROM nodes) AS symbols""")
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _cyclic(spark, sf_dir)
+    edges = written(edges, "cyclic-edges")
     cross = graph.cross_imports(edges).withColumnRenamed("src", "node")
-    rows = graph.depths(edges, nodes).join(cross, "node", "left").select("depth", "cross_file_imports", F.lit(0).alias("cyclic_refs"), (F.col("node") % 5).alias("exports"))
+    refs = graph.cyclic_refs(edges, written(graph.components(edges, nodes), "cycles"))
+    rows = graph.depths(edges, nodes).join(cross, "node", "left").join(refs, "node", "left").select("depth", "cross_file_imports", "cyclic_refs", (F.col("node") % 5).alias("exports"))
     return graph.graph_summary(rows)
 
 
@@ -622,25 +647,29 @@ edges AS (SELECT * FROM old_edges WHERE NOT (src % 7 = 3 AND pos = 0)), walk(nod
 
 @query(f"WITH RECURSIVE {_LESS_SQL} SELECT node, max(depth)::BIGINT AS depth FROM walk GROUP BY node")
 def graph_depth_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some edges go; depths of the nodes that reach their sources are computed again over the old ones of all others."""
+    """Some edges go; depths follow the changes from their sources on, over the old ones."""
     nodes, edges = t.dag(spark, sf_dir)
     now = edges.filter("NOT (src % 7 = 3 AND pos = 0)")
     old = written(graph.depths(edges, nodes), "old-depths")
-    affected = written(graph.reachable(now, edges.filter("src % 7 = 3").select(F.col("src").alias("node")).distinct()).select("node"), "affected")
-    return graph.depths(now, affected, known=old).unionByName(old.join(affected, "node", "left_anti"))
+    new = graph.maintained(now, old, edges.filter("src % 7 = 3").select(F.col("src").alias("node")))
+    return old.join(new.withColumnRenamed("depth", "now"), "node", "left").select("node", F.coalesce("now", "depth").alias("depth"))
 
 
-@query(f"""WITH {_IMPORT_SQL}, all_edges AS (SELECT t.path AS src, t.pos, arg_min(c, n) AS dst FROM tried t JOIN files f ON f.path = c GROUP BY t.path, t.pos)
-SELECT f.path, (SELECT count(*) FROM all_edges e WHERE e.src = f.path) AS cross_file_imports FROM files f""")
+@query(f"""WITH RECURSIVE {_IMPORT_SQL}, all_edges AS (SELECT t.path AS src, t.pos, arg_min(c, n) AS dst FROM tried t JOIN files f ON f.path = c WHERE t.pos IN (1, 4) AND t.path NOT IN (SELECT path FROM files WHERE doc_id = 0) GROUP BY t.path, t.pos),
+walk(path, depth) AS (SELECT path, 0 FROM files UNION SELECT src, depth + 1 FROM walk JOIN all_edges ON dst = walk.path)
+SELECT f.path, (SELECT count(*) FROM all_edges e WHERE e.src = f.path) AS cross_file_imports, (SELECT max(depth) FROM walk w WHERE w.path = f.path)::BIGINT AS depth FROM files f""")
 def graph_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the files come anew to a graph without them: what could mean them is resolved again."""
+    """A tenth of the files come anew to a graph without them: what could mean them is resolved again, and depths follow."""
     imports, files = _imports(spark, sf_dir)
+    imports = imports.filter("pos IN (1, 2, 4)").join(files.filter("doc_id = 0").select(F.col("path").alias("file_path")), "file_path", "left_anti")
     new = files.filter("doc_id % 10 = 6").select("path")
     before = files.join(new, "path", "left_anti").select("path")
     edges = written(graph.graph_edges(imports.join(before.withColumnRenamed("path", "file_path"), "file_path", "left_semi"), before, before), "old-edges")
-    known = before.join(graph.cross_imports(edges).withColumnRenamed("src", "path"), "path", "left").select("path", F.lit(0).cast("long").alias("depth"), F.coalesce("cross_file_imports", F.lit(0)).alias("cross_file_imports"), F.lit(1).alias("cyclic_refs"), F.lit(1).alias("exports"))
-    nodes = known.unionByName(new.select("path", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("cross_file_imports"), F.lit(0).alias("cyclic_refs"), F.lit(1).alias("exports")))
-    return graph.updated(nodes, edges, imports, files, new).nodes.select("path", "cross_file_imports")
+    depth = written(graph.depths(edges, before.select(F.col("path").alias("node"))), "old-depths").withColumnRenamed("node", "path")
+    zero = F.lit(0).cast("long")
+    known = depth.join(graph.cross_imports(edges).withColumnRenamed("src", "path"), "path", "left").select("path", "depth", F.coalesce("cross_file_imports", zero).alias("cross_file_imports"), F.lit(1).alias("cyclic_refs"), F.lit(1).alias("exports"))
+    nodes = known.unionByName(new.select("path", zero.alias("depth"), zero.alias("cross_file_imports"), F.lit(0).alias("cyclic_refs"), F.lit(1).alias("exports")))
+    return graph.updated(nodes, edges, imports, files, new).nodes.select("path", "cross_file_imports", "depth")
 
 
 @query()

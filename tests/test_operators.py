@@ -201,6 +201,106 @@ def test_long_paths_are_followed_to_the_end(spark):
     assert got == {i: 20 - i for i in range(21)}
 
 
+def rounds_of(monkeypatch):
+    """Tags of the tables that graph rounds write."""
+    tags, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, tag, *a: tags.append(tag) or plain(df, tag, *a))
+    return tags
+
+
+def test_chains_take_logarithmic_rounds(spark, monkeypatch):
+    n = 10_000
+    ids = spark.range(n + 1)
+    e = ids.filter("id > 0").select(F.col("id").alias("src"), F.lit(0).alias("pos"), (F.col("id") - 1).alias("dst"))
+    nodes = ids.select(F.col("id").alias("node"))
+    tags = rounds_of(monkeypatch)
+    assert graph.depths(e, nodes).filter("depth != node").isEmpty() and tags.count("depth-state") + tags.count("depth-jumps") <= 40
+    del tags[:]
+    got = graph.reachable(e, nodes.filter("node = 0"))
+    assert got.count() == n + 1 and got.filter("steps != node").isEmpty() and tags.count("spread") + tags.count("jumps") // 2 <= 40
+
+
+def random_graphs(n, seed):
+    rng = random.Random(seed)
+    for _ in range(n):
+        size = rng.randint(2, 14)
+        yield size, {(rng.randrange(size), rng.randrange(size)) for _ in range(rng.randint(1, size + 4))}
+
+
+def reach_of(edges, a):
+    seen, todo = set(), [a]
+    while todo:
+        here = todo.pop()
+        for d in [d for s, d in edges if s == here]:
+            if d not in seen:
+                seen.add(d)
+                todo.append(d)
+    return seen
+
+
+@pytest.mark.parametrize("often", [1, 3])
+def test_graphs_at_random(spark, often):
+    """Many small graphs side by side: depths, cycles and steps by brute force, with pointer jumping early and late."""
+    all_nodes, all_edges, start = [], [], 0
+    for size, edges in random_graphs(12, often):
+        all_nodes += range(start, start + size)
+        all_edges += [(start + a, start + b) for a, b in edges]
+        start += size
+    all_edges += [(start + i, start + i + 1) for i in range(20)] + [(start + 25, start + 3), (start + 25, start + 12), (start + 26, start + 25)]  # runs that meet
+    all_nodes += range(start, start + 27)
+    e = spark.createDataFrame([(a, 0, b) for a, b in all_edges], "src long, pos int, dst long")
+    nodes = spark.createDataFrame([(x,) for x in all_nodes], "node long")
+    reach = {a: reach_of(all_edges, a) for a in all_nodes}
+    on = {a for a in all_nodes if a in reach[a]}
+    endless = {a for a in all_nodes if a in on or reach[a] & on}
+    want = {a: None if a in endless else longest(all_edges, a) for a in all_nodes}
+    assert {r.node: r.depth for r in graph.depths(e, nodes, often=often).collect()} == want
+    pairs = e.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    least = {a: min([a, *(b for b in all_nodes if a in reach[b])]) for a in all_nodes}
+    assert {r.node: r.value for r in graph.spread(nodes.select("node", F.col("node").alias("value")), pairs, often=often).collect()} == least
+    if often == 1:
+        scc = {a: min([a, *(b for b in reach[a] if a in reach[b])]) for a in on}
+        found = graph.components(e, nodes)
+        assert {r.node: r.component for r in found.collect()} == scc
+        refs = {a: len({d for s, d in all_edges if s == a and a in reach[d] | ({d} if d == a else set())}) for a in on}
+        assert {r.node: r.cyclic_refs for r in graph.cyclic_refs(e, found).collect()} == refs
+        assert {r.node for r in graph.cyclic_nodes(e, nodes).collect()} == on
+
+
+def test_nodes_between_cycles_are_on_none(spark):
+    e = spark.createDataFrame([(a, 0, b) for a, b in ("ab", "ba", "bc", "cd", "de", "ed")], "src string, pos int, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "node string")
+    assert {(r.node, r.component) for r in graph.components(e, nodes).collect()} == {("a", "a"), ("b", "a"), ("d", "d"), ("e", "d")}
+
+
+def test_depths_follow_changes_only(spark):
+    """New and lost edges, one that changes no depth, a new cycle: its edges count old depths, and nodes before it follow."""
+    e = lambda *xs: spark.createDataFrame([(a, 0, b) for a, b in xs], "src long, pos int, dst long")
+    base = [(i, i - 1) for i in range(1, 8)]
+    old = spark.createDataFrame([(i, i) for i in range(8)] + [(9, None)], "node long, depth long")
+    seeds = lambda *xs: spark.createDataFrame([(x,) for x in xs], "node long")
+    got = lambda *a, **k: {r.node: r.depth for r in graph.maintained(*a, **k).collect()}
+    assert got(e(*base, (5, 1)), old, seeds(5)) == {}
+    assert got(e(*base[:4], *base[5:]), old, seeds(5)) == {5: 0, 6: 1, 7: 2}
+    assert got(e(*base, (9, 7)), old, seeds(9)) == {9: 8}
+    assert got(e(*base, (9, 99)), old, seeds(9)) == {9: 0}
+    cyclic = e(*base, (2, 4))  # 2 -> 4 -> 3 -> 2
+    assert graph.maintained(cyclic, old, seeds(2)) is None
+    held = graph.components(cyclic, old.select("node"))
+    assert got(cyclic, old, seeds(2), held) == {2: 5}  # 4 is being walked: its old depth counts, and 3 counts that of 2
+
+
+def test_updates_that_close_a_cycle(spark):
+    name = lambda i: f"/p/f{i}.ts"
+    edges = [(3, 2), (2, 1), (1, 3), (4, 3), (5, 0)]  # 1 -> 3 is new
+    imports = spark.createDataFrame([(name(s), 0, f"./f{d}") for s, d in edges], "file_path string, pos int, specifier string")
+    files = spark.createDataFrame([(name(i),) for i in range(6)], "path string")
+    before = graph.graph_edges(imports.filter(F.col("file_path") != name(1)), files, files)
+    nodes = spark.createDataFrame([(name(i), d, 1, 0, 1) for i, d in enumerate([0, 0, 1, 2, 3, 1])], "path string, depth long, cross_file_imports long, cyclic_refs int, exports int")
+    got = graph.updated(nodes, before, imports, files, spark.createDataFrame([(name(1),)], "path string"))
+    assert {r.path: r.depth for r in got.nodes.collect()} == {name(i): d for i, d in enumerate([0, 3, 1, 2, 3, 1])}
+
+
 def longest(edges, node):
     return max((1 + longest(edges, d) for s, d in edges if s == node), default=0)
 
