@@ -56,8 +56,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     last in order. Ties in the odds (whole repeated rows) are broken by id, nulls first, and size. With ``carry`` all
     columns of ``docs`` come along in a struct ``row``. An empty table gives no rows.
 
-    Words are summed per source and per bin of the odds first (partial sums before the shuffle); the exact order is
-    needed only within the one bin of each source where its target is met, so no source meets in one task.
+    Words are summed per source and per bin of the odds first (partial sums before the shuffle). The one bin of each source
+    where its target is met is cut into as many again, over its own odds; only ids, odds and sizes of one such part are
+    put in exact order in a task. They give the last document taken, and all others compare with it where they are:
+    texts move only if they repeat that very row.
     """
     odds = random_odds(id_col, text_col, seed)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), odds.alias("odds"), *([F.struct("*").alias("row")] if carry else []))
@@ -75,12 +77,37 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     cuts = per_bin.groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "whole", "budget")], F.max(reached).alias("cut"))
     cuts = written(cuts.select(F.col("source").alias("cut_source"), "source_size", "target", "whole", "budget", F.col("cut.bin").alias("cut_bin"), F.coalesce("cut.before", F.lit(0)).alias("cut_before")), "mix-cuts")
 
-    joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")))
-    exact = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
-    outside = joined.filter(~exact).withColumn("extra", F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False)).cast("long"))
-    order = W.partitionBy("source").orderBy("odds", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    met = F.sum("size").over(order) - F.col("size") + F.col("cut_before")
-    inside = joined.filter(exact).withColumn("extra", (2 * met + F.col("size") <= 2 * F.col("budget")).cast("long"))
+    at_cut = F.col("source").eqNullSafe(F.col("cut_source"))
+    # the bin of the cut is cut once more, evenly over its own odds; equal rows are one with a number of times
+    narrow = rows.select("source", "bin", "odds", "id", "size").join(cuts, at_cut & (F.col("bin") == F.col("cut_bin"))).groupBy("cut_source", "odds", "id", "size", "cut_before", "budget").agg(F.count("*").alias("times"))
+    narrow = written(narrow, "mix-bin")
+    span = narrow.groupBy(F.col("cut_source").alias("s")).agg(F.min("odds").alias("least"), (F.max("odds") - F.min("odds")).alias("width"))
+    fine = F.when(F.col("width") > 0, F.least(F.floor(F.lit(float(bins)) * ((F.col("odds") - F.col("least")) / F.col("width"))), F.lit(bins - 1))).otherwise(0).cast("int")
+    narrow = narrow.join(span, F.col("cut_source").eqNullSafe(F.col("s"))).withColumn("fine", fine)
+    fines = narrow.groupBy("cut_source", "fine", "cut_before", "budget").agg(F.sum(F.col("size") * F.col("times")).alias("words"))
+    begun = F.col("cut_before") + F.coalesce(F.sum("words").over(W.partitionBy("cut_source").orderBy("fine").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fines = fines.withColumn("begun", begun).filter((F.col("begun") <= F.col("budget")) & (F.col("budget") < F.col("begun") + F.col("words")))
+    fines = fines.groupBy(F.col("cut_source").alias("f")).agg(F.max(F.struct("fine", "begun")).alias("c")).select("f", F.col("c.fine").alias("cut_fine"), F.col("c.begun").alias("begun"))
+    # exact order within one fine bin, over narrow rows: documents are taken up to a last one, of which the mix may hold some of its repeats only
+    few = narrow.join(fines, F.col("cut_source").eqNullSafe(F.col("f")) & (F.col("fine") == F.col("cut_fine")))
+    order = W.partitionBy("cut_source").orderBy("odds", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = F.sum(F.col("size") * F.col("times")).over(order) - F.col("size") * F.col("times") + F.col("begun")
+    fit = F.when(F.col("size") > 0, F.floor((2 * F.col("budget") - 2 * F.col("met") - F.col("size")) / (2 * F.col("size"))) + 1).otherwise(F.col("times"))
+    few = few.withColumn("met", met).withColumn("fit", F.greatest(F.lit(0), F.least(F.col("times"), fit)).cast("long")).filter("fit > 0")
+    last = few.groupBy("cut_source").agg(F.max(F.struct("odds", "id", "size", "fit")).alias("last"))
+    # where nothing of the fine bin fits, the cut is its first odds
+    first = narrow.join(fines, F.col("cut_source").eqNullSafe(F.col("f")) & (F.col("fine") == F.col("cut_fine"))).groupBy(F.col("cut_source").alias("f")).agg(F.min("odds").alias("first"))
+    ends = first.join(last, F.col("f").eqNullSafe(F.col("cut_source")), "left").select("f", "first", "last")
+    cuts = written(cuts.join(ends, F.col("cut_source").eqNullSafe(F.col("f")), "left").drop("f"), "mix-ends")  # a row per source
+
+    joined = rows.join(cuts, at_cut)
+    own, end = F.struct("odds", "id", "size"), F.struct("last.odds", "last.id", "last.size")
+    in_bin = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
+    equal = in_bin & F.col("last").isNotNull() & F.coalesce(own.eqNullSafe(end), F.lit(False))
+    before_cut = F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False)) | (in_bin & F.coalesce(F.when(F.col("last").isNotNull(), own < end).otherwise(F.col("odds") < F.col("first")), F.lit(False)))
+    outside = joined.filter(~equal).withColumn("extra", before_cut.cast("long"))
+    nth = F.row_number().over(W.partitionBy("source").orderBy("odds"))  # repeats of one row
+    inside = joined.filter(equal).withColumn("extra", (nth <= F.col("last.fit")).cast("long"))
     extra = F.when(F.col("size") > 0, F.col("extra")).otherwise(0)  # blank documents don't count towards a target
     out = outside.unionByName(inside).withColumn("copies", F.col("whole") + extra)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if carry else []))

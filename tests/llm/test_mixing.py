@@ -1,5 +1,6 @@
 import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -80,10 +81,10 @@ def test_inclusion_follows_the_odds(spark):
 
     data = [(i, "w " * (4 if i % 2 else 16), "en", "ab"[i < 40], 0, 0, "", "", "", 0.0) for i in range(120)]
     taken, seeds = Counter(), 40
-    for s in range(seeds):
-        for r in mixing.mix_sources(table(spark, data), seed=f"s{s}", bins=16).filter("copies > 0").collect():
-            if r.source == "a":
-                taken[r.size] += 1
+    mixed = lambda s: mixing.mix_sources(table(spark, data), seed=f"s{s}", bins=16).filter("copies > 0 AND source = 'a'").collect()
+    with ThreadPoolExecutor(4) as pool:
+        for found in pool.map(mixed, range(seeds)):
+            taken.update(r.size for r in found)
     n = sum(d[3] == "a" for d in data) // 2 * seeds
     odds = {k: taken[k] / n / (1 - taken[k] / n) for k in (4, 16)}
     assert 1.5 < odds[16] / odds[4] < 2.7, odds
