@@ -36,27 +36,77 @@ def file_symbols(files: DataFrame) -> DataFrame:
     return files.select("pos", "file_path", F.lit("file").alias("kind"), stem("file_path").alias("name"))
 
 
+def _weight(kind: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[kind]
+
+
+def _spelled(tasks: DataFrame, lengths: Sequence[int], keys: DataFrame) -> DataFrame:
+    """(task_id, key): the distinct substrings of each task that have one of the lengths and are among the keys."""
+    low = tasks.select("task_id", F.lower("task").alias("task")).filter(F.length("task") >= 2)
+    starts = low.select("task_id", "task", F.explode(F.sequence(F.lit(1), F.length("task") - 1)).alias("at"))
+    sizes = starts.select("task_id", "task", "at", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n"))
+    every = sizes.filter(F.col("n") <= F.length("task") - F.col("at") + 1).select("task_id", F.substring("task", F.col("at"), F.col("n")).alias("key"))
+    return every.join(keys, "key", "left_semi").distinct()
+
+
+def _hits(named: DataFrame, spelled: DataFrame, tasks: DataFrame, longest: int) -> DataFrame:
+    """(task_id, file_path, pos, score) of names (file_path, name, key, pos, weight) whose key was spelled; names longer than a key are looked up in full."""
+    hit = named.join(spelled, "key").select("task_id", "file_path", "name", "pos", "weight")
+    low = tasks.select("task_id", F.lower("task").alias("task"))
+    long = hit.filter(F.length("name") > longest).join(low, "task_id").filter(F.col("task").contains(F.col("name"))).select(*hit.columns)
+    hit = hit.filter(F.length("name") <= longest).unionByName(long)
+    return hit.groupBy("task_id", "file_path").agg(F.min("pos").alias("pos"), F.sum("weight").cast("long").alias("score"))
+
+
 def task_scores(tasks: DataFrame, symbols: DataFrame, longest: int = 40) -> DataFrame:
     """(task_id, file_path, pos, score): weights of a file's symbols whose name stands in the task, repeated ones counted again.
 
     symbols: pos, file_path, kind, name. Containment becomes an equality: a task is spelled out into its substrings of the
     lengths that names have (up to ``longest``), and a name is looked up by its first ``longest`` characters; longer names
-    are then checked in full. So neither side is held by a task and nothing is compared that doesn't share a key.
+    are then checked in full. So neither side is held by a task and nothing is compared that doesn't share a key. The result has
+    a row for each task and file that meet: for the best files of each task, ``top_scored`` looks at few files only.
     """
-    weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("kind")]
     useful = symbols.filter((F.length("name") >= 2) & ~F.lower("name").isin(*GENERIC))
-    named = useful.groupBy("file_path", F.lower("name").alias("name")).agg(F.min("pos").alias("pos"), F.sum(weight).alias("weight"))
+    named = useful.groupBy("file_path", F.lower("name").alias("name")).agg(F.min("pos").alias("pos"), F.sum(_weight(F.col("kind"))).alias("weight"))
     named = written(named.withColumn("key", F.substring("name", 1, longest)), "task-names")
     lengths = sorted(r["n"] for r in named.select(F.length("key").alias("n")).distinct().collect())  # ``longest`` rows at most
-    low = tasks.select("task_id", F.lower("task").alias("task")).filter(F.length("task") >= 2)
-    starts = low.select("task_id", "task", F.explode(F.sequence(F.lit(1), F.length("task") - 1)).alias("at"))
-    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("task") - F.col("at") + 1)
-    spelled = starts.select("task_id", F.explode(F.transform(sizes, lambda n: F.substring("task", F.col("at"), n))).alias("key")).distinct()
-    hit = named.join(spelled, "key").select("task_id", "file_path", "name", "pos", "weight")
-    if lengths and lengths[-1] >= longest:
-        long = hit.filter(F.length("name") > longest).join(low, "task_id").filter(F.col("task").contains(F.col("name"))).select(*hit.columns)
-        hit = hit.filter(F.length("name") <= longest).unionByName(long)
-    return hit.groupBy("task_id", "file_path").agg(F.min("pos").alias("pos"), F.sum("weight").cast("long").alias("score"))
+    return _hits(named, _spelled(tasks, lengths, named.select("key").distinct()), tasks, longest)
+
+
+def symbol_index(files: DataFrame) -> DataFrame:
+    """(file_path, pos, symbols, bound) of files (pos, file_path, symbols), symbols being an array of (kind, names): the sum of all weights bounds any task's score. Written, to be read by ``top_scored``."""
+    bound = F.aggregate("symbols", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(_weight(x["kind"]) * F.size(x["names"]), F.lit(0)))
+    return written(files.select("file_path", "pos", "symbols").withColumn("bound", bound), "symbol-index")
+
+
+def top_scored(tasks: DataFrame, index: DataFrame, k: int = 5, first: int = 512, more: int = 8, longest: int = 40) -> DataFrame:
+    """The k best files per task, as ``top_files`` of ``task_scores`` gives them, over a ``symbol_index``: few files are looked into.
+
+    A threshold algorithm in rounds: about ``first`` files with the greatest bounds are scored for all tasks, then ``more`` times as many, and
+    so on. A task whose k-th score reaches the bounds of all files that are left is done; the others go on, at last over all files.
+    Where rounds are cut is approximate, what they give isn't. Scores are made for the files of a round and the tasks still open only.
+    """
+    n = index.count()
+    sizes = []
+    while (first * more ** len(sizes)) < n:
+        sizes.append(first * more ** len(sizes))
+    cuts = index.agg(F.percentile_approx("bound", [1 - x / n for x in sizes], 100_000)).first()[0] if sizes else []
+    cuts = [*sorted(set(cuts), reverse=True), None]  # bounds of the least file of each round
+    left, best, above = tasks.select("task_id", "task").repartition("task_id"), None, None
+    for cut in cuts:
+        files = index if above is None else index.filter(F.col("bound") < above)
+        files = files if cut is None else files.filter(F.col("bound") >= cut)
+        each = files.select("file_path", "pos", F.explode("symbols").alias("s")).select("file_path", "pos", "s.kind", F.explode("s.names").alias("name"))
+        scores = task_scores(left, each, longest)
+        best = written(top_files(scores if best is None else scores.unionByName(best.drop("rank")), k), "task-best")
+        if cut is not None:
+            done = best.filter((F.col("rank") == k) & (F.col("score") >= cut)).select("task_id")
+            left = written(left.join(done, "task_id", "left_anti"), "task-left")
+            if left.isEmpty():
+                break
+            left = left.repartition("task_id")
+        above = cut
+    return best
 
 
 def top_files(scores: DataFrame, k: int = 5) -> DataFrame:

@@ -223,15 +223,24 @@ def task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).select("task_id", "file_path", "score")
 
 
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best files per task, over an index of the documents' words."""
+    docs = t.read(spark, sf_dir, "documents").withColumn("file_path", t.path_of())
+    rows = docs.select(F.col("doc_id").alias("pos"), "file_path", F.coalesce(F.regexp_extract_all("text", F.lit("([A-Za-z]+)")), F.array().cast("array<string>")).alias("w"))
+    kinds = [("function", F.concat(F.slice("w", 1, 2), F.slice("w", 4, F.greatest(F.size("w"), F.lit(1))))), ("type", F.slice("w", 3, 1)), ("file", F.array(text.stem("file_path")))]
+    rows = rows.select("pos", "file_path", F.array(*[F.struct(F.lit(kind).alias("kind"), names.alias("names")) for kind, names in kinds]).alias("symbols"))
+    return retrieval.top_scored(_tasks(spark, sf_dir), retrieval.symbol_index(rows))
+
+
 @query(f"WITH {_TOP_SQL} SELECT task_id, file_path, score, rank FROM top")
 def task_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_files(_scores(spark, sf_dir)).select("task_id", "file_path", "score", F.col("rank").cast("long").alias("rank"))
+    return _top(spark, sf_dir).select("task_id", "file_path", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = t.dag(spark, sf_dir)
     name = lambda c: F.concat(F.lit("/src/"), F.col(c).cast("string"), F.lit(".ts"))
-    return retrieval.with_dependencies(retrieval.top_files(_scores(spark, sf_dir)), edges.select(name("src").alias("src"), "pos", name("dst").alias("dst")), nodes.select(name("node").alias("file_path")))
+    return retrieval.with_dependencies(_top(spark, sf_dir), edges.select(name("src").alias("src"), "pos", name("dst").alias("dst")), nodes.select(name("node").alias("file_path")))
 
 
 _EXPAND_SQL = f"""WITH {_TOP_SQL}, {t.DAG_SQL}, named AS (SELECT '/src/' || src || '.ts' AS src, pos, '/src/' || dst || '.ts' AS dst FROM edges),
@@ -313,7 +322,7 @@ r AS (SELECT task_id, id, row_number() OVER (PARTITION BY task_id ORDER BY score
 SELECT task_id, id, rank, score FROM r WHERE rank <= 15""")
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _tasks(spark, sf_dir)
-    pairs = retrieval.with_dependencies(retrieval.top_files(_scores(spark, sf_dir)), *_dag_paths(spark, sf_dir)).join(tasks, "task_id")
+    pairs = retrieval.with_dependencies(_top(spark, sf_dir), *_dag_paths(spark, sf_dir)).join(tasks, "task_id")
     docs = t.read(spark, sf_dir, "documents").select(t.path_of().alias("file_path"), "text")
     c = pairs.join(docs, "file_path").select("task_id", F.col("nth").alias("pos"), F.col("file_path").alias("id"), "text", "task")
     scored = c.select("task_id", "pos", retrieval.scorer()("task", "text").alias("score"))

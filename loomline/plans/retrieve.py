@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import stem
 from ..operators import extraction, graph, messages, retrieval
 
 BUDGET = 16_384
@@ -36,6 +37,12 @@ class Project:
         each = lambda column, kind: c.select("pos", "file_path", F.lit(kind).alias("kind"), F.explode(F.transform(column, lambda x: x["name"])).alias("name"))
         return each("functions", "function").unionByName(each("components", "component")).unionByName(each("types", "type")).unionByName(retrieval.file_symbols(c))
 
+    def by_file(self) -> DataFrame:
+        """(pos, file_path, symbols) for an index: the same symbols as arrays of names by kind."""
+        each = lambda column, kind: F.struct(F.lit(kind).alias("kind"), F.transform(column, lambda x: x["name"]).alias("names"))
+        own = F.struct(F.lit("file").alias("kind"), F.array(stem("path")).alias("names"))
+        return self.chunks.select("pos", F.col("path").alias("file_path"), F.array(each("functions", "function"), each("components", "component"), each("types", "type"), own).alias("symbols"))
+
     def status(self) -> DataFrame:
         """One row: files, edges and symbols."""
         n = lambda df, name: df.agg(F.count("*").alias(name))
@@ -44,7 +51,7 @@ class Project:
 
 def lexical(project: Project, tasks: DataFrame) -> DataFrame:
     """(task_id, file_path, nth): files that tasks name, with their direct dependencies."""
-    top = retrieval.top_files(retrieval.task_scores(tasks, project.symbols()))
+    top = retrieval.top_scored(tasks, retrieval.symbol_index(project.by_file()))
     return retrieval.with_dependencies(top, project.edges, project.chunks.select(F.col("path").alias("file_path")))
 
 

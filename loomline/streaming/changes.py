@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.index import queued
 from ..sources.files import SKIPPED
+from ..sources.store import Change, Store
 
 
 def watched(events: DataFrame, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
@@ -96,6 +97,11 @@ def versioned(root: str, key: str, newest: Sequence[str] = ()) -> Callable[...,
     return handle
 
 
+def into(store: Store, table: str) -> Callable[[DataFrame, int], None]:
+    """A handler that commits each batch's rows to a table of a store: it writes the batch, not the table, and tells batches that come again."""
+    return lambda rows, n: store.apply({table: Change(rows)}, query_id(rows.sparkSession), n)
+
+
 def followed(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the log files of a folder as they come: (line, file). Empty lines are left out, as a reader of the last lines does."""
     return spark.readStream.text(folder).select(F.col("value").alias("line"), F.input_file_name().alias("file")).filter("trim(line) != ''")

@@ -408,3 +408,17 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     path = scratch.scratch_path(spark, "t")
     spark.range(1).write.parquet(path)
     assert spark.sparkContext.applicationId in path and spark.read.parquet(path).count() == 1
+
+
+@pytest.mark.parametrize("first", [1, 3, 100])
+def test_few_files_give_the_best_ones(spark, first):
+    """The same as scoring every file, whatever the first ones are: ties, tasks that few files meet, tasks that none meets."""
+    rng = random.Random(first)
+    words = ["alpha", "beta", "gamma", "delta", "x", "get", "Loader", "parse_all", "n" * 60, "é"]
+    docs = [(i, f"/s/{i % 7}/file{i}.ts", [("function", rng.choices(words, k=rng.choice([0, 1, 5, 40]))), ("component", []), ("type", rng.choices(words, k=2)), ("file", [f"file{i}"])]) for i in range(30)]
+    tasks = spark.createDataFrame([(1, "Alpha and BETA"), (2, "loaders of gammadelta"), (3, "file7 only"), (4, "nothing"), (5, "n" * 61), (6, "N" * 59), (7, ""), (8, None)], "task_id long, task string")
+    files = spark.createDataFrame(docs, "pos long, file_path string, symbols array<struct<kind:string,names:array<string>>>")
+    each = files.select("pos", "file_path", F.explode("symbols").alias("s")).select("pos", "file_path", "s.kind", F.explode("s.names").alias("name"))
+    want = retrieval.top_files(retrieval.task_scores(tasks, each)).collect()
+    got = retrieval.top_scored(tasks, retrieval.symbol_index(files), first=first, more=3)
+    assert sorted(got.select("task_id", "file_path", "pos", "score", "rank").collect()) == sorted((r.task_id, r.file_path, r.pos, r.score, r.rank) for r in want) and len(want) > 10
