@@ -25,7 +25,7 @@ def test_run_agrees_with_itself(spark, sf_dir):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("data", [rows(), []], ids=["odd", "empty"])
