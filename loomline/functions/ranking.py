@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -27,3 +29,22 @@ def numbered(df: DataFrame, key: Column, *ties: Column, name: str = "nth", desce
     sizes = placed.groupBy("__range").agg(F.max("__at").alias("__last"))  # a row per range
     before = sizes.select("__range", (F.sum(F.col("__last") + 1).over(W.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__last")).alias("__before"))
     return placed.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
+
+
+def trailing(df: DataFrame, rows: int, values: dict[str, Column], order: Sequence[Column], key: Column | None = None, block: int = 100_000) -> DataFrame:
+    """``df`` with aggregates over each row and the ``rows`` - 1 before it in a whole table's order, or in that of its ``key``, without one task per order or key.
+
+    Rows are numbered and cut into blocks of at least ``block``; the last rows of a block are also sent to the next one, where they
+    are in the windows only. A task sees its blocks and these rows, however many rows have one key. ``order`` should have no
+    ties: equal rows come in any order. Hand over narrow rows.
+    """
+    block, halo = max(block, rows), rows - 1
+    key = F.lit(0) if key is None else key
+    placed = numbered(df.withColumn("__key", key), F.col("__key"), *order, name="__nth")
+    own, at = F.floor((F.col("__nth") - 1) / block), (F.col("__nth") - 1) % block
+    ahead = F.struct((own + 1).alias("block"), F.lit(True).alias("look"))
+    here = F.struct(own.alias("block"), F.lit(False).alias("look"))
+    sent = placed.withColumn("__to", F.explode(F.when(at >= block - halo, F.array(here, ahead)).otherwise(F.array(here))))
+    w = W.partitionBy("__to.block", "__key").orderBy("__nth").rowsBetween(-halo, 0)
+    out = sent.select("*", *[value.over(w).alias(name) for name, value in values.items()])
+    return out.filter(~F.col("__to.look")).drop("__to", "__nth", "__key")

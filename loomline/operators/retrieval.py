@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,6 @@ from ..sources.scratch import ship, written
 #: Symbol names too common to mean anything (fixed values).
 GENERIC = ("get", "set", "run", "app", "use", "init", "load", "data", "item", "fn", "cb", "el", "on", "to", "of", "is", "has", "do", "go", "id", "ok", "no")
 WEIGHTS = {"function": 3, "component": 3, "type": 2, "file": 2}
-FEW = 10_000  # queries that a vector search holds in each task at most
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -150,6 +150,50 @@ def candidate_union(first: DataFrame, second: DataFrame, each: int = 15) -> Data
     return both.withColumn("pos", F.row_number().over(W.partitionBy("task_id").orderBy("source", "r")).cast("long")).drop("r", "source")
 
 
+def words_of(text: str | Column) -> Column:
+    """The words of a text: runs of ASCII letters, digits and underscores, in lower case. A null text has none."""
+    return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]+)")), F.lower), F.array().cast("array<string>"))
+
+
+@dataclass
+class Corpus:
+    """What a score needs of all texts. frequencies: word and the number of texts that have it; totals: one row, n texts and their words."""
+
+    frequencies: DataFrame
+    totals: DataFrame
+
+    @classmethod
+    def of(cls, texts: DataFrame, text_col: str = "text") -> Corpus:
+        """Statistics of whole texts, one pass and written: words are counted before they are shuffled. Texts without words count as texts."""
+        each = texts.select(words_of(text_col).alias("w"))
+        frequencies = each.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("frequency"))
+        totals = each.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("long").alias("words"))
+        return cls(written(frequencies, "frequencies"), written(totals, "totals"))
+
+
+def bm25(candidates: DataFrame, tasks: DataFrame, corpus: Corpus, *, most: int = 512, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:
+    """(task_id, pos, score) of candidates (task_id, pos, text) for tasks (task_id, task): BM25 by the corpus' statistics.
+
+    Task and text together are cut to ``most`` words, the longer one first, as a cross-encoder's input is. Each word of the task counts once; a word that the
+    corpus lacks counts as rarest. No common word, a null text or a null task give 0, as does a corpus without words. Candidates are told
+    by (task_id, pos): rows that repeat it are one candidate, with the greatest text.
+    """
+    half = most // 2
+    cut = lambda own, other: F.slice(own, 1, F.least(F.size(own), F.greatest(F.lit(half), most - F.size(other))))
+    asked = tasks.groupBy("task_id").agg(F.max("task").alias("task")).select("task_id", words_of("task").alias("q"))
+    one = candidates.groupBy("task_id", "pos").agg(F.max("text").alias("text"))
+    pairs = one.join(asked, "task_id", "left").select("task_id", "pos", F.coalesce("q", F.array().cast("array<string>")).alias("q"), words_of("text").alias("t"))
+    pairs = pairs.select("task_id", "pos", F.array_distinct(cut("q", "t")).alias("q"), cut("t", "q").alias("t"))
+    met = pairs.select("task_id", "pos", F.size("t").alias("length"), F.explode(F.filter("t", lambda x: F.array_contains("q", x))).alias("word"))
+    times = met.groupBy("task_id", "pos", "word").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    n, mean = F.col("n"), F.col("words") / F.col("n")
+    rare = F.log(1 + (n - F.col("frequency") + 0.5) / (F.col("frequency") + 0.5))
+    part = rare * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    weighed = times.join(corpus.frequencies, "word", "left").fillna(0, "frequency").join(F.broadcast(corpus.totals)).filter("words > 0")  # one row is sent
+    scores = weighed.groupBy("task_id", "pos").agg(F.round(F.sum(part), digits).alias("score"))
+    return one.select("task_id", "pos").join(scores, ["task_id", "pos"], "left").fillna(0.0, "score")
+
+
 def overlap(query: str, text: str) -> float:
     """Share of the query's words that a text has; the offline stand-in for a cross-encoder."""
     words = set(query.lower().split())

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from ..functions.ranking import trailing
 from ..functions.rules import log_category
 from ..functions.text import round_half_up
 
@@ -128,10 +128,8 @@ def sessions(events: DataFrame, gap: str = "10 minutes", ts: str = "ts", key: st
 
 
 def running(requests: DataFrame, order: tuple[str, ...] = ("ts", "id"), ring: int = 100, key: str | None = None) -> DataFrame:
-    """Each request with the mean latency of the last ``ring`` of its key.
+    """Each request with the mean latency of the last ``ring`` of its key, or of all requests.
 
-    Without a key all requests are one ring, of one gateway: that order needs them in one task, so give a key for a table
-    of many gateways.
+    Requests are cut into ranges of their order, each with the ``ring`` - 1 requests before it: neither a whole table nor a key is one task.
     """
-    w = W.partitionBy(key if key else F.lit(0)).orderBy(*order).rowsBetween(-(ring - 1), 0)
-    return requests.withColumn("ring_latency", F.avg("latency_ms").over(w))
+    return trailing(requests, ring, {"ring_latency": F.avg("latency_ms")}, [F.col(c) for c in order], None if key is None else F.col(key))

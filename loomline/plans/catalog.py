@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import extraction, graph, index, messages, retrieval, telemetry
+from ..operators.nearest import nearest
 from ..sources.scratch import written
 from . import tables as t
 
@@ -110,43 +111,30 @@ def url_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(more).select("page_id", text.served_path("url").alias("file"))
 
 
-#: A small project, as documents hold no code: path to text.
-PROJECT = {
-    "shop/cart.ts": 'import { Line } from "./prices"\n\nexport const addLine = async (amount: number): Promise<Line[]> => {\n  if (amount < 1) return []\n  return fetchLines(amount)\n}\n\nfunction fetchLines(n: number) {\n  return n > 10 ? [] : []\n}\n',
-    "shop/prices.ts": 'export interface Line { code: string; cents: number[] }\nexport type Currency = "eur" | "usd"\ninterface Rounding { step: number }\n',
-    "shop/LineTable.tsx": 'import React from "react"\nimport { addLine } from "./cart"\nimport type { Line } from "./prices"\n\nexport function LineTable({ lines }: { lines: Line[] }) {\n  const shown = useSorted(lines)\n  return <ul>{shown.map((i) => <li key={i.code}>if {i.code} it</li>)}</ul>\n}\n',
-}
-#: What stands in it, read off by hand: (path, kind, nth, name, first line, last line). Declared functions come before arrows, interfaces before aliases.
-DECLARED = (
-    ("shop/cart.ts", "function", 1, "addLine", 3, 6),
-    ("shop/cart.ts", "function", 0, "fetchLines", 8, 10),
-    ("shop/cart.ts", "import", 0, "./prices", None, None),
-    ("shop/cart.ts", "export", 0, "addLine", None, None),
-    ("shop/cart.ts", "cyclomatic", 0, "3", None, None),
-    ("shop/prices.ts", "type", 0, "Line", 1, 1),
-    ("shop/prices.ts", "type", 2, "Currency", 2, 2),
-    ("shop/prices.ts", "type", 1, "Rounding", 3, 3),
-    ("shop/prices.ts", "export", 0, "Line", None, None),
-    ("shop/prices.ts", "export", 1, "Currency", None, None),
-    ("shop/prices.ts", "cyclomatic", 0, "1", None, None),
-    ("shop/LineTable.tsx", "function", 0, "LineTable", 5, 8),
-    ("shop/LineTable.tsx", "component", 0, "LineTable", None, None),
-    ("shop/LineTable.tsx", "component", 1, "LineTable", None, None),
-    ("shop/LineTable.tsx", "import", 0, "react", None, None),
-    ("shop/LineTable.tsx", "import", 1, "./cart", None, None),
-    ("shop/LineTable.tsx", "import", 2, "./prices", None, None),
-    ("shop/LineTable.tsx", "export", 0, "LineTable", None, None),
-    ("shop/LineTable.tsx", "export", 1, "LineTable", None, None),
-    ("shop/LineTable.tsx", "export", 2, "LineTable", None, None),
-    ("shop/LineTable.tsx", "cyclomatic", 0, "1", None, None),
-)
-_DECLARED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', {n}::BIGINT, '{x}', {'NULL' if lo is None else lo}::BIGINT, {'NULL' if hi is None else hi}::BIGINT)" for p, k, n, x, lo, hi in DECLARED) + ") v(path, kind, nth, name, first_line, last_line)"
-
-
-@query(_DECLARED_SQL)
+#: Every document gives a source file, as no table holds code: its first words are the names, its number tells which declarations the file has.
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t.read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("([A-Za-z]+)")).alias("w")).filter("size(w) >= 3")
+    a, b, c = (F.get("w", F.lit(i)) for i in range(3))
+    line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    head = line('import { x } from "./', a, '"\n\n')
+    arrow = line("export const f_", b, " = async (n: number) => {\n  if (n < 1) return 0\n  return n\n}\n")
+    plain = line("function f_", b, "(n: number) {\n  return n\n}\n")
+    kind = line("export interface T_", c, " { size: number }\n")
+    content = F.concat(head, F.when(F.col("doc_id") % 2 == 0, arrow).otherwise(plain), F.when(F.col("doc_id") % 3 == 0, kind).otherwise(F.lit("")))
+    return d.select(t.path_of().alias("path"), content.alias("content"))
+
+
+@query("""WITH w AS (SELECT doc_id, '/src/' || doc_id || '.ts' AS path, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents),
+d AS (SELECT *, doc_id % 2 = 0 AS arrow, doc_id % 3 = 0 AS typed, CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 5 END AS ends FROM w WHERE len(w) >= 3)
+SELECT path, 'import' AS kind, 0::BIGINT AS nth, './' || w[1] AS name, NULL::BIGINT AS first_line, NULL::BIGINT AS last_line FROM d
+UNION ALL SELECT path, 'function', 0, 'f_' || w[2], 3, ends FROM d
+UNION ALL SELECT path, 'type', 0, 'T_' || w[3], ends + 1, ends + 1 FROM d WHERE typed
+UNION ALL SELECT path, 'export', 0, 'f_' || w[2], NULL, NULL FROM d WHERE arrow
+UNION ALL SELECT path, 'export', CASE WHEN arrow THEN 1 ELSE 0 END, 'T_' || w[3], NULL, NULL FROM d WHERE typed
+UNION ALL SELECT path, 'cyclomatic', 0, CASE WHEN arrow THEN '2' ELSE '1' END, NULL, NULL FROM d""")
 def extract_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per declaration, import, export and complexity found in the small project."""
-    found = extraction.extracted(spark.createDataFrame(list(PROJECT.items()), "path string, content string"))
+    """A row per declaration, import, export and complexity found in a source file of each document."""
+    found = written(extraction.extracted(_code(spark, sf_dir)), "extracted")
     none = F.lit(None).cast("long")
     row = lambda kind, values, name, lo=none, hi=none: found.select("path", F.lit(kind).alias("kind"), F.posexplode(values).alias("nth", "x")).select("path", "kind", F.col("nth").cast("long").alias("nth"), name.cast("string").alias("name"), lo.cast("long").alias("first_line"), hi.cast("long").alias("last_line"))
     x, lines = F.col("x"), (F.col("x.start_line"), F.col("x.end_line"))
@@ -197,6 +185,16 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.knn(vectors, first[0]["embedding"] if first else [], 20)
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, vec_id AS id, round(list_sum(list_transform(list_zip(v, q), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 6) AS distance FROM v, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
+SELECT query_id, rank, id, distance FROM r WHERE rank <= 10""")
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to every vector whose id is divisible by 20, exactly."""
+    vectors = t.read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), 10)
+
+
 _TASKS_SQL = "tasks AS (SELECT item_id AS task_id, lower(text) AS task FROM benchmark)"
 #: Symbols of a document: all its words, the third one a type, and its file name.
 _SYMBOLS_SQL = """words AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents),
@@ -329,6 +327,25 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.reranked(c, scored).select("task_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"""{_EXPAND_SQL}, texts AS (SELECT '/src/' || doc_id || '.ts' AS file_path, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents),
+totals AS (SELECT count(*) AS n, sum(len(w)) / count(*)::DOUBLE AS mean FROM texts),
+df AS (SELECT word, count(*) AS f FROM (SELECT unnest(list_distinct(w)) AS word FROM texts) GROUP BY word),
+p AS (SELECT e.task_id, e.nth AS pos, e.file_path AS id, list_transform(regexp_extract_all(t.task, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS q, w.w AS t FROM expanded e JOIN tasks t ON t.task_id = e.task_id JOIN texts w ON w.file_path = e.file_path),
+c AS (SELECT task_id, pos, id, list_distinct(q[1:greatest(256, 512 - len(t))]) AS q, t[1:greatest(256, 512 - len(q))] AS t FROM p),
+m AS (SELECT task_id, pos, len(t) AS length, q, unnest(t) AS word FROM c),
+tf AS (SELECT task_id, pos, word, length, count(*) AS tf FROM m WHERE list_contains(q, word) GROUP BY task_id, pos, word, length),
+s AS (SELECT task_id, pos, round(sum(ln(1 + (n - coalesce(f, 0) + 0.5) / (coalesce(f, 0) + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM tf CROSS JOIN totals LEFT JOIN df USING (word) GROUP BY task_id, pos),
+r AS (SELECT task_id, id, coalesce(score, 0) AS s, row_number() OVER (PARTITION BY task_id ORDER BY coalesce(score, 0) DESC, pos) AS rank FROM c LEFT JOIN s USING (task_id, pos))
+SELECT task_id, id, rank, round(s, 6) AS score FROM r WHERE rank <= 15""")
+def rerank_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that tasks name, and what these depend on, ranked by BM25 over all documents."""
+    tasks = _tasks(spark, sf_dir)
+    docs = t.read(spark, sf_dir, "documents").select(t.path_of().alias("file_path"), "text")
+    c = _expanded(spark, sf_dir).join(docs, "file_path").select("task_id", F.col("nth").alias("pos"), F.col("file_path").alias("id"), "text")
+    scores = retrieval.bm25(c, tasks, retrieval.Corpus.of(docs))
+    return retrieval.reranked(c, scores).select("task_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def _dag_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = t.dag(spark, sf_dir)
     name = lambda c: F.concat(F.lit("/src/"), F.col(c).cast("string"), F.lit(".ts"))
@@ -531,7 +548,13 @@ def stats_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {t.REQUESTS_SQL} SELECT id, round(avg(latency_ms) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS ring_latency FROM requests""")
 def running_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.running(t.requests(spark, sf_dir), key="user_id").select("id", F.round("ring_latency", 6).alias("ring_latency"))
+    return telemetry.running(t.requests(spark, sf_dir).select("id", "ts", "user_id", "latency_ms"), key="user_id").select("id", F.round("ring_latency", 6).alias("ring_latency"))
+
+
+@query(f"""WITH {t.REQUESTS_SQL} SELECT id, round(avg(latency_ms) OVER (ORDER BY ts, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS ring_latency FROM requests""")
+def running_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the last hundred latencies at every request, all requests being one ring."""
+    return telemetry.running(t.requests(spark, sf_dir).select("id", "ts", "latency_ms")).select("id", F.round("ring_latency", 6).alias("ring_latency"))
 
 
 @query("""WITH b AS (SELECT event_id, floor(value)::BIGINT * event_id AS n, event_id * 37 AS s FROM events)

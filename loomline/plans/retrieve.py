@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.text import stem
 from ..operators import extraction, graph, messages, retrieval
+from ..operators.nearest import nearest
 
 BUDGET = 16_384
 CONFIDENCE = 0.85
@@ -86,15 +86,7 @@ def answered(project: Project, conversations: DataFrame, *, budget: int = BUDGET
 
 
 def search(vectors: DataFrame, tasks: DataFrame, k: int = 20) -> DataFrame:
-    """(task_id, pos, file_path, content): the k nearest chunks of each task (task_id, vector), exactly.
-
-    Tasks are the small side, a batch of at most ``retrieval.FEW``; each task of the scan keeps k rows per query before the shuffle.
-    """
-    few = tasks.filter(F.exists("vector", lambda x: x != 0)).limit(retrieval.FEW + 1)
-    if few.count() > retrieval.FEW:
-        raise ValueError(f"search for at most {retrieval.FEW} tasks at once")
-    d = retrieval.distance(F.col("vector").cast("array<double>"), F.col("q").cast("array<double>"))
-    met = vectors.join(F.broadcast(few.select("task_id", F.col("vector").alias("q")))).select("task_id", "file_path", d.alias("d"))
-    nth = F.row_number().over(W.partitionBy("task_id").orderBy("d", "file_path"))
-    best = met.withColumn("pos", nth).filter(F.col("pos") <= k)
-    return best.join(vectors.select("file_path", "content"), "file_path").select("task_id", F.col("pos").cast("long").alias("pos"), "file_path", "content")  # contents of what was found only
+    """(task_id, pos, file_path, content): the k nearest chunks of each task (task_id, vector), exactly, ties by path; any number of tasks."""
+    best = nearest(vectors, tasks, k, id_col="file_path", vector_col="vector", query_id="task_id", query_vector="vector", digits=None)
+    found = best.select(F.col("query_id").alias("task_id"), F.col("rank").alias("pos"), F.col("id").alias("file_path"))
+    return found.join(vectors.select("file_path", "content"), "file_path").select("task_id", "pos", "file_path", "content")  # contents of what was found only

@@ -1,5 +1,5 @@
 from loomline.operators.extraction import cut_body, extract, extracted, tokens
-from loomline.plans import catalog
+from tests.small_project import DECLARED, PROJECT
 
 CLOCK = """// a wall clock with alarms
 import { padTime } from "../time/pad"
@@ -83,8 +83,19 @@ def test_cut_body():
 
 
 def test_table(spark):
-    rows = {r.path: r for r in extracted(spark.createDataFrame([*catalog.PROJECT.items(), ("a.md", "x"), ("b.ts", None)], "path string, content string")).collect()}
-    assert set(rows) == {*catalog.PROJECT, "b.ts"}
+    rows = {r.path: r for r in extracted(spark.createDataFrame([*PROJECT.items(), ("a.md", "x"), ("b.ts", None)], "path string, content string")).collect()}
+    assert set(rows) == {*PROJECT, "b.ts"}
     assert rows["shop/cart.ts"].cyclomatic == 3 and names(rows["shop/prices.ts"].functions) == []
     assert {f.name for f in rows["shop/cart.ts"].functions} == {"fetchLines", "addLine"}
     assert rows["shop/LineTable.tsx"].components[0].hooks == ["useSorted"] and rows["shop/LineTable.tsx"].cyclomatic == 1
+
+
+def test_small_project_read_by_hand(spark):
+    """Every declaration, import, export and complexity that was read off by hand, and no other."""
+    got = set()
+    for r in extracted(spark.createDataFrame(list(PROJECT.items()), "path string, content string")).collect():
+        for kind, found in (("function", r.functions), ("type", r.types)):
+            got |= {(r.path, kind, i, x.name, x.start_line, x.end_line) for i, x in enumerate(found)}
+        for kind, names in (("component", [x.name for x in r.components]), ("import", r.imports), ("export", r.exports), ("cyclomatic", [str(r.cyclomatic)])):
+            got |= {(r.path, kind, i, x, None, None) for i, x in enumerate(names)}
+    assert got == set(DECLARED)

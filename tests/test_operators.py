@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from loomline.functions import rules, text
 from loomline.functions.ranking import numbered
 from loomline.operators import graph, index, messages, retrieval, telemetry
-from loomline.plans import catalog
 from loomline.plans import retrieve as plan
 from loomline.sources import files, manifest, vectors
+from tests.small_project import PROJECT
 
 
 def one(spark, column):
@@ -116,7 +116,7 @@ def test_graphs(spark):
 
 
 def project(spark):
-    return plan.Project.of(spark.createDataFrame([(p, c, i) for i, (p, c) in enumerate(catalog.PROJECT.items())], "path string, content string, pos long"))
+    return plan.Project.of(spark.createDataFrame([(p, c, i) for i, (p, c) in enumerate(PROJECT.items())], "path string, content string, pos long"))
 
 
 def test_retrieval_end_to_end(spark):
