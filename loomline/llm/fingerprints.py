@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -123,33 +124,70 @@ def _range_of(bounds: list, col) -> object:
     return F.when(col.isNull(), F.lit(0)).when(c >= len(groups), F.lit(len(bounds))).otherwise(c * step + below(F.element_at(nested, c + 1)))
 
 
+def _head(text) -> object:
+    """The first seven bytes of a text as a number: its order is that of the texts."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def _cuts(spark, rows: DataFrame, n: int) -> tuple[list, list, dict]:
+    """How (id, text) is cut into about ``n`` ranges: (bounds of ids, number of ranges before each of them, bounds of heads by hot id).
+
+    Quantiles of the ids are the bounds. An id that is several quantiles, or null as often, is hot: its rows are cut again by quantiles of
+    their heads. Everything gathered is a list of about ``n`` numbers.
+    """
+    ids = rows.select("id")
+    found = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10000).alias("q"), F.count_if(F.col("id").isNull()).alias("nulls"), F.count("*").alias("rows")).first()
+    times = Counter(found["q"] or [])
+    bounds = sorted(times)
+    want = {k: c for k, c in times.items() if c > 1} | ({None: -(-n * found["nulls"] // found["rows"])} if found["nulls"] * n > found["rows"] else {})
+    hot = {}
+    if want:
+        m = max(want.values())
+        named = F.broadcast(spark.createDataFrame([(k,) for k in want], "hot long"))  # at most ``n`` ids
+        for r in rows.join(named, F.col("id").eqNullSafe(F.col("hot"))).groupBy("hot").agg(F.percentile_approx(_head(F.col("text")), [i / m for i in range(1, m)] or [0.5], 10000).alias("q")).collect():
+            c = want[r["hot"]]
+            hot[r["hot"]] = sorted({r["q"][max(1, i * m // c) - 1] for i in range(1, c)})
+    before, at = [], len(hot.get(None, ()))
+    for b in bounds:
+        before.append(at)
+        at += 1 + len(hot.get(b, ()))
+    return bounds, [*before, at], hot
+
+
+def _placed(spark, rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (id, text) with x, the head of texts of hot ids (others: 0), and p, the number of their range in the order of id and text."""
+    bounds, before, hot = _cuts(spark, rows, n)
+    offset = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.element_at(F.array(*[F.lit(b) for b in before]), _range_of(bounds, F.col("id")) + 1))
+    if not hot:
+        return rows.withColumn("x", F.lit(0).cast("long")).withColumn("p", offset)
+    table = F.broadcast(spark.createDataFrame(list(hot.items()), "hot long, cuts array<long>"))  # about ``n`` numbers
+    x = F.when(F.col("cuts").isNotNull(), _head(F.col("text"))).otherwise(F.lit(0).cast("long"))
+    rows = rows.join(table, F.col("id").eqNullSafe(F.col("hot")), "left").withColumn("x", x)
+    within = F.coalesce(F.size(F.filter("cuts", lambda b: b < F.col("x"))), F.lit(0))
+    return rows.withColumn("p", offset + F.when(F.col("cuts").isNull(), 0).otherwise(within)).drop("hot", "cuts")
+
+
 def with_next(docs: DataFrame, fn, schema: str, *, id_col: str, text_col: str) -> DataFrame:
     """Apply ``fn(id, text, next text)`` to every row, next in ascending id (nulls first, ties by text), after the last the first.
 
-    Rows are dealt into ranges of ids, one a task; the first row of each range is also sent to the range before it, so that
-    texts are shuffled once and every task streams its range.
+    Rows are dealt into ranges of ids, one a task; many rows of one id, or of none, are cut by how their texts begin. The first row of
+    each range is also sent to the range before it, so that texts are shuffled once and every task streams its range.
     """
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    found = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10000).alias("q")).first()["q"]
-    bounds = sorted(set(found or []))
-    ids = ids.withColumn("p", _range_of(bounds, F.col("id")))
-    firsts = ids.groupBy("p").agg(F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("has_null")).orderBy("p").collect()  # a row per range
-    order = [r["p"] for r in firsts]
-    ahead = [(r["p"], None if r["has_null"] else r["first"], order[i - 1]) for i, r in enumerate(firsts)]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("p", _range_of(bounds, F.col("id")))
+    rows = _placed(spark, docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), n)
+    firsts = rows.groupBy("p").agg(F.min(F.struct("id", "x")).alias("first")).orderBy("p").select("p", "first.*").collect()  # a row per range; nulls come first
+    ahead = [(r["p"], r["id"], r["x"], firsts[i - 1]["p"]) for i, r in enumerate(firsts)]
     if ahead:
-        table = F.broadcast(spark.createDataFrame(ahead, "p int, first long, before int"))  # a row per range
+        table = F.broadcast(spark.createDataFrame(ahead, "p int, first long, first_x long, before int"))  # a row per range
         own = F.struct(F.col("p").alias("p"), F.lit(False).alias("look"))
         more = F.struct(F.col("before").alias("p"), F.lit(True).alias("look"))
-        places = F.when(F.col("id").eqNullSafe(F.col("first")), F.array(own, more)).otherwise(F.array(own))
-        rows = rows.join(table, "p").select("id", "text", F.explode(places).alias("to")).select("id", "text", "to.p", "to.look")
+        leads = F.col("id").eqNullSafe(F.col("first")) & (F.col("x") == F.col("first_x"))
+        rows = rows.join(table, "p").select("id", "text", F.explode(F.when(leads, F.array(own, more)).otherwise(F.array(own))).alias("to")).select("id", "text", "to.p", "to.look")
     else:
-        rows = rows.withColumn("look", F.lit(False))
-    rows = rows.repartitionById(n, F.col("p")).sortWithinPartitions("p", "look", F.col("id").asc_nulls_first(), "text").select("p", "look", "id", "text")
+        rows = rows.select("id", "text", "p", F.lit(False).alias("look"))
+    rows = rows.repartitionById(max([n, *[r["p"] + 1 for r in firsts]]), F.col("p")).sortWithinPartitions("p", "look", F.col("id").asc_nulls_first(), "text").select("p", "look", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = None, None  # the row that waits for its next text

@@ -53,6 +53,7 @@ def opened(path: str) -> PieceCache:
     return _OPEN[path]
 
 
+HEAD = 32  # letters of a text that tell rows of one id apart in the ranges of shards; the bounds that Spark samples hold them
 SCHEMA = "shard int, n_tokens long, ids array<long>, lengths array<int>, matrix binary"
 
 
@@ -60,7 +61,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
     """Encode whole texts (null: empty) in ascending id order (nulls first, ties by text) and write one file per shard.
 
     Without ``shards``, as many as keep each at about ``shard_bytes`` of text, and at least the session's shuffle
-    partitions. A task holds the tokens of one shard, 2 bytes each; a document is never cut, so one longer than a shard
+    partitions. Rows of one id (or none) are cut too, by the first letters of their texts; only those that agree in these as well
+    share a shard. A task holds the tokens of one shard, 2 bytes each; a document is never cut, so one longer than a shard
     fills its own.
     """
     spark = docs.sparkSession
@@ -90,7 +92,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
     if shards is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(partitions(spark), -(-size // shard_bytes))
-    rows = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    head = F.substring("text", 1, HEAD)  # many rows of one id are cut by how their texts begin
+    rows = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), head.asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     rows.mapInArrow(tidy(run), SCHEMA).write.parquet(path)
 
 

@@ -130,6 +130,28 @@ def test_neighbours(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_one_id_or_none_for_many_rows(spark):
+    """A third of the rows has one id and a sixth none: the order stays, and no range holds much more than its share."""
+    rng = random.Random(8)
+    data = [(7 if i % 3 == 0 else None if i % 6 == 1 else i, prose(rng, rng.randint(0, 9)) if i % 50 else "") for i in range(600)]
+    df = spark.createDataFrame(data, "id long, text string").repartition(3)
+    placed = fp._placed(spark, df, 12)
+    sizes = [r["count"] for r in placed.groupBy("p").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 2.5 * 600 / 12
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = fp.fingerprint_neighbours(df.withColumnRenamed("id", "doc_id")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = sorted(data, key=lambda d: (d[0] is not None, d[0] or 0, d[1].encode()))
+    want = []
+    for i, (k, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        half = len(t) // 2
+        want.append((k, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
+    assert sorted([tuple(r)[:3] for r in got], key=str) == sorted(want, key=str)
+
+
 def test_patterns_are_linear_on_hostile_texts():
     import time
 

@@ -12,7 +12,7 @@ from loomline.llm import bpe, pieces, token_files
 from loomline.llm.queries_tokens import vocabulary_path
 from loomline.llm.wavelet import WaveletMatrix
 
-from .helpers import rows, table
+from .helpers import prose, rows, table
 
 PATH = vocabulary_path()
 REAL = Tokenizer.from_file(PATH)
@@ -101,6 +101,18 @@ def test_token_files(spark, how):
     assert token_files.token_file_digests(table(spark, []), PATH).collect() == []
 
 
+def test_one_id_for_most_rows_is_many_shards(spark, tmp_path):
+    rng = random.Random(4)
+    data = [(7 if i % 4 else None, prose(rng, 6)) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    token_files.write_shards(df, f"{tmp_path}/shards", PATH, shards=8)
+    sizes = [len(r.ids) for r in spark.read.parquet(f"{tmp_path}/shards").collect()]
+    assert sum(sizes) == 400 and len(sizes) >= 7 and max(sizes) <= 150
+    read = token_files.read_shards(spark, f"{tmp_path}/shards").orderBy("start").collect()
+    order = sorted(data, key=lambda d: (d[0] is not None, d[0] or 0, d[1].encode()))
+    assert [(r.doc_id, list(r.ids)) for r in read] == [(k, [*ids_of(t), 2]) for k, t in order]
+
+
 def test_shards_answer_places_counts_and_occurrences(spark, tmp_path):
     path = f"file://{tmp_path}/asked"
     token_files.write_shards(table(spark), path, PATH, shards=3)
