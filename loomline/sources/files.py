@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 #: Folders that are never scanned, by exact name (fixed values).
 SKIPPED = ("node_modules", "dist", ".git")
@@ -48,20 +47,6 @@ def tree_bytes(spark: SparkSession, root: str) -> DataFrame:
     return _binary(spark, root, None).agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"))
 
 
-def tail(spark: SparkSession, path: str, n: int = 8, keep_empty: bool = False) -> DataFrame:
-    """The last n lines of a text file in order: (nth, line) with nth from 1. A file that isn't there has none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        lines = spark.read.text(path)
-    except AnalysisException:
-        return spark.createDataFrame([], "nth int, line string")
-    lines = lines.withColumn("at", F.monotonically_increasing_id())
-    kept = lines if keep_empty else lines.filter("trim(value) != ''")
-    last = kept.orderBy(F.desc("at")).limit(n)
-    return last.select(F.row_number().over(W.partitionBy(F.lit(0)).orderBy("at")).alias("nth"), F.col("value").alias("line"))  # n rows
-
-
 def append_json(rows: DataFrame, path: str) -> None:
     """A log of JSON lines."""
     rows.write.mode("append").json(path)

@@ -7,7 +7,7 @@ from loomline.functions import rules, text
 from loomline.functions.ranking import numbered
 from loomline.operators import graph, index, messages, retrieval, telemetry
 from loomline.plans import retrieve as plan
-from loomline.sources import files, manifest, vectors
+from loomline.sources import files, logs, manifest, vectors
 from tests.small_project import PROJECT
 
 
@@ -162,8 +162,8 @@ def test_files_and_logs(spark, tmp_path):
     assert files.tree_bytes(spark, str(tmp_path)).first().bytes == 54
     log = tmp_path / "x.log"
     log.write_text("".join(f"line {i}\n\n" for i in range(20)))
-    assert [r.line for r in files.tail(spark, str(log), 3).orderBy("nth").collect()] == ["line 17", "line 18", "line 19"]
-    assert files.tail(spark, str(tmp_path / "none.log")).count() == 0
+    assert [r.line for r in logs.tail(spark, str(log), 3).orderBy("nth").collect()] == ["line 17", "line 18", "line 19"]
+    assert logs.tail(spark, str(tmp_path / "none.log")).count() == 0
 
 
 def test_manifest_versions(spark, tmp_path):
