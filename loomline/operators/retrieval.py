@@ -258,8 +258,9 @@ def reranked(candidates: DataFrame, scores: DataFrame | None, top: int = 15) ->
 
 
 def full_content(rows: DataFrame, sources: DataFrame, path: str = "file_path") -> DataFrame:
-    """``rows`` with the content of their file, or a note that it isn't there."""
-    s = sources.select(F.col("path").alias(path), F.col("content").alias("full"))
+    """``rows`` with the content of their file, or a note that it isn't there or, where sources have a column ``error`` (``files.contents``), couldn't be read."""
+    failed = F.concat(F.lit("// Error reading file: "), "error") if "error" in sources.columns else F.lit(None).cast("string")
+    s = sources.select(F.col("path").alias(path), F.coalesce("content", failed).alias("full"))
     return rows.join(s, path, "left").withColumn("full", F.coalesce("full", F.concat(F.lit("// File not found: "), path)))
 
 
@@ -280,15 +281,31 @@ def tiered_chunks(ranked: DataFrame, full: int = 3, top: int = 15) -> DataFrame:
     )
 
 
+def _suffixes(c: str) -> Column:
+    """The proper suffixes of a text, from the second character on."""
+    return F.when(F.length(c) > 1, F.transform(F.sequence(F.lit(2), F.length(c)), lambda i: F.substr(F.col(c), i))).otherwise(F.array().cast("array<string>"))
+
+
 def active_chunk(active: DataFrame, files: DataFrame) -> DataFrame:
     """The budget chunk of the file being edited, (task_id, active_path) over files (pos, path, content): the first whose path ends with the other, either way.
 
-    One of the two is a suffix of the other only if their last parts are equal: that is the join key.
+    The join is one of keys. If the shorter path has a folder, the last parts of both are equal; if it is a bare name, it is a suffix of the
+    other's last part, which is spelled out then. Empty and null paths match nothing; contents are looked up for what was found.
     """
-    a, f = active.withColumn("last", base_name("active_path")), files.withColumn("last", base_name("path"))
-    hit = a.join(f, "last").filter(F.col("path").endswith(F.col("active_path")) | F.col("active_path").endswith(F.col("path")))
-    first = hit.groupBy("task_id", "active_path").agg(F.min_by("content", "pos").alias("content"))
-    return first.select("task_id", F.lit(0).cast("long").alias("pos"), F.lit("active_file_full").alias("id"), F.concat(F.lit("// ACTIVE FILE: "), "active_path", F.lit("\n"), "content").alias("text"), chunk_tokens("content").alias("tokens"), F.lit(2000.0).alias("score"))
+    bare = lambda c: ~F.contains(c, F.lit("/"))
+    keyed = lambda kind, each: F.transform(each, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    none = F.array().cast("array<struct<kind:int,key:string>>")
+
+    def keys(df: DataFrame, path: str, own: int, other: int) -> DataFrame:
+        named = df.filter(F.col(path) != "").withColumn("last", base_name(path))
+        whole = F.when(bare(F.col(path)), keyed(own, F.array(path))).otherwise(none)
+        return named.withColumn("k", F.explode(F.concat(keyed(0, F.array("last")), whole, keyed(other, _suffixes("last"))))).drop("last")
+
+    a, f = keys(active.select("task_id", "active_path"), "active_path", 1, 2), keys(files.select("pos", "path"), "path", 2, 1)
+    asked = a.select("k").distinct()
+    hit = a.join(f.join(asked, "k", "left_semi"), "k").filter(F.endswith("path", F.col("active_path")) | F.endswith("active_path", F.col("path")))
+    first = hit.groupBy("task_id", "active_path").agg(F.min(F.struct("pos", "path")).alias("f")).select("task_id", "active_path", "f.*").join(files.select("pos", "path", "content"), ["pos", "path"])
+    return first.select("task_id", F.lit(0).cast("long").alias("pos"), F.lit("active_file_full").alias("id"), F.concat(F.lit("// ACTIVE FILE: "), "active_path", F.lit("\n"), F.coalesce("content", F.lit(""))).alias("text"), chunk_tokens(F.coalesce("content", F.lit(""))).alias("tokens"), F.lit(2000.0).alias("score"))
 
 
 def packed(chunks: DataFrame, budget: int, key: str = "task_id") -> DataFrame:
@@ -321,5 +338,19 @@ def budget_contexts(taken: DataFrame, texts: DataFrame, key: str = "task_id") ->
     return rows.groupBy(key).agg(text(0).alias("ast_context"), text(1).alias("rag_context"), used(0).alias("ast_tokens"), used(1).alias("rag_tokens"))
 
 
+def responses(contexts: DataFrame, chunks: DataFrame, threshold: float = 0.55, confidence: float = 0.85, key: str = "task_id") -> DataFrame:
+    """(key, tokens, confidence, ast_section, rag_section, reasoning) of the contexts that ``budget_contexts`` makes and the chunks (key, cyclomatic) they were chosen from.
+
+    The greatest cyclomatic number decides on thinking, 1 at least and for a request without chunks; then the first section begins with the
+    mark that asks for it. A request without chunks of a vector search has no second section (null).
+    """
+    most = chunks.groupBy(key).agg(F.max("cyclomatic").alias("most"))
+    think = thinks(F.greatest(F.col("most"), F.lit(1)), threshold)
+    c = contexts.join(most, key, "left").withColumn("think", think)
+    first = F.concat(F.when(F.col("think"), "/think\n\n").otherwise(""), F.lit("<ast_context>\n"), F.coalesce("ast_context", F.lit("")), F.lit("\n</ast_context>"))
+    second = F.when(F.col("rag_context") != "", F.concat(F.lit("<rag_context>\n"), "rag_context", F.lit("\n</rag_context>")))
+    return c.select(key, (F.col("ast_tokens") + F.col("rag_tokens")).alias("tokens"), F.lit(confidence).alias("confidence"), first.alias("ast_section"), second.alias("rag_section"), F.when(F.col("think"), "think").otherwise("no_think").alias("reasoning"))
+
+
 def thinks(cyclomatic: Column, threshold: float = 0.55) -> Column:
     return F.coalesce(cyclomatic, F.lit(1)) >= threshold

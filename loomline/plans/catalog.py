@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..functions.ranking import numbered
 from ..operators import extraction, graph, index, messages, retrieval, telemetry
 from ..operators.nearest import nearest
 from ..sources.scratch import written
@@ -304,6 +305,70 @@ def budget_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.packed(ranked.select("task_id", "pos", "id", "tokens", "score", (F.col("pos") % 2).alias("tier")), 4096).select("task_id", "nth", "id", "tier", "tokens")
 
 
+_TAKEN_SQL = """fold(task_id, i, room, taken, id, tier, tokens) AS (SELECT DISTINCT task_id, 0::BIGINT, 4096::BIGINT, false, '', 0::BIGINT, 0::BIGINT FROM c
+  UNION ALL SELECT f.task_id, c.i, CASE WHEN c.tokens <= f.room THEN f.room - c.tokens ELSE f.room END, c.tokens <= f.room, c.id, c.tier, c.tokens FROM fold f JOIN c ON c.task_id = f.task_id AND c.i = f.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_RANKED_SQL}, d AS (SELECT task_id, pos, id, CASE WHEN task_id = 1 THEN 0 ELSE pos % 2 END AS tier, score, greatest(1, length(text) // 4) AS tokens FROM ranked WHERE rank <= 30),
+c AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY tier, score DESC, pos) AS i FROM d), {_TAKEN_SQL},
+j AS (SELECT f.task_id, sum(f.tokens)::BIGINT AS tokens, coalesce(string_agg(r.text, chr(10) || chr(10) ORDER BY f.i) FILTER (WHERE tier = 0), '') AS a, string_agg(r.text, chr(10) || chr(10) ORDER BY f.i) FILTER (WHERE tier = 1) AS v
+  FROM fold f JOIN ranked r ON r.task_id = f.task_id AND r.id = f.id WHERE taken GROUP BY f.task_id),
+m AS (SELECT task_id, greatest(1, max(CASE WHEN pos % 3 > 0 THEN pos % 6 END)) > 4 AS think FROM ranked WHERE rank <= 30 GROUP BY task_id)
+SELECT task_id, tokens, 0.85::DOUBLE AS confidence, md5(CASE WHEN think THEN '/think' || chr(10) || chr(10) ELSE '' END || '<ast_context>' || chr(10) || a || chr(10) || '</ast_context>') AS ast_md5,
+md5('<rag_context>' || chr(10) || v || chr(10) || '</rag_context>') AS rag_md5, CASE WHEN think THEN 'think' ELSE 'no_think' END AS reasoning FROM j JOIN m USING (task_id)""")
+def context_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests are answered with: chunks of two tiers packed, their texts in sections, thinking by the most tangled chunk."""
+    c = t.candidates(spark, sf_dir)
+    ranked = retrieval.reranked(c, c.select("task_id", "pos", "score"), 30).withColumn("tokens", text.chunk_tokens("text"))
+    ranked = ranked.withColumn("tier", F.when(F.col("task_id") == 1, 0).otherwise(F.col("pos") % 2)).withColumn("cyclomatic", F.when(F.col("pos") % 3 > 0, F.col("pos") % 6))
+    taken = retrieval.packed(ranked.select("task_id", "pos", "id", "tokens", "score", "tier"), 4096)
+    out = retrieval.responses(retrieval.budget_contexts(taken, ranked.select("task_id", "id", "text")), ranked, threshold=4.5)
+    md5 = lambda x: F.md5(F.col(x).cast("binary"))
+    return out.select("task_id", "tokens", "confidence", md5("ast_section").alias("ast_md5"), md5("rag_section").alias("rag_md5"), "reasoning")
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)
+SELECT doc_id % 7 AS task_id, doc_id AS pos, '/src/' || doc_id || '.ts' AS id, '// ' || doc_id || '.ts (Signatures)' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'async ' ELSE '' END || 'function ' || coalesce(w[1], '') || '(' || coalesce(w[2], '') || ')'
+|| CASE WHEN doc_id % 4 = 0 THEN '' ELSE ': ' || coalesce(w[3], '') END || chr(10) || 'type ' || coalesce(w[4], '') || ' ' || coalesce(w[5], '') AS text, true AS is_ast, 0.0::DOUBLE AS score FROM w WHERE NOT contains('/src/' || doc_id || '.ts', '/src/1')""")
+def signature_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a chunk of one function and one type, named by its words; the file being edited is left out."""
+    w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    d = t.read(spark, sf_dir, "documents").select("doc_id", t.path_of().alias("file_path"), F.regexp_extract_all("text", F.lit("([A-Za-z]+)")).alias("w"))
+    function = F.struct(w(0).alias("name"), F.concat(F.lit("("), w(1), F.lit(")")).alias("params"), F.when(F.col("doc_id") % 4 != 0, w(2)).alias("return_type"), (F.col("doc_id") % 3 == 0).alias("is_async"))
+    types = F.struct(F.lit("type").alias("kind"), w(3).alias("name"), w(4).alias("body"))
+    chunks = d.select((F.col("doc_id") % 7).alias("task_id"), F.col("doc_id").alias("pos"), "file_path", F.array(function).alias("functions"), F.array(types).alias("types"))
+    return retrieval.chunk_candidates(chunks, "/src/1").drop("file_path")
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS task_id, v AS q FROM v WHERE vec_id % 50 = 0),
+d AS (SELECT task_id, vec_id, label, round(list_sum(list_transform(list_zip(v, q), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 6) AS distance FROM v, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY distance, vec_id) AS pos FROM d)
+SELECT task_id, pos, 'rag_/vec/' || vec_id AS id, label::VARCHAR AS text, false AS is_ast, 0.0::DOUBLE AS score FROM r WHERE pos <= 20""")
+def rag_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors nearest to each task's as candidates; distances are dropped, contents looked up for what was found."""
+    vectors = t.read(spark, sf_dir, "embeddings")
+    best = nearest(vectors, vectors.filter("vec_id % 50 = 0"), 20)
+    found = best.select(F.col("query_id").alias("task_id"), F.col("rank").cast("long").alias("pos"), F.col("id").alias("vec_id")).join(vectors.select("vec_id", F.col("label").cast("string").alias("content")), "vec_id")
+    return retrieval.vector_candidates(found.withColumn("file_path", F.concat(F.lit("/vec/"), F.col("vec_id").cast("string")))).drop("file_path")
+
+
+_ACTIVE = ("src/{}.ts", "/home/me/src/{}.ts", "{}.ts", "/src/{}.ts", "c/{}.ts", "x{}.ts")
+
+
+@query("""WITH a AS (SELECT item_id AS task_id, replace((["""
+    + ", ".join(f"'{x}'" for x in _ACTIVE)
+    + """])[(row_number() OVER (ORDER BY item_id) % 6)::BIGINT + 1], '{}', (row_number() OVER (ORDER BY item_id) * 7)::VARCHAR) AS p FROM (SELECT DISTINCT item_id FROM benchmark)),
+f AS (SELECT doc_id AS pos, '/src/' || doc_id || '.ts' AS path, text FROM documents), h AS (SELECT task_id, p, min(pos) AS pos FROM a, f WHERE suffix(path, p) OR suffix(p, path) GROUP BY task_id, p)
+SELECT task_id, 'active_file_full' AS id, md5('// ACTIVE FILE: ' || p || chr(10) || text) AS text_md5, greatest(1, length(text) // 4) AS tokens, 2000.0::DOUBLE AS score FROM h JOIN f USING (pos)""")
+def active_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file being edited of each benchmark item: paths with other roots, of some folders, bare names and parts of names."""
+    nth = numbered(t.read(spark, sf_dir, "benchmark").select("item_id").distinct(), F.col("item_id"))
+    path = F.get(F.array(*[F.lit(x) for x in _ACTIVE]), (F.col("nth") % 6).cast("int"))
+    active = nth.select(F.col("item_id").alias("task_id"), F.replace(path, F.lit("{}"), (F.col("nth") * 7).cast("string")).alias("active_path"))
+    files = t.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), t.path_of().alias("path"), F.col("text").alias("content"))
+    return retrieval.active_chunk(active, files).select("task_id", "id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "tokens", "score")
+
+
 @query("""SELECT CASE WHEN m > 0 THEN round(greatest(0.1, m - 0.1), 6) ELSE 0.55 END AS threshold FROM (
 SELECT avg(value / 1000) FILTER (WHERE event_id % 3 = 0 AND event_type = 'error') AS m FROM events)""")
 def calibrate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:

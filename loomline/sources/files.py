@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .logs import opened
+from .scratch import ship
+
 #: Folders that are never scanned, by exact name (fixed values).
 SKIPPED = ("node_modules", "dist", ".git")
 SUFFIXES = "*.{ts,tsx}"
@@ -47,6 +52,40 @@ def tree_bytes(spark: SparkSession, root: str) -> DataFrame:
     return _binary(spark, root, None).agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"))
 
 
+def index_bytes(spark: SparkSession, *roots: str) -> int:
+    """Bytes of all files below the folders (manifest and vectors, say) together; one that isn't there counts as empty."""
+    from pyspark.errors import AnalysisException
+
+    total = 0
+    for root in roots:
+        try:
+            total += tree_bytes(spark, root).first()["bytes"]
+        except AnalysisException:
+            continue
+    return total
+
+
+def contents(paths: DataFrame, root: str = "") -> DataFrame:
+    """(path, content, error) of the files named by ``paths`` (path), absolute or below the root: one that can't be read has its error and the others go on.
+
+    Files that aren't there are left out. Bytes that aren't UTF-8 become a replacement mark. Paths are spread over tasks as they come.
+    """
+    ship(paths.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path in part["path"].dropna():  # a file at a time
+                try:
+                    with opened(path if path.startswith("/") or not root else f"{root.rstrip('/')}/{path}") as f:
+                        yield pd.DataFrame([(path, f.read().decode("utf-8", "replace"), None)], columns=["path", "content", "error"])
+                except FileNotFoundError:
+                    continue
+                except OSError as e:
+                    yield pd.DataFrame([(path, None, str(e))], columns=["path", "content", "error"])
+
+    return paths.select("path").distinct().mapInPandas(run, "path string, content string, error string")
+
+
 def append_json(rows: DataFrame, path: str) -> None:
     """A log of JSON lines."""
     rows.write.mode("append").json(path)

@@ -22,10 +22,18 @@ MARK = 256  #: bytes at the start and before an offset that tell one file from a
 ROTATED = ".prev"  #: what a rotated log's name ends in (fixed value)
 
 
-def _opened(path: str):
-    """A file that can be read at any place, on any file system that Arrow knows, or none if it isn't there."""
+def opened(path: str):
+    """A file that can be read at any place, on any file system that Arrow knows."""
     system, plain = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return system.open_input_file(plain) if system.get_file_info(plain).type == fs.FileType.File else None
+    return system.open_input_file(plain)
+
+
+def _opened(path: str):
+    """The same, or none if it isn't there."""
+    try:
+        return opened(path)
+    except FileNotFoundError:
+        return None
 
 
 def _bytes(f, a: int, b: int) -> bytes:

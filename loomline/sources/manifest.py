@@ -39,6 +39,19 @@ class Manifest:
                 return self.load()
         return self.spark.createDataFrame([], SCHEMA)
 
+    def migrate(self, legacy: str) -> bool:
+        """Take over the JSON form and remove its file: only if there is no table yet and the file has entries; the file goes once all its paths are in the table."""
+        if self._current():
+            return False
+        rows = read_legacy(self.spark, legacy)
+        if rows.isEmpty():
+            return False
+        self.save(rows)
+        if self.load().count() != rows.select("path").distinct().count():
+            raise RuntimeError(f"{legacy} stays: the table hasn't all its rows")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(legacy)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+
     def save(self, rows: DataFrame) -> None:
         """Replace all rows; of several of a path the one with the newest mtime stays (one without mtime last, ties by size and hash)."""
         version = f"v-{uuid.uuid4().hex}"
