@@ -111,12 +111,18 @@ class CentroidGraph:
 
 
 def _packed(rows: DataFrame, cols: list[str], vector: str) -> DataFrame:
-    """``cols`` and the vector as bytes of doubles."""
+    """``cols`` and the vector as bytes of doubles, over a power of two that brings its largest component below 1.
+
+    Cosines stay what they are to the last bit, and squares of very large or very small components neither overflow nor vanish.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(len(cols))
             flat, ends = np.asarray(v.flatten(), "<f8"), np.concatenate([[0], np.cumsum(np.asarray(v.value_lengths()))])
+            if len(flat):
+                exponents = np.frexp(np.maximum.reduceat(np.abs(flat), ends[:-1]))[1]
+                flat = np.ldexp(flat, -np.repeat(exponents, np.diff(ends)))
             data = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(cols))), pa.array(data, pa.binary())], names=[*cols, "vec"])
 

@@ -194,6 +194,17 @@ def test_proportional_vectors_and_other_lengths(spark):
         assert [got[q][k].vec_id for k in range(1, 6)] == sorted(cos, key=lambda i: (-cos[i], i))[:5]
 
 
+def test_very_large_and_very_small_components(spark):
+    """Each vector over or below what squares of doubles can hold: rows and scores are those of the same directions at size 1."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 6))
+    sizes = rng.choice([1e200, 1e-200, 1e300, 1e-290, 1.0], 60)
+    powers = 2.0 ** np.floor(np.log2(sizes))  # so that directions are equal to the last bit
+    frame = lambda v: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = sorted(tuple(r) for r in ann.nearest(frame(base), every=10).collect())
+    assert len(want) == 30 and sorted(tuple(r) for r in ann.nearest(frame(base * powers[:, None]), every=10).collect()) == want
+
+
 def test_few_and_no_vectors(spark):
     assert ann.nearest(vectors(spark, [])).collect() == []
     few = [(i, [1.0, float(i)], 0, 0, "") for i in (0, 50, 51)]
