@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.rules import block_kept, block_kind, keeps_tool
 from ..functions.text import active_path_in, block_tokens, compacted_environment, cursor_line, fallback_tokens, message_text
+from ..sources.scratch import ship
 
 PARTS = "array<struct<type:string,text:string>>"
 
@@ -108,3 +112,30 @@ def payloads(bodies: DataFrame, messages: DataFrame, tools: DataFrame | None = N
     fields = [c for c in bodies.columns if c not in ("conv_id", "messages", "tools", "stream", "keep_alive")]
     last = ["tools"] if tools is not None else []
     return out.select("conv_id", F.to_json(F.struct(*fields, "messages", "stream", F.lit(keep_alive).alias("keep_alive"), *last)).alias("payload"))
+
+
+def token_counter(load: Callable[[], Callable[[str], int]]):
+    """A tokenizer's count of a text as an iterator UDF: ``load`` makes the counting function once per task.
+
+    Where it can't be loaded, or fails on a text, that text counts as a quarter of its UTF-16 units, cut, as ``text.fallback_tokens`` does.
+    A null text has none. Use it over ``text.message_text`` for messages.
+    """
+    ship(SparkSession.active())
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            own = load()
+        except Exception:  # noqa: BLE001  a tokenizer may be missing where a task runs
+            own = None
+
+        def one(text: str | None) -> int:
+            try:
+                return int(own(text or ""))
+            except Exception:  # noqa: BLE001
+                return len((text or "").encode("utf-16-le", "surrogatepass")) // 8
+
+        for batch in batches:
+            yield batch.map(one).astype("int64")
+
+    return count
