@@ -1,4 +1,8 @@
-"""Import graphs: resolving specifiers, edges, reachability, depth, cycles and summaries."""
+"""Import graphs: resolving specifiers, edges, reachability, depth, cycles and summaries.
+
+Both sides of a join grow with the graph, and short paths shrink so well in a shuffle that Spark would gather millions of them on the
+driver to broadcast them, once a round. So all joins are hinted to be merged: nothing of the graph goes through the driver.
+"""
 
 from __future__ import annotations
 
@@ -26,13 +30,13 @@ def import_candidates(imports: DataFrame) -> DataFrame:
 
 def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(src, pos, dst): the first candidate of each import that is a file."""
-    hit = import_candidates(imports).join(files.select(F.col("path").alias("candidate")).distinct(), "candidate")
+    hit = import_candidates(imports).hint("merge").join(files.select(F.col("path").alias("candidate")).distinct(), "candidate")
     return hit.groupBy("file_path", "pos").agg(F.min_by("candidate", "nth").alias("dst")).select(F.col("file_path").alias("src"), "pos", "dst")
 
 
 def graph_edges(imports: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges to files that are nodes; repeated imports stay repeated edges."""
-    return resolved_imports(imports, files).join(nodes.select(F.col("path").alias("dst")).distinct(), "dst").select("src", "pos", "dst")
+    return resolved_imports(imports, files).hint("merge").join(nodes.select(F.col("path").alias("dst")).distinct(), "dst").select("src", "pos", "dst")
 
 
 def cross_imports(edges: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def cross_imports(edges: DataFrame) -> DataFrame:
 
 def potential_importers(imports: DataFrame, targets: DataFrame) -> DataFrame:
     """(path, importer): files with an import that could mean a target, whether or not it exists."""
-    return import_candidates(imports).join(targets.select(F.col("path").alias("candidate")), "candidate").select(F.col("candidate").alias("path"), F.col("file_path").alias("importer")).distinct()
+    return import_candidates(imports).hint("merge").join(targets.select(F.col("path").alias("candidate")), "candidate").select(F.col("candidate").alias("path"), F.col("file_path").alias("importer")).distinct()
 
 
 def spread(start: DataFrame, pairs: DataFrame, step: int = 0, often: int = 8) -> DataFrame:
