@@ -1,4 +1,7 @@
-"""Index maintenance: snapshot diff, priorities, a deduplicating queue, batches and upserts."""
+"""Index maintenance: snapshot diff, priorities, a deduplicating queue, batches and upserts.
+
+Joins by path are hinted to be merged: a broadcast table of paths is held by the driver and by every task, and grows with the index.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import numbered
+from ..sources.scratch import written
 
 #: Versions that a manifest row must carry to count as current.
 AST_VERSION, RAG_VERSION = 1, 1
@@ -23,7 +27,7 @@ def manifest_diff(snapshot: DataFrame, manifest: DataFrame, ast_version: int = A
     same = F.col("s_mtime").eqNullSafe(F.col("mtime")) & F.col("s_size").eqNullSafe(F.col("size"))
     current = F.col("ast_version").eqNullSafe(F.lit(ast_version)) & F.col("rag_version").eqNullSafe(F.lit(rag_version)) & F.col("has_chunk")
     status = F.when(F.col("known").isNull(), "NEW").when(F.col("seen").isNull(), "DELETED").when(same & current, "UNCHANGED").otherwise("CHANGED")
-    return s.join(m, "path", "full").select("path", status.alias("status"), "s_mtime", "s_size")
+    return s.hint("merge").join(m, "path", "full").select("path", status.alias("status"), "s_mtime", "s_size")
 
 
 def startup_queue(diff: DataFrame, high: int = 10, batch: int = 6) -> DataFrame:
@@ -52,11 +56,11 @@ def batches(queue: DataFrame, size: int = 6) -> DataFrame:
 def upserted(base: DataFrame, updates: DataFrame, key: str, accepted: Column | None = None) -> DataFrame:
     """``base`` with rows replaced or added by ``updates``; an update that isn't accepted leaves the old row."""
     good = updates if accepted is None else updates.filter(accepted)
-    return base.join(good.select(key), key, "left_anti").unionByName(good)
+    return base.hint("merge").join(good.select(key), key, "left_anti").unionByName(good)
 
 
 def deleted(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return base.join(keys.select(key), key, "left_anti")
+    return base.hint("merge").join(keys.select(key), key, "left_anti")
 
 
 def is_vector(vector: str) -> Column:
@@ -71,8 +75,8 @@ def hydrated(manifest: DataFrame, ast_version: int = AST_VERSION, rag_version: i
 
 def applied(jobs: DataFrame, nodes: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes after deletes, paths to extract) of a batch of jobs: a deleted or missing file leaves, others are extracted anew."""
-    gone = jobs.join(sources.select("path"), "path", "left_anti").select("path").unionByName(jobs.filter("reason = 'DELETED'").select("path")).distinct()
-    return deleted(nodes, gone, "path"), jobs.select("path").distinct().join(gone, "path", "left_anti")
+    gone = jobs.hint("merge").join(sources.select("path"), "path", "left_anti").select("path").unionByName(jobs.filter("reason = 'DELETED'").select("path")).distinct()
+    return deleted(nodes, gone, "path"), jobs.select("path").distinct().hint("merge").join(gone, "path", "left_anti")
 
 
 @dataclass
@@ -106,9 +110,13 @@ def indexed(jobs: DataFrame, manifest: DataFrame, nodes: DataFrame, vectors: Dat
     rows: what was extracted from the sources of the batch, a row per file that is there and parses, with the columns of
     all three stores. Jobs that say DELETED and files without such a row leave all stores; the others replace their rows,
     but a failed (all zero) vector leaves the old one.
+
+    Rows of live jobs are written once, and so are the paths that leave a store: a chain of joins by one key would else
+    stay in one stage, where every task holds all of their sorts at once.
     """
-    live = jobs.groupBy("path").agg(F.max(F.col("reason") == "DELETED").alias("dead")).filter(~F.col("dead")).select("path")
-    rows = rows.join(live, "path", "left_semi")
-    gone = jobs.select("path").distinct().join(rows.select("path"), "path", "left_anti")
-    put = lambda base, accepted=None: upserted(deleted(base, gone, "path").select(*base.columns), rows.select(*base.columns), "path", accepted).select(*base.columns)
-    return Indexed(put(manifest), put(nodes), put(vectors, is_vector(vector)))
+    each = jobs.groupBy("path").agg(F.max(F.col("reason") == "DELETED").alias("dead"))
+    rows = written(rows.hint("merge").join(each.filter(~F.col("dead")).select("path"), "path", "left_semi"), "indexed-rows")
+    named = written(each.select("path"), "indexed-paths")
+    failed = rows.groupBy("path").agg(F.max(F.coalesce(is_vector(vector), F.lit(False))).alias("good")).filter("NOT good").select("path")
+    put = lambda base, out, new: deleted(base, out, "path").unionByName(new.select(*base.columns))
+    return Indexed(put(manifest, named, rows), put(nodes, named, rows), put(vectors, deleted(named, failed, "path"), rows.filter(is_vector(vector))))

@@ -171,8 +171,8 @@ def index_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = d.filter("doc_id % 3 != 1").select("path", F.lit("old").alias("hash"), F.lit(1).alias("version"), vector(F.lit(1)).alias("vector"))
     new = d.filter("doc_id % 20 != 5").select("path", text.source_hash("text").alias("hash"), F.lit(2).alias("version"), vector(F.col("n_chars") % 2).alias("vector"))
     out = index.indexed(jobs, old.select("path", "hash", "version"), old.select("path", "version"), old.select("path", "vector"), new)
-    rows = out.manifest.join(out.nodes.select("path"), "path", "left_semi")
-    return rows.join(out.vectors.select("path", F.lit(True).alias("e")), "path", "left").select("path", "hash", "version", F.coalesce("e", F.lit(False)).alias("embedded"))
+    rows = out.manifest.hint("merge").join(out.nodes.select("path"), "path", "left_semi")
+    return rows.hint("merge").join(out.vectors.select("path", F.lit(True).alias("e")), "path", "left").select("path", "hash", "version", F.coalesce("e", F.lit(False)).alias("embedded"))
 
 
 # --- retrieval -----------------------------------------------------------------------------------------------------

@@ -15,3 +15,15 @@ def test_imports_are_resolved_without_broadcasts(spark):
         got = catalog.QUERIES[name](spark, SF)
         assert got.collect()
         assert "Broadcast" not in plan_of(got), name
+
+
+def test_index_jobs_hold_no_broadcast_tables(spark):
+    for name in ("index_jobs", "manifest_diff", "vector_upsert", "vector_delete"):
+        got = catalog.QUERIES[name](spark, SF)
+        assert got.collect()
+        assert "Broadcast" not in plan_of(got), name
+
+
+def test_a_batch_of_jobs_does_not_stack_its_sorts_in_one_stage(spark):
+    got = catalog.QUERIES["index_jobs"](spark, SF)
+    assert plan_of(got).count("HashJoin") + plan_of(got).count("SortMergeJoin") <= 8  # it was a chain of 27
