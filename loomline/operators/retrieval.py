@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from ..functions.text import base_name, chunk_tokens, stem
@@ -49,28 +54,88 @@ def _spelled(tasks: DataFrame, lengths: Sequence[int], keys: DataFrame) -> DataF
     return every.join(keys, "key", "left_semi").distinct()
 
 
-def _hits(named: DataFrame, spelled: DataFrame, tasks: DataFrame, longest: int) -> DataFrame:
-    """(task_id, file_path, pos, score) of names (file_path, name, key, pos, weight) whose key was spelled; names longer than a key are looked up in full."""
-    hit = named.join(spelled, "key").select("task_id", "file_path", "name", "pos", "weight")
+def _met(tasks: DataFrame, names: DataFrame, longest: int) -> DataFrame:
+    """(name, task_id): the names (name, lower case and distinct) that stand in each task; those longer than a key are looked up in full."""
+    keyed = written(names.withColumn("key", F.substring("name", 1, longest)), "task-names")
+    lengths = sorted(r["n"] for r in keyed.select(F.length("key").alias("n")).distinct().collect())  # ``longest`` rows at most
+    hit = keyed.join(_spelled(tasks, lengths, keyed.select("key").distinct()), "key").select("name", "task_id")
     low = tasks.select("task_id", F.lower("task").alias("task"))
-    long = hit.filter(F.length("name") > longest).join(low, "task_id").filter(F.col("task").contains(F.col("name"))).select(*hit.columns)
-    hit = hit.filter(F.length("name") <= longest).unionByName(long)
-    return hit.groupBy("task_id", "file_path").agg(F.min("pos").alias("pos"), F.sum("weight").cast("long").alias("score"))
-
-
-def task_scores(tasks: DataFrame, symbols: DataFrame, longest: int = 40) -> DataFrame:
+    long = hit.filter(F.length("name") > longest).join(low, "task_id").filter(F.col("task").contains(F.col("name"))).select("name", "task_id")
+    return written(hit.filter(F.length("name") <= longest).unionByName(long).distinct(), "task-met")
+
+
+#: Sizes of one group of ``task_scores``: names of files, files, and tasks.
+GROUP_NAMES, GROUP_FILES, GROUP_TASKS = 250_000, 4_000, 200
+_ONE = float(1 << 24)  # a sum holds the weight above these bits, and below them the number of names
+
+
+def _product(names: pa.Table, met: pa.Table, k: int | None, schema: pa.Schema) -> pa.Table:
+    """Scores of one group: names (file_path, pos, name, weight) of some files times the names (name, task_ids) that stand in some tasks."""
+    lists, file_of = met["task_ids"].combine_chunks(), names["file_path"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    known = pc.index_in(names["name"].combine_chunks(), met["name"].combine_chunks()).cast("float64").to_numpy(zero_copy_only=False)
+    tasks = pc.list_flatten(lists).dictionary_encode()
+    table = np.zeros((len(met), len(tasks.dictionary)))
+    table[np.repeat(np.arange(len(met)), pc.list_value_length(lists).to_numpy()), tasks.indices.to_numpy()] = 1.0
+    own = ~np.isnan(known)
+    column, weight = known[own].astype(np.int64), pc.fill_null(names["weight"], 0).to_numpy()[own] * _ONE + 1
+    frame = pd.DataFrame({"file": file_of[own], "pos": pc.fill_null(names["pos"], -1).to_numpy()[own], "at": np.flatnonzero(own)})
+    unit = frame.groupby(["file", "pos"], sort=True).ngroup().to_numpy()  # a file may stand at several places
+    order = np.argsort(unit, kind="stable")
+    unit, column, weight, at = unit[order], column[order], weight[order], frame["at"].to_numpy()[order]
+    count = int(unit[-1]) + 1 if len(unit) else 0
+    first = at[np.searchsorted(unit, np.arange(count))]
+    used, column = np.unique(column, return_inverse=True)
+    table, step, found = table[used], max(16, 4_000_000 // max(1, len(used))), []
+    for lo in range(0, count, step):
+        here = slice(*np.searchsorted(unit, [lo, lo + step]))
+        dense = np.zeros((min(step, count - lo), len(used)))
+        np.add.at(dense, (unit[here] - lo, column[here]), weight[here])
+        sums = dense @ table
+        row, task = np.nonzero(sums)
+        found.append((row + lo, task, sums[row, task]))
+    row, task, sums = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    score = (sums // _ONE).astype(np.int64)
+    if frame["file"].nunique() < count:  # then places of one file are put together
+        each = pd.DataFrame({"file": file_of[first][row], "task": task, "row": row, "score": score}).groupby(["file", "task"], sort=False).agg(row=("row", "min"), score=("score", "sum")).reset_index()
+        row, task, score = each["row"].to_numpy(), each["task"].to_numpy(), each["score"].to_numpy()
+    if k is not None and len(score):
+        order = np.lexsort((-score, task))
+        place = np.arange(len(order)) - np.searchsorted(task[order], task[order])
+        least = np.zeros(table.shape[1], np.int64)
+        least[task[order][place == k - 1]] = score[order][place == k - 1]
+        keep = score >= least[task]
+        row, task, score = row[keep], task[keep], score[keep]
+    at = pa.array(first[row])
+    columns = [tasks.dictionary.take(pa.array(task)), names["file_path"].combine_chunks().take(at), names["pos"].combine_chunks().take(at), pa.array(score, mask=score == 0)]
+    return pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def task_scores(tasks: DataFrame, symbols: DataFrame, longest: int = 40, k: int | None = None) -> DataFrame:
     """(task_id, file_path, pos, score): weights of a file's symbols whose name stands in the task, repeated ones counted again.
 
     symbols: pos, file_path, kind, name. Containment becomes an equality: a task is spelled out into its substrings of the
     lengths that names have (up to ``longest``), and a name is looked up by its first ``longest`` characters; longer names
-    are then checked in full. So neither side is held by a task and nothing is compared that doesn't share a key. The result has
-    a row for each task and file that meet: for the best files of each task, ``top_scored`` looks at few files only.
+    are then checked in full. So only distinct names meet tasks, and of the files' names only those that stand in some task are shuffled.
+    Scores are a product of two sparse tables, files by names and names by tasks: a group has some files and some tasks, and is multiplied by itself. The
+    result has a row for each task and file that meet. With ``k`` files that have ``k`` better ones in their own group for a task may be
+    left out, which ``top_files`` doesn't notice; for the best files of each task, ``top_scored`` looks at few files only.
     """
-    useful = symbols.filter((F.length("name") >= 2) & ~F.lower("name").isin(*GENERIC))
-    named = useful.groupBy("file_path", F.lower("name").alias("name")).agg(F.min("pos").alias("pos"), F.sum(_weight(F.col("kind"))).alias("weight"))
-    named = written(named.withColumn("key", F.substring("name", 1, longest)), "task-names")
-    lengths = sorted(r["n"] for r in named.select(F.length("key").alias("n")).distinct().collect())  # ``longest`` rows at most
-    return _hits(named, _spelled(tasks, lengths, named.select("key").distinct()), tasks, longest)
+    useful = symbols.filter((F.length("name") >= 2) & ~F.lower("name").isin(*GENERIC)).withColumn("name", F.lower("name"))
+    met = _met(tasks, useful.select("name").distinct(), longest)
+    named = useful.join(met.select("name").distinct(), "name", "left_semi").groupBy("file_path", "pos", "name").agg(F.sum(_weight(F.col("kind"))).cast("long").alias("weight"))
+    named = written(named, "task-files")
+    n = named.agg(F.count("*").alias("names"), F.approx_count_distinct(F.struct("file_path", "pos")).alias("files")).first()
+    groups = max(1, n["names"] // GROUP_NAMES, n["files"] // GROUP_FILES)
+    blocks = max(1, met.select("task_id").distinct().count() // GROUP_TASKS)
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    left = named.withColumn("group", F.pmod(F.xxhash64("file_path"), F.lit(groups)).cast("int")).select("*", every(blocks).alias("block"))
+    lists = met.withColumn("block", F.pmod(F.xxhash64("task_id"), F.lit(blocks)).cast("int")).groupBy("block", "name").agg(F.collect_list("task_id").alias("task_ids"))  # tasks of one block
+    right = lists.select("*", every(groups).alias("group"))
+    types = {"task_id": tasks.schema["task_id"].dataType, "file_path": symbols.schema["file_path"].dataType, "pos": symbols.schema["pos"].dataType, "score": T.LongType()}
+    schema = T.StructType([T.StructField(c, kind) for c, kind in types.items()])
+    out = to_arrow_schema(schema)
+    ship(tasks.sparkSession)
+    return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(lambda a, b: _product(a, b, k, out), schema)
 
 
 def symbol_index(files: DataFrame) -> DataFrame:
@@ -97,7 +162,7 @@ def top_scored(tasks: DataFrame, index: DataFrame, k: int = 5, first: int = 512,
         files = index if above is None else index.filter(F.col("bound") < above)
         files = files if cut is None else files.filter(F.col("bound") >= cut)
         each = files.select("file_path", "pos", F.explode("symbols").alias("s")).select("file_path", "pos", "s.kind", F.explode("s.names").alias("name"))
-        scores = task_scores(left, each, longest)
+        scores = task_scores(left, each, longest, k)
         best = written(top_files(scores if best is None else scores.unionByName(best.drop("rank")), k), "task-best")
         if cut is not None:
             done = best.filter((F.col("rank") == k) & (F.col("score") >= cut)).select("task_id")
