@@ -62,26 +62,26 @@ def spread(start: DataFrame, pairs: DataFrame, step: int = 0, often: int = 8) ->
         new = known.filter("fresh")
         if new.isEmpty():
             return known.select("node", "value")
-        known = written(_improved(known.withColumn("fresh", F.lit(False)), new.join(pairs, "node").select(F.col("next").alias("node"), further(F.lit(1)).alias("value"))), "spread")
+        known = written(_improved(known.withColumn("fresh", F.lit(False)), new.hint("merge").join(pairs, "node").select(F.col("next").alias("node"), further(F.lit(1)).alias("value"))), "spread")
         if n % often:
             continue
         if jumps_of is None:
             single = pairs.groupBy("node").agg(F.min("next").alias("to"), F.max("next").alias("most")).filter("to = most AND to != node")
             jumps_of = written(single.select("node", "to", F.lit(1).cast("long").alias("far")), "jumps")
         jumps, left = jumps_of, jumps_of.count().bit_length()
-        if known.filter("fresh").join(jumps, "node", "left_semi").isEmpty():
+        if known.filter("fresh").hint("merge").join(jumps, "node", "left_semi").isEmpty():
             continue
         while left and not jumps.isEmpty():
-            known = written(_improved(known, known.join(jumps, "node").select(F.col("to").alias("node"), further(F.col("far")).alias("value"))), "spread")
+            known = written(_improved(known, known.hint("merge").join(jumps, "node").select(F.col("to").alias("node"), further(F.col("far")).alias("value"))), "spread")
             then = jumps.select(F.col("node").alias("to"), F.col("to").alias("end"), F.col("far").alias("more"))
-            jumps, left = written(jumps.join(then, "to").select("node", F.col("end").alias("to"), (F.col("far") + F.col("more")).alias("far")), "jumps"), left - 1
+            jumps, left = written(jumps.hint("merge").join(then, "to").select("node", F.col("end").alias("to"), (F.col("far") + F.col("more")).alias("far")), "jumps"), left - 1
 
 
 def _improved(known: DataFrame, sent: DataFrame) -> DataFrame:
     """Known values (node, value, fresh) with the lesser ones that were sent; those are fresh."""
     least = sent.groupBy("node").agg(F.min("value").alias("sent"))
     better = F.coalesce(F.col("sent") < F.col("value"), F.col("sent").isNotNull())
-    return known.join(least, "node", "full").select("node", F.when(better, F.col("sent")).otherwise(F.col("value")).alias("value"), (better | F.coalesce("fresh", F.lit(False))).alias("fresh"))
+    return known.hint("merge").join(least, "node", "full").select("node", F.when(better, F.col("sent")).otherwise(F.col("value")).alias("value"), (better | F.coalesce("fresh", F.lit(False))).alias("fresh"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = True) -> DataFrame:
@@ -101,21 +101,21 @@ def depths(edges: DataFrame, nodes: DataFrame, most: int | None = None, known: D
     target, those are taken out by pointer jumping (``_contracted``) and given their depth at the end: rounds grow with the logarithm of such runs.
     """
     inside = nodes.select("node").distinct()
-    pairs = edges.select("src", "dst").distinct().join(inside.withColumnRenamed("node", "src"), "src", "left_semi")
-    own = written(pairs.join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", F.lit(1).cast("long").alias("w")), "depth-edges")
+    pairs = edges.select("src", "dst").distinct().hint("merge").join(inside.withColumnRenamed("node", "src"), "src", "left_semi")
+    own = written(pairs.hint("merge").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", F.lit(1).cast("long").alias("w")), "depth-edges")
     state = inside.withColumn("least", F.lit(0).cast("long"))
     if known is not None:
-        outer = known.join(inside, "node", "left_anti").select(F.col("node").alias("dst"), (F.col("depth") + 1).cast("long").alias("d"))
-        floor = pairs.join(outer, "dst").groupBy(F.col("src").alias("node")).agg(F.max("d").alias("d"))
-        state = inside.join(floor, "node", "left").select("node", F.coalesce("d", F.lit(0)).cast("long").alias("least"))
+        outer = known.hint("merge").join(inside, "node", "left_anti").select(F.col("node").alias("dst"), (F.col("depth") + 1).cast("long").alias("d"))
+        floor = pairs.hint("merge").join(outer, "dst").groupBy(F.col("src").alias("node")).agg(F.max("d").alias("d"))
+        state = inside.hint("merge").join(floor, "node", "left").select("node", F.coalesce("d", F.lit(0)).cast("long").alias("least"))
     state, out, aside = _opened(state, own), None, []
     for n in count(1):
         done, rest = state.filter("open = 0").select("node", F.col("least").alias("depth")), state.filter("open > 0")
         if done.isEmpty():
             break
         out = done if out is None else out.unionByName(done)
-        off = own.join(done.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.max(F.col("depth") + F.col("w")).alias("d"))
-        state = written(rest.join(off, "node", "left").select("node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("least", F.coalesce("d", F.lit(0))).alias("least")), "depth-state")
+        off = own.hint("merge").join(done.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.max(F.col("depth") + F.col("w")).alias("d"))
+        state = written(rest.hint("merge").join(off, "node", "left").select("node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("least", F.coalesce("d", F.lit(0))).alias("least")), "depth-state")
         if n % often == 0:
             out = written(out, "depths")
             some = _contracted(state.filter("open > 0").select("node", "least"), state.select("node"), own)
@@ -127,40 +127,40 @@ def depths(edges: DataFrame, nodes: DataFrame, most: int | None = None, known: D
     out = stuck if out is None else out.unionByName(stuck)
     for gone in reversed(aside):  # what runs end in is done by now, or stuck
         ends = out.select(F.col("node").alias("to"), "depth")
-        out = written(out.unionByName(gone.join(ends, "to").select("node", F.when(F.col("depth").isNotNull(), F.greatest("least", F.col("depth") + F.col("w"))).alias("depth"))), "depths")
+        out = written(out.unionByName(gone.hint("merge").join(ends, "to").select("node", F.when(F.col("depth").isNotNull(), F.greatest("least", F.col("depth") + F.col("w"))).alias("depth"))), "depths")
     return out if most is None else out.select("node", F.coalesce("depth", F.lit(most)).cast("long").alias("depth"))
 
 
 def _opened(state: DataFrame, own: DataFrame) -> DataFrame:
     """(node, open, least): with the number of targets of each node."""
     n = own.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"))
-    return written(state.join(n, "node", "left").select("node", F.coalesce("open", F.lit(0)).cast("long").alias("open"), "least"), "depth-state")
+    return written(state.hint("merge").join(n, "node", "left").select("node", F.coalesce("open", F.lit(0)).cast("long").alias("open"), "least"), "depth-state")
 
 
 def _contracted(rest: DataFrame, there: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Open nodes (node, least) without those that have one target ``there`` and whose run of such nodes ends; the edges (src, dst, w) of the
     others, which lead to the ends of runs; and the nodes taken out: (node, to, least, w), whose depth is the greater of least and that of
     ``to`` plus w. None, if fewer than a quarter are such nodes."""
-    inner = written(own.join(rest.select(F.col("node").alias("src")), "src", "left_semi").join(there.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "w"), "depth-open")
-    single = inner.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("to"), F.min("w").alias("w")).filter("n = 1").join(rest, "node").select("node", "to", "least", "w")
+    inner = written(own.hint("merge").join(rest.select(F.col("node").alias("src")), "src", "left_semi").hint("merge").join(there.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "w"), "depth-open")
+    single = inner.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("to"), F.min("w").alias("w")).filter("n = 1").hint("merge").join(rest, "node").select("node", "to", "least", "w")
     jumps = written(single, "depth-jumps")
     n = jumps.count()
     if 4 * n < rest.count():
         return None
     begins = jumps.select(F.col("node").alias("to"))
-    jumps = written(jumps.join(begins.withColumn("on", F.lit(True)), "to", "left").select("node", "to", "least", "w", F.coalesce("on", F.lit(False)).alias("on")), "depth-jumps")
+    jumps = written(jumps.hint("merge").join(begins.withColumn("on", F.lit(True)), "to", "left").select("node", "to", "least", "w", F.coalesce("on", F.lit(False)).alias("on")), "depth-jumps")
     for _ in range(n.bit_length()):
         if jumps.filter("on").isEmpty():
             break
         then = jumps.select(F.col("node").alias("to"), F.col("to").alias("end"), F.col("least").alias("l"), F.col("w").alias("v"), F.col("on").alias("still"))
-        further = jumps.filter("on").join(then, "to").select("node", F.col("end").alias("to"), F.greatest("least", F.col("l") + F.col("w")).alias("least"), (F.col("w") + F.col("v")).alias("w"), F.col("still").alias("on"))
+        further = jumps.filter("on").hint("merge").join(then, "to").select("node", F.col("end").alias("to"), F.greatest("least", F.col("l") + F.col("w")).alias("least"), (F.col("w") + F.col("v")).alias("w"), F.col("still").alias("on"))
         jumps = written(jumps.filter("NOT on").unionByName(further), "depth-jumps")
     gone = jumps.filter("NOT on").drop("on")  # the others run into a cycle of such nodes
     ends = gone.select(F.col("node").alias("dst"), "to", F.col("least").alias("l"), F.col("w").alias("v"))
-    led = inner.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(ends, "dst", "left")
-    kept = rest.join(gone.select("node"), "node", "left_anti")
+    led = inner.hint("merge").join(gone.select(F.col("node").alias("src")), "src", "left_anti").hint("merge").join(ends, "dst", "left")
+    kept = rest.hint("merge").join(gone.select("node"), "node", "left_anti")
     floor = led.filter("to IS NOT NULL").groupBy(F.col("src").alias("node")).agg(F.max(F.col("l") + F.col("w")).alias("d"))
-    kept = written(kept.join(floor, "node", "left").select("node", F.greatest("least", F.coalesce("d", F.lit(0))).alias("least")), "depth-kept")
+    kept = written(kept.hint("merge").join(floor, "node", "left").select("node", F.greatest("least", F.coalesce("d", F.lit(0))).alias("least")), "depth-kept")
     led = written(led.groupBy("src", F.coalesce("to", "dst").alias("dst")).agg(F.max(F.col("w") + F.coalesce("v", F.lit(0))).alias("w")), "depth-edges")
     return kept, led, gone
 
@@ -172,11 +172,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     the nodes of one such name that also reach it are a component. Nodes between cycles are left over, and so is what lies
     behind a cycle that has a lesser node: those go into the next pass, with the edges within a name only.
     """
-    ends = edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
+    ends = edges.select("src", "dst").distinct().hint("merge").join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").hint("merge").join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
     ends = written(ends, "scc-edges")
     out = ends.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     turned = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    within = lambda e, some: e.join(some.select(F.col("node").alias("src")), "src", "left_semi").join(some.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    within = lambda e, some: e.hint("merge").join(some.select(F.col("node").alias("src")), "src", "left_semi").hint("merge").join(some.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
     rest = ends.filter("src != dst")
     while True:
         for turn in (lambda e: e, turned):
@@ -186,13 +186,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         names = spread(rest.select(F.col("src").alias("node"), F.col("src").alias("value")), rest.select(F.col("src").alias("node"), F.col("dst").alias("next")))
         a, b = names.select(F.col("node").alias("src"), F.col("value").alias("name")), names.select(F.col("node").alias("dst"), F.col("value").alias("other"))
-        rest = written(rest.join(a, "src").join(b, "dst").filter("name = other").select("src", "dst"), "scc-edges")
+        rest = written(rest.hint("merge").join(a, "src").hint("merge").join(b, "dst").filter("name = other").select("src", "dst"), "scc-edges")
         found = spread(names.filter("node = value"), rest.select(F.col("dst").alias("node"), F.col("src").alias("next")))
         found = written(found.select("node", F.col("value").alias("component")), "scc-found")
         whole = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
-        out = out.unionByName(found.join(whole.select("component"), "component", "left_semi").select("node", "component"))
+        out = out.unionByName(found.hint("merge").join(whole.select("component"), "component", "left_semi").select("node", "component"))
         gone = found.select("node")
-        rest = written(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-edges")
+        rest = written(rest.hint("merge").join(gone.withColumnRenamed("node", "src"), "src", "left_anti").hint("merge").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-edges")
     return out.groupBy("node").agg(F.min("component").alias("component"))
 
 
@@ -204,7 +204,7 @@ def cyclic_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def cyclic_refs(edges: DataFrame, on_cycles: DataFrame) -> DataFrame:
     """(node, cyclic_refs): the number of distinct targets by which a node closes a cycle, i.e. that lie in its own component (node, component)."""
     a, b = on_cycles.select(F.col("node").alias("src"), "component"), on_cycles.select(F.col("node").alias("dst"), F.col("component").alias("other"))
-    inner = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").filter("component = other")
+    inner = edges.select("src", "dst").distinct().hint("merge").join(a, "src").hint("merge").join(b, "dst").filter("component = other")
     return inner.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("cyclic_refs"))
 
 
@@ -216,28 +216,28 @@ def maintained(edges: DataFrame, old: DataFrame, seeds: DataFrame, held: DataFra
     old depth, as a walk does that meets a node it is in. If there are cycles besides, depths would rise for ever:
     after ``rounds`` (by default twice the greatest old depth and 16 more) the result is None.
     """
-    pairs = edges.select("src", "dst").distinct().join(old.select(F.col("node").alias("dst")), "dst", "left_semi").withColumn("held", F.lit(False))
+    pairs = edges.select("src", "dst").distinct().hint("merge").join(old.select(F.col("node").alias("dst")), "dst", "left_semi").withColumn("held", F.lit(False))
     if held is not None:
         a, b = held.select(F.col("node").alias("src"), "component"), held.select(F.col("node").alias("dst"), F.col("component").alias("other"))
-        pairs = pairs.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", F.coalesce(F.col("component") == F.col("other"), F.lit(False)).alias("held"))
+        pairs = pairs.hint("merge").join(a, "src", "left").hint("merge").join(b, "dst", "left").select("src", "dst", F.coalesce(F.col("component") == F.col("other"), F.lit(False)).alias("held"))
     pairs = written(pairs.select("src", "dst", "held"), "maintain-edges")
     before = written(old.select("node", F.coalesce("depth", F.lit(0)).cast("long").alias("was"), F.col("depth").isNull().alias("new")), "maintain-old")
     if rounds is None:
         rounds = 2 * (before.agg(F.max("was")).first()[0] or 0) + 16
-    frontier, delta = seeds.select("node").distinct().join(before.select("node"), "node", "left_semi"), None
+    frontier, delta = seeds.select("node").distinct().hint("merge").join(before.select("node"), "node", "left_semi"), None
     for n in range(rounds):
-        out = frontier.join(pairs.withColumnRenamed("src", "node"), "node").join(before.select(F.col("node").alias("dst"), F.col("was").alias("to")), "dst")
+        out = frontier.hint("merge").join(pairs.withColumnRenamed("src", "node"), "node").hint("merge").join(before.select(F.col("node").alias("dst"), F.col("was").alias("to")), "dst")
         if delta is not None:
-            out = out.join(delta.select(F.col("node").alias("dst"), "depth"), "dst", "left").withColumn("to", F.when(F.col("held"), F.col("to")).otherwise(F.coalesce("depth", "to")))
-        again = frontier.join(out.groupBy("node").agg((F.max("to") + 1).alias("d")), "node", "left").select("node", F.coalesce("d", F.lit(0)).cast("long").alias("depth"))
-        now = before if delta is None else before.join(delta, "node", "left").select("node", F.coalesce("depth", "was").alias("was"), (F.col("new") & F.col("depth").isNull()).alias("new"))
-        changed = written(again.join(now, "node").filter("depth != was OR new").select("node", "depth"), "maintain")
+            out = out.hint("merge").join(delta.select(F.col("node").alias("dst"), "depth"), "dst", "left").withColumn("to", F.when(F.col("held"), F.col("to")).otherwise(F.coalesce("depth", "to")))
+        again = frontier.hint("merge").join(out.groupBy("node").agg((F.max("to") + 1).alias("d")), "node", "left").select("node", F.coalesce("d", F.lit(0)).cast("long").alias("depth"))
+        now = before if delta is None else before.hint("merge").join(delta, "node", "left").select("node", F.coalesce("depth", "was").alias("was"), (F.col("new") & F.col("depth").isNull()).alias("new"))
+        changed = written(again.hint("merge").join(now, "node").filter("depth != was OR new").select("node", "depth"), "maintain")
         if changed.isEmpty():
             return delta if delta is not None else changed
-        delta = changed if delta is None else delta.join(changed, "node", "left_anti").unionByName(changed)
+        delta = changed if delta is None else delta.hint("merge").join(changed, "node", "left_anti").unionByName(changed)
         if n % 4 == 3:
             delta = written(delta, "maintain-delta")
-        frontier = pairs.filter("NOT held").join(changed.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+        frontier = pairs.filter("NOT held").hint("merge").join(changed.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
     return None
 
 
@@ -249,12 +249,12 @@ def graph_summary(nodes: DataFrame) -> DataFrame:
 
 def replaced_edges(edges: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
     """Edges with the out-edges of changed files replaced."""
-    return edges.join(changed.select(F.col("path").alias("src")), "src", "left_anti").unionByName(new)
+    return edges.hint("merge").join(changed.select(F.col("path").alias("src")), "src", "left_anti").unionByName(new)
 
 
 def without_file(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without some files; edges of their importers stay until those are refreshed."""
-    return nodes.join(gone.select("path"), "path", "left_anti"), edges.join(gone.select(F.col("path").alias("src")), "src", "left_anti")
+    return nodes.hint("merge").join(gone.select("path"), "path", "left_anti"), edges.hint("merge").join(gone.select(F.col("path").alias("src")), "src", "left_anti")
 
 
 def latest_nodes(chunks: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ class Updated:
 
 def file_edges(imports: DataFrame, files: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
     """Edges of some files (path) only: their imports are resolved anew."""
-    return graph_edges(imports.join(some.select(F.col("path").alias("file_path")), "file_path", "left_semi"), files, nodes)
+    return graph_edges(imports.hint("merge").join(some.select(F.col("path").alias("file_path")), "file_path", "left_semi"), files, nodes)
 
 
 def updated(nodes: DataFrame, edges: DataFrame, imports: DataFrame, files: DataFrame, changed: DataFrame) -> Updated:
@@ -321,19 +321,19 @@ def updated(nodes: DataFrame, edges: DataFrame, imports: DataFrame, files: DataF
     are cleared, and found again by a full run only.
     """
     there = nodes.select("path")
-    refresh = written(changed.select("path").unionByName(potential_importers(imports, changed).select(F.col("importer").alias("path"))).distinct().join(there, "path", "left_semi"), "graph-refresh")
-    now = written(replaced_edges(edges, refresh, file_edges(imports, files, there, refresh)).join(there.withColumnRenamed("path", "dst"), "dst", "left_semi").join(there.withColumnRenamed("path", "src"), "src", "left_semi").select("src", "pos", "dst"), "graph-edges")
+    refresh = written(changed.select("path").unionByName(potential_importers(imports, changed).select(F.col("importer").alias("path"))).distinct().hint("merge").join(there, "path", "left_semi"), "graph-refresh")
+    now = written(replaced_edges(edges, refresh, file_edges(imports, files, there, refresh)).hint("merge").join(there.withColumnRenamed("path", "dst"), "dst", "left_semi").hint("merge").join(there.withColumnRenamed("path", "src"), "src", "left_semi").select("src", "pos", "dst"), "graph-edges")
     seeds = refresh.select(F.col("path").alias("node"))
     affected = written(reachable(now, seeds).select("node"), "graph-affected")
     old = nodes.select(F.col("path").alias("node"), "depth")
     new = maintained(now, old, seeds)
     if new is None:
-        inner = now.join(affected.withColumnRenamed("node", "src"), "src", "left_semi")
+        inner = now.hint("merge").join(affected.withColumnRenamed("node", "src"), "src", "left_semi")
         new = maintained(now, old, affected, written(components(inner, affected), "graph-cycles"), rounds=1 << 30)
-    new = affected.withColumn("again", F.lit(True)).join(new.withColumnRenamed("depth", "new_depth"), "node", "left").select(F.col("node").alias("path"), "new_depth", "again")
-    cross = cross_imports(now.join(refresh.withColumnRenamed("path", "src"), "src", "left_semi")).withColumnRenamed("src", "path").withColumnRenamed("cross_file_imports", "new_cross")
-    fresh = refresh.join(cross, "path", "left").select("path", F.coalesce("new_cross", F.lit(0)).alias("new_cross"))
-    rows = nodes.join(new, "path", "left").join(fresh, "path", "left").select(
+    new = affected.withColumn("again", F.lit(True)).hint("merge").join(new.withColumnRenamed("depth", "new_depth"), "node", "left").select(F.col("node").alias("path"), "new_depth", "again")
+    cross = cross_imports(now.hint("merge").join(refresh.withColumnRenamed("path", "src"), "src", "left_semi")).withColumnRenamed("src", "path").withColumnRenamed("cross_file_imports", "new_cross")
+    fresh = refresh.hint("merge").join(cross, "path", "left").select("path", F.coalesce("new_cross", F.lit(0)).alias("new_cross"))
+    rows = nodes.hint("merge").join(new, "path", "left").hint("merge").join(fresh, "path", "left").select(
         "path",
         F.coalesce("new_depth", "depth").cast("long").alias("depth"),
         F.coalesce("new_cross", "cross_file_imports").cast("long").alias("cross_file_imports"),

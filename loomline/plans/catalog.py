@@ -715,7 +715,7 @@ ends AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM c) AND node
 
 def _cyclic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = t.dag(spark, sf_dir)
-    back = nodes.filter("node % 11 = 3").select(F.col("node").alias("src"), (F.col("node") * 2).alias("dst")).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    back = nodes.filter("node % 11 = 3").select(F.col("node").alias("src"), (F.col("node") * 2).alias("dst")).hint("merge").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     return nodes, edges.select("src", "dst").unionByName(back.select("src", "dst")).distinct()
 
 
@@ -724,7 +724,7 @@ def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongly connected components, and how many edges of each node lie within one."""
     nodes, edges = _cyclic(spark, sf_dir)
     found = written(graph.components(edges, nodes), "cycles")
-    return found.join(graph.cyclic_refs(edges, found), "node")
+    return found.hint("merge").join(graph.cyclic_refs(edges, found), "node")
 
 
 @query(f"""WITH RECURSIVE {_CYCLES_SQL}, walk(node, depth) AS (SELECT node, 0 FROM ends UNION SELECT src, depth + 1 FROM walk JOIN lines ON dst = walk.node WHERE src IN (SELECT node FROM ends))
@@ -734,7 +734,7 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = written(edges, "cyclic-edges")
     cross = graph.cross_imports(edges).withColumnRenamed("src", "node")
     refs = graph.cyclic_refs(edges, written(graph.components(edges, nodes), "cycles"))
-    rows = graph.depths(edges, nodes).join(cross, "node", "left").join(refs, "node", "left").select("depth", "cross_file_imports", "cyclic_refs", (F.col("node") % 5).alias("exports"))
+    rows = graph.depths(edges, nodes).hint("merge").join(cross, "node", "left").hint("merge").join(refs, "node", "left").select("depth", "cross_file_imports", "cyclic_refs", (F.col("node") % 5).alias("exports"))
     return graph.graph_summary(rows)
 
 
@@ -749,7 +749,7 @@ def graph_depth_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = edges.filter("NOT (src % 7 = 3 AND pos = 0)")
     old = written(graph.depths(edges, nodes), "old-depths")
     new = graph.maintained(now, old, edges.filter("src % 7 = 3").select(F.col("src").alias("node")))
-    return old.join(new.withColumnRenamed("depth", "now"), "node", "left").select("node", F.coalesce("now", "depth").alias("depth"))
+    return old.hint("merge").join(new.withColumnRenamed("depth", "now"), "node", "left").select("node", F.coalesce("now", "depth").alias("depth"))
 
 
 @query(f"""WITH RECURSIVE {_IMPORT_SQL}, all_edges AS (SELECT t.path AS src, t.pos, arg_min(c, n) AS dst FROM tried t JOIN files f ON f.path = c WHERE t.pos IN (1, 4) AND t.path NOT IN (SELECT path FROM files WHERE doc_id = 0) GROUP BY t.path, t.pos),
@@ -758,13 +758,13 @@ SELECT f.path, (SELECT count(*) FROM all_edges e WHERE e.src = f.path) AS cross_
 def graph_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the files come anew to a graph without them: what could mean them is resolved again, and depths follow."""
     imports, files = _imports(spark, sf_dir)
-    imports = imports.filter("pos IN (1, 2, 4)").join(files.filter("doc_id = 0").select(F.col("path").alias("file_path")), "file_path", "left_anti")
+    imports = imports.filter("pos IN (1, 2, 4)").hint("merge").join(files.filter("doc_id = 0").select(F.col("path").alias("file_path")), "file_path", "left_anti")
     new = files.filter("doc_id % 10 = 6").select("path")
-    before = files.join(new, "path", "left_anti").select("path")
-    edges = written(graph.graph_edges(imports.join(before.withColumnRenamed("path", "file_path"), "file_path", "left_semi"), before, before), "old-edges")
+    before = files.hint("merge").join(new, "path", "left_anti").select("path")
+    edges = written(graph.graph_edges(imports.hint("merge").join(before.withColumnRenamed("path", "file_path"), "file_path", "left_semi"), before, before), "old-edges")
     depth = written(graph.depths(edges, before.select(F.col("path").alias("node"))), "old-depths").withColumnRenamed("node", "path")
     zero = F.lit(0).cast("long")
-    known = depth.join(graph.cross_imports(edges).withColumnRenamed("src", "path"), "path", "left").select("path", "depth", F.coalesce("cross_file_imports", zero).alias("cross_file_imports"), F.lit(1).alias("cyclic_refs"), F.lit(1).alias("exports"))
+    known = depth.hint("merge").join(graph.cross_imports(edges).withColumnRenamed("src", "path"), "path", "left").select("path", "depth", F.coalesce("cross_file_imports", zero).alias("cross_file_imports"), F.lit(1).alias("cyclic_refs"), F.lit(1).alias("exports"))
     nodes = known.unionByName(new.select("path", zero.alias("depth"), zero.alias("cross_file_imports"), F.lit(0).alias("cyclic_refs"), F.lit(1).alias("exports")))
     return graph.updated(nodes, edges, imports, files, new).nodes.select("path", "cross_file_imports", "depth")
 

@@ -95,7 +95,7 @@ def dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = read(spark, sf_dir, "documents").select("doc_id").distinct()
     two = d.select(F.col("doc_id").alias("src"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.floor(F.col("doc_id") / 2).alias("dst")), F.struct(F.lit(1).alias("pos"), F.floor(F.col("doc_id") / 3).alias("dst")))).alias("e"))
     edges = two.select("src", "e.pos", "e.dst").filter("src != dst")
-    return d.select(F.col("doc_id").alias("node")), edges.join(d.select(F.col("doc_id").alias("dst")), "dst", "left_semi").select("src", "pos", "dst")
+    return d.select(F.col("doc_id").alias("node")), edges.hint("merge").join(d.select(F.col("doc_id").alias("dst")), "dst", "left_semi").select("src", "pos", "dst")
 
 
 DAG_SQL = """

@@ -52,3 +52,16 @@ def test_task_scores_are_products_of_small_groups(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan_of(got) and "Join" not in plan_of(got)
     best = lambda df: sorted(map(str, retrieval.top_files(df, 2).select("task_id", "file_path", "pos", "score", "rank").collect()))
     assert best(retrieval.task_scores(t, s, k=2)) == best(got)
+
+
+def test_rounds_over_a_graph_broadcast_nothing(spark, monkeypatch):
+    plans, put = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, *more, **named: (plans.append(plan_of(df)), put(df, *more, **named))[1])
+    edges = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (2, 1, 0), (3, 0, 2)], "src long, pos int, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(4)], "node long")
+    old = graph.depths(edges, nodes)
+    assert sorted(tuple(r) for r in old.collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    new = graph.maintained(edges.filter("src != 2 OR dst != 1"), old, nodes.filter("node = 2"))
+    assert sorted(tuple(r) for r in new.collect()) == [(2, 1), (3, 2)]
+    assert {r["node"] for r in graph.reachable(edges, nodes.filter("node = 1")).collect()} == {1, 2, 3}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
