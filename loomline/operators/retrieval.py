@@ -229,11 +229,15 @@ class Corpus:
 
     @classmethod
     def of(cls, texts: DataFrame, text_col: str = "text") -> Corpus:
-        """Statistics of whole texts, one pass and written: words are counted before they are shuffled. Texts without words count as texts."""
+        """Statistics of whole texts, one pass and written: words are counted before they are shuffled. Texts without words count as texts.
+
+        Every text also has one null word, at which texts and their words are counted: so texts are read and cut once.
+        """
         each = texts.select(words_of(text_col).alias("w"))
-        frequencies = each.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("frequency"))
-        totals = each.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("long").alias("words"))
-        return cls(written(frequencies, "frequencies"), written(totals, "totals"))
+        told = each.select(F.size("w").alias("words"), F.explode(F.concat(F.array_distinct("w"), F.array(F.lit(None).cast("string")))).alias("word"))
+        counts = written(told.groupBy("word").agg(F.count("*").alias("frequency"), F.sum(F.when(F.col("word").isNull(), F.col("words"))).alias("words")), "frequencies")
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        return cls(counts.filter("word IS NOT NULL").select("word", "frequency"), counts.filter("word IS NULL").agg(total("frequency").alias("n"), total("words").alias("words")))
 
 
 def bm25(candidates: DataFrame, tasks: DataFrame, corpus: Corpus, *, most: int = 512, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:

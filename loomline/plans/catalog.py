@@ -407,6 +407,7 @@ def rerank_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _tasks(spark, sf_dir)
     docs = t.read(spark, sf_dir, "documents").select(t.path_of().alias("file_path"), "text")
     c = _expanded(spark, sf_dir).join(docs, "file_path").select("task_id", F.col("nth").alias("pos"), F.col("file_path").alias("id"), "text")
+    c = written(c, "candidates")  # some files a task; they are found and read once, not for each use
     scores = retrieval.bm25(c, tasks, retrieval.Corpus.of(docs))
     return retrieval.reranked(c, scores).select("task_id", "id", "rank", F.round("score", 6).alias("score"))
 
